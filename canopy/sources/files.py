@@ -27,9 +27,6 @@ def find_packages(files: DataFrame, predicate: Column | None = None) -> DataFram
 def read_sources(spark: SparkSession, paths: str | list[str], glob: str = "*") -> DataFrame:
     """Whole files as (path, content), from a flat list of files and folders."""
     return (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(paths)
+        spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )

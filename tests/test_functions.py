@@ -1,0 +1,91 @@
+import pytest
+from pyspark.sql import functions as F
+
+from canopy.functions import lists, logic, macros, text
+
+
+def one(spark, column, **values):
+    frame = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()] or [F.lit(1).alias("_")])
+    return frame.select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    "value, of, want",
+    [
+        ("x", "string", True), ("", "string", False), (None, "string", False),
+        (True, "boolean", True), (False, "boolean", False), (None, "boolean", False),
+        (0, "any", True), (1, "any", True), (None, "any", False),
+    ],
+)
+def test_truthy(spark, value, of, want):
+    c = F.lit(value).cast({"string": "string", "boolean": "boolean", "any": "int"}[of])
+    assert one(spark, logic.truthy(c, of)) is want
+    assert one(spark, logic.not_(c, of)) is (not want)
+
+
+def test_logic_returns_operands(spark):
+    a, empty, none = F.lit("a"), F.lit(""), logic.nil()
+    assert one(spark, logic.and_(a, F.lit("b"), "string")) == "b"
+    assert one(spark, logic.and_(empty, a, "string")) == ""
+    assert one(spark, logic.or_(none, a, "string")) == "a"
+    assert one(spark, logic.or_(a, none, "string")) == "a"
+    assert one(spark, logic.xor(a, empty, "string")) is True
+    assert one(spark, logic.xor(a, a, "string")) is False
+    assert one(spark, logic.equal(none, none)) is True
+    assert one(spark, logic.equal(a, none)) is False
+
+
+def test_member_path_is_nil_safe(spark):
+    df = spark.createDataFrame([(((("v",),),),), ((None,),)], "n struct<a:struct<b:struct<c:string>>>")
+    assert [r[0] for r in df.select(logic.member(F.col("n"), "a.b.c")).collect()] == ["v", None]
+
+
+def test_lists(spark):
+    a = F.array(F.lit("x"), F.lit("y"))
+    assert one(spark, lists.length(a)) == 2 and one(spark, lists.length(F.lit("abc"), "string")) == 3
+    assert one(spark, lists.index(a, 0)) == "x" and one(spark, lists.index(a, 5)) is None
+    assert one(spark, lists.is_empty(logic.nil("array<string>"))) is True
+    assert one(spark, lists.append_all(a, logic.nil("array<string>"), a)) == ["x", "y", "x", "y"]
+    assert one(spark, lists.index_of(a, "y")) == 2 and one(spark, lists.index_of(a, "z")) is None
+    assert one(spark, lists.contains(a, "x")) is True
+    assert one(spark, lists.map_list(lambda c: F.when(c == "x", F.upper(c)), a)) == ["X"]
+    m, n = F.create_map(F.lit("a"), F.lit(1)), F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(3))
+    assert one(spark, lists.merge(m, n)) == {"a": 1, "b": 3}
+    assert one(spark, F.array_sort(lists.keys(n))) == ["a", "b"]
+
+
+def test_strings(spark):
+    assert one(spark, text.split(F.lit("a.b..c."), ".")) == ["a", "b", "c"]
+    assert one(spark, text.split(F.lit("a-b]c"), "-]")) == ["a", "b", "c"]
+    assert one(spark, text.trimsplit(F.lit(" a , b "), ",")) == ["a", "b"]
+    assert one(spark, text.interpolate("${a}-${b}", {"a": F.lit(1)})) == "1-${b}"
+    assert one(spark, text.interpolate("plain", {})) == "plain"
+    assert one(spark, text.basetype(F.lit("**T"))) == "*T"
+    assert one(spark, text.format_line("%s %s", F.lit("a"), logic.nil())) == "a <nil>"
+    assert one(spark, text.repeat(F.lit("ab"), 2)) == "abab"
+    assert one(spark, text.ilike(F.lit("ObjectX"), "%object%")) is True
+
+
+@pytest.mark.parametrize("value, want", [("a/b.go:12:3", ("a/b.go", 12, 3)), (None, (None,) * 3), ("bad", (None,) * 3)])
+def test_parse_location(spark, value, want):
+    assert tuple(one(spark, text.parse_location(F.lit(value).cast("string")))) == want
+
+
+def test_locations_and_slices(spark):
+    body = F.lit("one\ntwo\nthree\n")
+    assert [one(spark, text.offset_location(F.lit("f"), body, F.lit(i))) for i in (0, 3, 4, 10)] == [
+        "f:1:1", "f:1:4", "f:2:1", "f:3:3",
+    ]
+    start, end = (text.parse_location(F.lit(p)) for p in ("f:1:2", "f:3:3"))
+    assert one(spark, text.span_slice(body, start, end)) == "ne\ntwo\nth"
+    same = text.parse_location(F.lit("f:2:2")), text.parse_location(F.lit("f:2:3"))
+    assert one(spark, text.span_slice(body, *same)) == "w"
+
+
+def test_macros(spark):
+    add = lambda a, b: F.concat(a, b)
+    a, b = F.lit("a"), F.lit("b")
+    assert one(spark, macros.compose(F.upper, F.trim)(F.lit(" a "))) == "A"
+    assert one(spark, macros.curry(add, a)(b)) == "ab" and one(spark, macros.curry(add, a, 2)(b)) == "ba"
+    assert one(spark, macros.inject(add, F.upper)(a, b)) == "Ab" and one(spark, macros.inject(add, F.upper, 2)(a, b)) == "aB"
+    assert one(spark, macros.inject_all(add, F.upper)(a, b)) == "AB"
