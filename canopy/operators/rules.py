@@ -22,6 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopy.functions.lists import is_empty
 from canopy.operators.tables import TableDef
@@ -83,10 +84,9 @@ class Case(Statement):
 
     def entries(self, targets: list[TableDef]) -> Column | None:
         bodies = [(c, _concat(body, targets)) for c, body in self.branches]
-        known = next((b for _, b in bodies if b is not None), None)
-        if known is None:
+        if all(b is None for _, b in bodies):
             return None
-        none = F.slice(known, F.lit(1), F.lit(0))
+        none = _nothing(targets)
         out, rest = None, none
         for condition, body in bodies:
             body = none if body is None else body
@@ -132,13 +132,8 @@ class ForPairs(Statement):
     def entries(self, targets: list[TableDef]) -> Column | None:
         if not any(t in targets for t in self.tables()):
             return None
-        listed = F.coalesce(self.values, F.slice(self.values, F.lit(1), F.lit(0)))
-        return F.flatten(
-            F.transform(
-                F.filter(listed, lambda x: F.lit(True)),
-                lambda x, i: _concat(self._statements(i + 1, x), targets),
-            )
-        )
+        stored = F.flatten(F.transform(self.values, lambda x, i: _concat(self._statements(i + 1, x), targets)))
+        return F.coalesce(stored, _nothing(targets))
 
 
 class ForAll(ForPairs):
@@ -202,7 +197,7 @@ class RuleSet:
         kinds = {e.kind for e, _ in bodies}
         if None not in kinds:
             df = df.where(self.kind.isin(sorted(kinds)))
-        none = F.slice(bodies[0][1], F.lit(1), F.lit(0))
+        none = _nothing(wanted)
         fired = [
             b if e.kind is None or len(kinds) == 1 else F.when(self.kind == e.kind, b).otherwise(none) for e, b in bodies
         ]
@@ -225,6 +220,12 @@ class RuleSet:
         }
 
 
+def _nothing(targets: list[TableDef]) -> Column:
+    """An empty array of entries."""
+    entry = T.StructType([T.StructField("table", T.StringType()), *[T.StructField(t.name, t.schema) for t in targets]])
+    return F.array().cast(T.ArrayType(entry))
+
+
 def _tables(statements: Iterable[Statement]) -> list[TableDef]:
     found: dict[str, TableDef] = {}
     for s in statements:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators.hierarchy import Level
+from canopy.session import spread
 
 
 # Column types of the provided tables (fixed values): given, not inferred, so that naming a
@@ -59,7 +60,7 @@ def sat(spark: SparkSession, sf_dir: str) -> Sat:
     )
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey")
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")).join(part, "l_partkey")
     buys = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     return Sat(
         structs=customer.select(F.col("c_custkey").alias("type")),

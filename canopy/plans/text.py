@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.functions import text
 from canopy.plans.bindings import table
 from canopy.plans.registry import query
+from canopy.session import spread
 from canopy.sources import declarations as decl
 from canopy.sources import files
 
@@ -57,7 +56,7 @@ def span_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per part, declaring a struct, its methods, a contract and a function."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"), min_bytes=0)
     name = F.concat(F.initcap(F.replace("p_name", F.lit(" "), F.lit(""))), "p_partkey")
     pkg = F.lower("p_type")
     lines = [
@@ -101,26 +100,16 @@ UNION ALL SELECT 'functions', 'New' || n, 'func(int, int, *' || pkg || '.' || n
 )
 def extract_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source text derived from the parts, taken apart again by the declaration rules."""
-    stored = decl.declaration_rules().apply(decl.declarations(part_sources(spark, sf_dir)))
-    none = F.lit(None).cast("string")
-
-    def common(name: str, *keys: str) -> DataFrame:
-        cells = [F.col(k) for k in keys] + [none] * (3 - len(keys))
-        place = F.col("location") if "location" in stored[name].columns else none
-        return stored[name].select(
-            F.lit(name).alias("table"), *[c.alias(f"k{i + 1}") for i, c in enumerate(cells)], place.alias("location")
-        )
-
-    return reduce(
-        DataFrame.unionByName,
-        [
-            common("structs", "type"),
-            common("types", "name"),
-            common("interfaces", "interface"),
-            common("struct_inherits", "type", "embedded_type"),
-            common("interface_inherits", "type", "embedded_type"),
-            common("interface_reqs", "interface", "name", "type"),
-            common("methods", "name", "type", "receiver_type"),
-            common("functions", "name", "type"),
-        ],
+    sources = part_sources(spark, sf_dir)
+    rules = decl.declaration_rules()
+    keys = {t.name: [c for c in t.columns if c != "location"] for t in rules.targets()}
+    placed = [t.name for t in rules.targets() if "location" in t.columns]
+
+    def cell(i: int):
+        return F.coalesce(*[F.col(f"{name}.{columns[i]}") for name, columns in keys.items() if i < len(columns)])
+
+    return rules.emit(decl.declarations(sources)).select(
+        "table",
+        *[cell(i).alias(f"k{i + 1}") for i in range(3)],
+        F.coalesce(*[F.col(f"{name}.location") for name in placed]).alias("location"),
     )

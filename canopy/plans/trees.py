@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canopy.operators import closure, hierarchy, shred, tree
 from canopy.plans.bindings import table, tree as tree_levels
 from canopy.plans.registry import query
+from canopy.session import spread
 from canopy.sources import markup
 
 # A document holds its origin (single child) and its lines, a line holds its words.
@@ -24,7 +25,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = F.filter(F.split(text, " "), lambda w: w != "")
         return F.struct(text.alias("text"), words.alias("words"))
 
-    nested = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    nested = documents.select(
         "doc_id",
         "lang",
         F.struct(F.nullif("source", F.lit("")).alias("source")).alias("origin"),
@@ -226,16 +228,20 @@ def format_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.join(depths, "id").select("id", tree.outline(F.col("depth"), text).alias("line"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 @query(
     r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][a-zA-Z0-9]*')) AS tag FROM pages)
 SELECT page_id, lower(substr(tag, 2)) AS kind, count(*) AS n FROM t GROUP BY 1, 2"""
 )
 def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = markup.parse_trees(table(spark, sf_dir, "pages"), "page_id", "html", texts=False)
+    trees = markup.parse_trees(_pages(spark, sf_dir), "page_id", "html", texts=False)
     return markup.parsed(trees).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def html_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = markup.parse_trees(table(spark, sf_dir, "pages"), "page_id", "html")
+    trees = markup.parse_trees(_pages(spark, sf_dir), "page_id", "html")
     return markup.tree_links(trees, "page_id")

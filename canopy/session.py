@@ -93,6 +93,20 @@ def materialize(df: DataFrame, name: str = "table", path: str | None = None) ->
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
+def spread(scan: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+    """Rows of a file scan dealt out to all cores when its files allow fewer tasks than there are cores.
+
+    Worth a shuffle in front of heavy per-row work on files that cannot be split. A scan that
+    already has enough tasks, and so any large table, is returned as it is; so is a scan of
+    less than ``min_bytes``.
+    """
+    execution = scan._jdf.queryExecution()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if execution.optimizedPlan().stats().sizeInBytes() < min_bytes:
+        return scan
+    return scan.repartition(cores) if execution.toRdd().getNumPartitions() < cores else scan
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a file or folder through the file system that owns it (HDFS, object store, local)."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,8 +1,10 @@
 """A folder of Parquet tables, versioned by tag.
 
 Tagged tables are partitioned by ``tag``, so a snapshot is read, replaced or removed without
-touching the others. The ``tags`` table is written last on a load and cleared first on a
-removal: readers that start from ``tags`` never see half a snapshot. One writer at a time.
+touching the others. Which tags are live is kept in a log that is only ever appended to, one
+small file per load or removal. A load writes its data first and then, in one append, makes
+its new tag live and the old one of the commit dead: readers that start from ``tags`` never
+see half a snapshot. Dead data is deleted afterwards. One writer at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from canopy.operators.tables import Key, TableDef, first_per_key, insert_ignore
 from canopy.session import delete_path, path_exists
 
 TAGS = TableDef.of("tags", Key("tag:INTEGER"), "commit_id")
+_TAG_LOG = TableDef.of("tag_log", "tag:INTEGER", "commit_id", "live:BOOLEAN")
 
 
 _MARK = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|(\?)""")
@@ -59,11 +62,13 @@ class Store:
         return f"{self.path}/{name}" + ("" if tag is None else f"/tag={tag}")
 
     def _tagged(self, name: str) -> bool:
-        return "tag" in self.tables[name].columns
+        return name != "tags" and "tag" in self.tables[name].columns
 
     # Tables --------------------------------------------------------------------------------
 
     def read(self, name: str) -> DataFrame:
+        if name == "tags":
+            return self.tags()
         table = self.tables[name]
         return self.spark.read.schema(table.schema).parquet(self._folder(name)).select(*table.columns)
 
@@ -104,8 +109,17 @@ class Store:
 
     # Tags ----------------------------------------------------------------------------------
 
+    def _log(self) -> DataFrame:
+        return self.spark.read.schema(_TAG_LOG.schema).parquet(self._folder("tags"))
+
+    def _log_append(self, rows: list[tuple[int, str, bool]]) -> None:
+        self.spark.createDataFrame(rows, _TAG_LOG.schema).coalesce(1).write.mode("append").parquet(self._folder("tags"))
+
     def tags(self) -> DataFrame:
-        return self.read("tags")
+        """Live tags. A tag is used once, so a dead one never comes back."""
+        log = self._log()
+        dead = log.where(~F.col("live")).select("tag")
+        return log.where(F.col("live")).join(dead, "tag", "left_anti").select(*TAGS.columns)
 
     def tag_of(self, commit: str) -> int:
         found = self.tags().where(F.col("commit_id") == commit).select("tag").take(2)
@@ -114,24 +128,21 @@ class Store:
         return found[0]["tag"]
 
     def _next_tag(self) -> int:
-        """One more than any tag ever used: a removed tag leaves its empty folder behind."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder("tags"))
-        found = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(target)
-        names = [f.getPath().getName() for f in found]
-        return 1 + max([int(n[4:]) for n in names if n.startswith("tag=")], default=0)
+        """One more than any tag ever used, dead ones included."""
+        return 1 + self._log().agg(F.coalesce(F.max("tag"), F.lit(0))).first()[0]
 
     def remove_commit(self, commit: str) -> list[int]:
         """Remove every tag of a commit from all tables; the tags removed."""
-        found = [r["tag"] for r in self.tags().where(F.col("commit_id") == commit).select("tag").toLocalIterator()]
-        self.remove_tags(found)
-        return found
+        found = [tuple(r) for r in self.tags().where(F.col("commit_id") == commit).collect()]
+        if found:
+            self._log_append([(t, c, False) for t, c in found])
+        self._delete([t for t, _ in found])
+        return [t for t, _ in found]
 
-    def remove_tags(self, tags: Sequence[int]) -> None:
+    def _delete(self, tags: Iterable[int]) -> None:
         for tag in tags:
-            nothing = self.spark.createDataFrame([], "commit_id string")
-            nothing.write.mode("overwrite").parquet(self._folder("tags", tag))
             for name in self.tables:
-                if self._tagged(name) and name != "tags":
+                if self._tagged(name):
                     delete_path(self.spark, self._folder(name, tag))
 
     def load(self, commit: str, tables: Mapping[str, DataFrame]) -> int:
@@ -150,9 +161,7 @@ class Store:
         commits = list(commits)
         first = self._next_tag()
         tags = {c: first + i for i, c in enumerate(commits)}
-        old = [
-            r["tag"] for r in self.tags().where(F.col("commit_id").isin(commits)).select("tag").toLocalIterator()
-        ]
+        old = [tuple(r) for r in self.tags().where(F.col("commit_id").isin(commits)).collect()]
         named = self.spark.createDataFrame([(t, c) for c, t in tags.items()], TAGS.schema)
         for name, rows in tables.items():
             table = self.tables[name]
@@ -164,8 +173,8 @@ class Store:
                 raise ValueError(f"rows for {name} do not say which commit they belong to")
             rows = table.conform(rows)
             self._write(name, first_per_key(rows, table.keys) if table.keys else rows, "overwrite")
-        self.remove_tags(old)
-        self._write("tags", named, "append")
+        self._log_append([(t, c, True) for c, t in tags.items()] + [(t, c, False) for t, c in old])
+        self._delete(t for t, _ in old)
         return tags
 
 

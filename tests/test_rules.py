@@ -76,6 +76,12 @@ def test_nested_loops_and_cases(rows, spark):
     assert rows(got["pairs"]) == [(1, 1, "x"), (1, 3, "z")] and rows(got["empty"]) == [(2,)]
 
 
+def test_missing_list_in_one_rule_does_not_lose_the_rows_of_another(rows, nodes):
+    loop = Case()(F.col("id") > 2, ForAll(F.col("items"), lambda v: Store(PAIRS, F.col("id"), F.lit(0), v)))
+    rules = RuleSet(Event(None, Store(NAMED, F.col("name")), loop))
+    assert rows(rules.emit(nodes), "named.name") == [("f",), ("g",), ("t",)]
+
+
 def test_case_on_the_kind_of_a_member(rows, nodes):
     a, b = TableDef.of("a", "id:INTEGER"), TableDef.of("b", "id:INTEGER")
     typed = EventCaseType("Func", F.col("receiver"))("r", Store(a, F.col("id")))(Otherwise, Store(b, F.col("id")))
