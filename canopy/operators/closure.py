@@ -8,6 +8,8 @@ one Spark job, written below the checkpoint folder; the driver holds one row cou
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,17 @@ def closure(
     ``src``. ``reflexive`` adds (root, root, 0). Cycles and self loops end the walk since a
     pair is kept only once.
     """
+    return counted_closure(edges, roots, reflexive, max_rounds, heavy_rows)[0]
+
+
+def counted_closure(
+    edges: DataFrame,
+    roots: DataFrame | None = None,
+    reflexive: bool = True,
+    max_rounds: int = 10_000,
+    heavy_rows: int = HEAVY_ROWS,
+) -> tuple[DataFrame, int]:
+    """The closure and its number of pairs, which is known from its rounds."""
     spark = edges.sparkSession
     steps, n_steps = materialize(edges.select("src", "dst").dropna().distinct(), "edges")
     hubs = heavy_keys(steps.select(F.col("src").alias("node")), ["node"], n_steps, heavy_rows)
@@ -37,13 +50,13 @@ def closure(
 
     base = scratch_path(spark, "closure")
 
-    def save(pairs: DataFrame, depth: int) -> tuple[DataFrame, int]:
-        return materialize(pairs, path=f"{base}/depth={depth}")
+    def save(reached: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        return materialize(reached, path=f"{base}/depth={depth}")
 
     frontier, found = save(
         starts.dropna().distinct().select("root", F.col("root").cast(steps.schema["_next"].dataType).alias("node")), 0
     )
-    depth, schema = 0, frontier.schema
+    depth, schema, pairs = 0, frontier.schema, found if reflexive else 0
     while found and depth < max_rounds:
         depth += 1
         crowded = heavy_keys(frontier, ["node"], found, heavy_rows)
@@ -60,11 +73,12 @@ def closure(
             )
             fresh = reached.join(seen, ["root", "node"], "left_anti")
         frontier, found = save(fresh, depth)
+        pairs += found
     if found:
         raise RuntimeError(f"closure still growing after {max_rounds} rounds")
     with_depth = T.StructType([*schema.fields, T.StructField("depth", T.IntegerType())])
     whole = spark.read.schema(with_depth).option("basePath", base).parquet(base)
-    return whole if reflexive else whole.where(F.col("depth") > 0)
+    return (whole if reflexive else whole.where(F.col("depth") > 0)), pairs
 
 
 def subtree(links: DataFrame, roots: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -126,17 +140,20 @@ def node_depth(nodes: DataFrame, links: DataFrame, max_rounds: int = 64, heavy_r
             F.col("parent").isNull().alias("done"),
         )
     )
-    table, rows = materialize(start, "depth")
+    table, _ = materialize(start, "depth")
+    finished, moving = [table.where("done")], table.where("NOT done")
     for _ in range(max_rounds):
-        open_rows = table.where(~F.col("done"))
-        target = table.select(
+        left = moving.count()
+        if not left:
+            done = reduce(DataFrame.unionByName, finished)
+            return done.select("id", F.col("to").alias("root"), "depth")
+        target = reduce(DataFrame.unionByName, finished, moving).select(
             F.col("id").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_depth"), F.col("done").alias("_done")
         )
-        crowded = heavy_keys(open_rows, ["to"], rows, heavy_rows) if rows > heavy_rows else None
-        moved = salted_join(open_rows, target, ["to"], left_heavy=crowded).select(
+        jumped = salted_join(moving, target, ["to"], left_heavy=heavy_keys(moving, ["to"], left, heavy_rows)).select(
             "id", F.col("_to").alias("to"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done")
         )
-        table, rows = materialize(table.where("done").unionByName(moved), "depth")
-        if not table.where(~F.col("done")).limit(1).count():
-            return table.select("id", F.col("to").alias("root"), "depth")
+        table, _ = materialize(jumped, "depth")
+        finished.append(table.where("done"))
+        moving = table.where("NOT done")
     raise RuntimeError("links hold a cycle or are deeper than the round limit allows")

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopy.operators.skew import HEAVY_ROWS, heavy_keys, salted_join
 from canopy.session import materialize
@@ -29,12 +30,14 @@ def number_rows(
 ) -> DataFrame:
     """``df`` with a 1-based row number by ``order``, for the whole table or within groups.
 
-    ``order`` should identify the rows within their group, since ties are numbered in an
-    arbitrary (but then fixed) order. Nulls come first. Group columns must not be null.
+    Rows equal in ``order`` are numbered by a hash of the whole row, which also keeps many
+    rows of one value from being sorted by one task. Nulls come first. Group columns must not
+    be null.
     """
     partition = list(partition)
-    placed = df.orderBy(*partition, *order).withColumn("_place", F.monotonically_increasing_id())
-    placed, rows = materialize(placed, "numbering")
+    sortable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    tied = df.withColumn("_tie", F.xxhash64(*sortable)).orderBy(*partition, *order, "_tie").drop("_tie")
+    placed, rows = materialize(tied.withColumn("_place", F.monotonically_increasing_id()), "numbering")
     task = F.shiftright("_place", _PLACE_BITS)
     sizes = placed.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(F.lit(0)).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,24 +10,29 @@ from pyspark.sql import functions as F
 from canopy.operators.numbering import number_rows
 
 
+def _listing(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows numbered by the given columns; equal rows are told apart by all they hold."""
+    row = F.xxhash64(*rows.columns).alias("_row")
+    return number_rows(rows.select(*columns, row), [*columns, "_row"]).select("number", *columns)
+
+
 def list_types(node_data: DataFrame, tag: int | None = None, kind: str = "TypeSpec") -> DataFrame:
     """Numbered type names of a snapshot, by name: (number, name)."""
     rows = node_data.where(F.col("kind") == kind)
     rows = rows if tag is None else rows.where(F.col("tag") == tag)
-    return number_rows(rows.select(F.col("data").alias("name")), ["name"]).select("number", "name")
+    return _listing(rows.withColumnRenamed("data", "name"), "name")
 
 
 def list_functions(func_decls: DataFrame, tag: int | None = None) -> DataFrame:
     """Numbered functions without a receiver, by name: (number, name)."""
     rows = func_decls if tag is None else func_decls.where(F.col("tag") == tag)
-    return number_rows(rows.where(F.col("receiver").isNull()).select("name"), ["name"]).select("number", "name")
+    return _listing(rows.where(F.col("receiver").isNull()), "name")
 
 
 def list_methods(func_decls: DataFrame, tag: int | None = None) -> DataFrame:
     """Numbered methods, by receiver and name: (number, receiver, name)."""
     rows = func_decls if tag is None else func_decls.where(F.col("tag") == tag)
-    rows = rows.where(F.col("receiver").isNotNull()).select("receiver", "name")
-    return number_rows(rows, ["receiver", "name"]).select("number", "receiver", "name")
+    return _listing(rows.where(F.col("receiver").isNotNull()), "receiver", "name")
 
 
 def diff(before: DataFrame, after: DataFrame, keys: Sequence[str], keep_common: bool = False) -> DataFrame:

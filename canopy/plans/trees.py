@@ -159,7 +159,7 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber"""
 )
 def wide_kind_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as nodes with a part and a supplier child; several rows of a key keep the least id."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     child = F.explode(
         F.array(
             F.struct(F.lit("part").alias("label"), F.concat(F.lit("P"), F.col("l_partkey")).alias("link_id")),

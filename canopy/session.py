@@ -34,9 +34,9 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def side_by_side(*tasks):
+def side_by_side(spark: SparkSession, *tasks):
     """Run independent plan builders that start Spark jobs at the same time; their results in order."""
-    keep_tags = inheritable_thread_target(SparkSession.getActiveSession())
+    keep_tags = inheritable_thread_target(spark)
     with ThreadPoolExecutor(len(tasks)) as pool:
         return [f.result() for f in [pool.submit(keep_tags(t)) for t in tasks]]
 
