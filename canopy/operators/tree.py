@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopy.operators.closure import closure
+
 CHUNK = 1_000
 
 
@@ -51,6 +53,48 @@ def reassemble(nodes: DataFrame, links: DataFrame, keep_leaves: bool = True, chu
     return joined.withColumn("part", F.coalesce("part", F.lit(0)))
 
 
+def function_rows(functions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Function declarations in the shape of node rows, and of link rows to their body entries.
+
+    The two go into ``unionByName`` with the other nodes and links; the block between a
+    function and its entries is left out.
+    """
+    nodes = functions.select(
+        "tag", "id", F.lit("FuncDecl").alias("kind"), F.col("name").alias("data"), "location", "end_location", "type"
+    )
+    entries_of = links.select("tag", F.col("id").alias("block_id"), "link_number", "link_id")
+    body = functions.select("tag", "id", "block_id").join(entries_of, ["tag", "block_id"])
+    return nodes, body.select("tag", "id", F.lit("block").alias("label"), "link_number", "link_id")
+
+
+def function_subtree(
+    functions: DataFrame, nodes: DataFrame, links: DataFrame, which: Column, keep_leaves: bool = True
+) -> DataFrame:
+    """Everything below the wanted functions: (tag, name, kind, location, end_location, data, depth).
+
+    ``which`` chooses the functions before the walk begins. The function itself has depth 0,
+    its body entries depth 1. ``keep_leaves=False`` lists only nodes that have links.
+    """
+    wanted = functions.where(which).select("tag", "name", "location", "end_location", F.col("block_id").alias("id"))
+    wanted = wanted.withColumn("root", F.struct("tag", "id"))
+    steps = links.where(F.col("link_id").isNotNull()).select(
+        F.struct("tag", "id").alias("src"), F.struct("tag", F.col("link_id").alias("id")).alias("dst")
+    )
+    reached = closure(steps, wanted.select("root")).where(F.col("depth") > 0)
+    if not keep_leaves:
+        reached = reached.join(steps.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    found = nodes.select(F.struct("tag", "id").alias("node"), "kind", "location", "end_location", "data")
+    below = (
+        reached.join(wanted.select("root", "tag", "name"), "root")
+        .join(found, "node")
+        .select("tag", "name", "kind", "location", "end_location", "data", "depth")
+    )
+    itself = wanted.select(
+        "tag", "name", F.lit("FuncDecl").alias("kind"), "location", "end_location", F.lit(None).cast("string").alias("data"), F.lit(0).alias("depth")
+    )
+    return itself.unionByName(below).distinct()
+
+
 def child_summary(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Per node: number of children, first and last child by ``link_number``. Leaves count 0."""
     summary = links.groupBy("id").agg(

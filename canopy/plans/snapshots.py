@@ -71,7 +71,7 @@ ORDERS = TableDef.of("orders_at", Key("tag:INTEGER"), Key("id:INTEGER"), "priori
 @query(
     """SELECT strftime(o_orderdate, '%Y-%m') AS commit_id,
   CASE WHEN strftime(o_orderdate, '%Y-%m') = '1995-06' THEN 'changed' ELSE o_orderpriority END AS priority,
-  count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS price
+  count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS price
 FROM orders WHERE strftime(o_orderdate, '%Y-%m') <> '1997-01' GROUP BY 1, 2"""
 )
 def replace_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def replace_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.read("orders_at")
         .join(F.broadcast(store.tags()), "tag")
         .groupBy("commit_id", "priority")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("price").cast(MONEY)).cast("decimal(28,2)").alias("price"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("price").cast(MONEY)).cast("double").alias("price"))
     )
 
 

@@ -170,6 +170,38 @@ def wide_kind_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.wide(links, ["l_orderkey", "l_linenumber"], ["part", "supplier"])
 
 
+@query(
+    """WITH f AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT 'BUILDING' AS name, 'FuncDecl' AS kind, c_name AS location, CAST(NULL AS VARCHAR) AS data, 0 AS depth FROM f
+UNION ALL SELECT 'BUILDING', 'Order', 'O' || o_orderkey, o_orderpriority, 1 FROM orders JOIN f ON o_custkey = c_custkey
+UNION ALL SELECT DISTINCT 'BUILDING', 'Part', 'P' || p_partkey, p_name, 2 FROM orders JOIN f ON o_custkey = c_custkey
+  JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"""
+)
+def function_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as functions named by segment; orders are body entries, their parts lie below."""
+    tag, none = F.lit(1).alias("tag"), F.lit(None).cast("string").alias("end_location")
+
+    def key(prefix: str, column: str):
+        return F.concat(F.lit(prefix), F.col(column))
+
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    functions = customer.select(
+        tag, F.col("c_mktsegment").alias("name"), F.col("c_name").alias("location"), none, key("C", "c_custkey").alias("block_id")
+    )
+    nodes = orders.select(
+        tag, key("O", "o_orderkey").alias("id"), F.lit("Order").alias("kind"), key("O", "o_orderkey").alias("location"), none, F.col("o_orderpriority").alias("data")
+    ).unionByName(
+        part.select(
+            tag, key("P", "p_partkey").alias("id"), F.lit("Part").alias("kind"), key("P", "p_partkey").alias("location"), none, F.col("p_name").alias("data")
+        )
+    )
+    links = orders.select(tag, key("C", "o_custkey").alias("id"), key("O", "o_orderkey").alias("link_id")).unionByName(
+        lines.select(tag, key("O", "l_orderkey").alias("id"), key("P", "l_partkey").alias("link_id"))
+    )
+    return tree.function_subtree(functions, nodes, links, F.col("name") == "BUILDING").drop("tag", "end_location")
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Conversations as chains: the parent of a turn is the turn before."""
     turns = table(spark, sf_dir, "conversations")

@@ -3,9 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from canopy.operators.catalog import FUNC_DECL, SATISFACTION_TABLES, kind_table
+from canopy.operators.rules import Event, RuleSet
+from canopy.operators.rules import Store as StoreRow
 from canopy.operators.satisfy import satisfaction
+from canopy.sources.analyze import analyze
 from canopy.sources.declarations import declaration_rules, declarations, unsupported
 from canopy.sources.files import find_files, find_packages, read_sources
+from canopy.sources.store import Store
 
 SHAPES = """package shapes
 
@@ -85,6 +90,88 @@ type PtrHolder struct {
 type IfaceHolder struct { V }
 """
 
+WIDTHS = """package widths
+
+type I interface { M() int64 }
+
+type PtrWide struct { a, b int64 }
+func (z *PtrWide) M() int64 { return z.a }
+type PtrInt int32
+func (z *PtrInt) M() int64 { return int64(*z) }
+type Wide struct { a, b int64 }
+func (z Wide) M() int64 { return z.a }
+type Int int32
+func (z Int) M() int64 { return int64(z) }
+"""
+
+CONVERSIONS = """package conversions
+
+type Shower interface {
+\tShow() string
+}
+type Measured interface {
+\tShow() string
+\tLength() int
+}
+type Anything interface{}
+
+type T string
+
+func (t T) Show() string {
+\treturn string(t)
+}
+func (t T) Length() int {
+\treturn len(t)
+}
+
+type U string
+
+func (u U) Show() string {
+\treturn string(u)
+}
+"""
+
+HELD = """package held
+
+type Inter interface { M() int64 }
+type T int64
+func (t T) M() int64 { return int64(t) }
+type S struct { Inter }
+type SP struct { *Inter }
+"""
+
+NOTHING = """package nothing
+
+type R interface { R() }
+type RW interface { R(); W() }
+type S struct {
+}
+func main() {
+}
+"""
+
+MANY = """package many
+
+type I1 interface { M(a int, b string) }
+type I2 interface { N() }
+type S1 struct { x int }
+type S2 struct {
+\tx, y int
+}
+type S3 struct{ z string }
+func (S1) M(_ int, _ string) {}
+func (s *S2) M(a int, b string) { }
+func (s S3) N() {}
+"""
+
+GOLDEN = [
+    (WIDTHS, [("Int", "I"), ("PtrInt", "I"), ("PtrWide", "I"), ("Wide", "I")], [("PtrWide", "I"), ("Wide", "I")]),
+    (CONVERSIONS, [("T", "Measured"), ("T", "Shower"), ("U", "Shower")], []),
+    (HELD, [("T", "Inter")], []),
+    (NOTHING, [], []),
+    (MANY, [("S1", "I1"), ("S2", "I1"), ("S3", "I2")], [("S1", "I1"), ("S2", "I1"), ("S3", "I2")]),
+]
+
 ODD = """package odd
 
 type (
@@ -144,6 +231,45 @@ def test_receivers_and_embedded_contracts(spark, rows):
     assert got == sorted((o, c) for o in owners for c in ("V", "P", "Nested"))  # IfaceHolder gains nothing
 
 
+@pytest.mark.parametrize("text, every_type, structs", GOLDEN)
+def test_golden_satisfactions(spark, rows, text, every_type, structs):
+    assert satisfied(spark, rows, text) == every_type
+    assert satisfied(spark, rows, text, structs_only=True) == structs
+
+
+def test_analyze_stores_all_targets(spark, rows, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), SATISFACTION_TABLES, fresh=True)
+    sources = spark.createDataFrame([("a.go", SHAPES), ("b.go", MANY)], "path string, content string")
+    for _ in range(2):  # known keys are kept, so a second run changes nothing
+        analyze(declarations(sources), declaration_rules(), store)
+    counts = {t.name: store.read(t.name).count() for t in SATISFACTION_TABLES}
+    assert counts["methods"] == 9 and counts["types"] == 11 and counts["struct_inherits"] == 1
+    got = store.query(
+        "SELECT receiver_type FROM methods m JOIN interface_reqs r USING (name, type) WHERE r.interface = ?", "many.I1"
+    )
+    assert rows(got) == [("many.S1",), ("many.S2",)]
+
+
+def test_analyze_replaces_a_commit(spark, rows, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), [FUNC_DECL], fresh=True)
+    records = declarations(spark.createDataFrame([("a.go", SHAPES)], "path string, content string"))
+    nil = F.lit(None)
+    rules = RuleSet(
+        Event("FuncDecl", StoreRow(FUNC_DECL, nil, F.xxhash64("location"), F.col("location"), nil, F.col("name"), F.col("receiver"), F.col("type"), nil)),
+        kind=F.col("kind"),
+    )
+    with pytest.raises(ValueError):
+        analyze(records, rules, store)
+    assert analyze(records, rules, store, "c1") == 1 and analyze(records, rules, store, "c1") == 2
+    assert store.read("FuncDecl").count() == 7
+    assert rows(store.read("FuncDecl").where("receiver IS NULL"), "tag", "name") == [(2, "helper")]
+
+
+def test_wide_kind_table_definition():
+    table = kind_table("BinaryExpr", ["typeof"], ["X", "Y"])
+    assert table.columns == ["tag", "id", "location", "typeof", "X_id", "Y_id"] and table.keys == ("tag", "id")
+
+
 def test_unsupported_declarations_are_listed(spark, rows):
     found = declarations(spark.createDataFrame([("o.go", ODD)], "path string, content string"))
     assert rows(unsupported(found), "line") == [(3,), (7,)]

@@ -108,6 +108,39 @@ def test_wide_tables(spark, rows):
     assert rows(tree.wide(links, ["id"], ["X", "Y"])) == [(1, 5, 6), (2, 3, None)]
 
 
+@pytest.fixture
+def functions(spark):
+    decls = spark.createDataFrame(
+        [(1, 100, "f", 10), (2, 100, "f", 10), (1, 101, "g", 20)], "tag long, id long, name string, block_id long"
+    ).selectExpr("tag", "id", "concat('x:', id, ':1') AS location", "'' AS end_location", "name", "'func()' AS type", "block_id")
+    nodes = spark.createDataFrame(
+        [(1, 11, "If", None), (1, 12, "Ident", "a"), (2, 11, "For", None), (1, 21, "Go", None)],
+        "tag long, id long, kind string, data string",
+    ).selectExpr("tag", "id", "kind", "data", "concat('x:', id, ':2') AS location", "'' AS end_location", "'' AS type")
+    links = spark.createDataFrame(
+        [(1, 10, "List", 1, 11), (1, 11, "Cond", None, 12), (2, 10, "List", 1, 11), (1, 20, "List", 1, 21)],
+        "tag long, id long, label string, link_number long, link_id long",
+    )
+    return decls, nodes, links
+
+
+def test_function_subtrees(rows, functions):
+    got = rows(tree.function_subtree(*functions, F.col("name") == "f"), "tag", "kind", "depth")
+    assert got == [(1, "FuncDecl", 0), (1, "Ident", 2), (1, "If", 1), (2, "For", 1), (2, "FuncDecl", 0)]
+    inner = rows(tree.function_subtree(*functions, F.col("name") == "f", keep_leaves=False), "tag", "kind", "depth")
+    assert inner == [(1, "FuncDecl", 0), (1, "If", 1), (2, "FuncDecl", 0)]
+
+
+def test_functions_as_nodes_and_links(rows, functions):
+    decls, nodes, links = functions
+    more_nodes, more_links = tree.function_rows(decls, links)
+    assert nodes.unionByName(more_nodes).count() == 7
+    whole = tree.children(
+        nodes.unionByName(more_nodes).where("tag = 1").drop("tag"), links.unionByName(more_links).where("tag = 1").drop("tag")
+    )
+    assert rows(whole.where("kind = 'FuncDecl'"), "data", "link_id", "child_kind") == [("f", 11, "If"), ("g", 21, "Go")]
+
+
 def test_hierarchy_links_are_numbered_by_parent(spark, rows):
     top = spark.createDataFrame([("a",), ("b",)], "k string")
     low = spark.createDataFrame([("z", "a", 2), ("y", "a", 1), ("x", "b", 9)], "k string, p string, o int")
