@@ -2,25 +2,25 @@
 
 A key is *heavy* when it holds more than ``max(HEAVY_ROWS, rows / MAX_HEAVY)`` rows, so there
 are never more than ``MAX_HEAVY`` heavy keys: that is the proven bound behind every broadcast
-of a heavy-key list here, and behind bringing that list to the driver.
+of a heavy-key list here, and behind bringing that list to the driver. A heavy key is cut into
+as many slices as it takes to bring each below that number of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_ROWS = 1_000_000
-MAX_HEAVY = 1_000
-SLICES = 64
+MAX_HEAVY = 100_000
 
 
 def heavy_keys(
     df: DataFrame, on: Sequence[str], rows: int | None = None, heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame | None:
-    """The heavy values of the key columns as a small DataFrame, or None when there is none.
+    """The heavy values of the key columns and their ``_slices``, or None when there are none.
 
     ``rows`` is the known row count of ``df``; a table too small to hold a heavy key is not
     looked at. Counting aggregates inside each task first, so it is itself safe from skew.
@@ -31,9 +31,11 @@ def heavy_keys(
     if rows <= heavy_rows:
         return None
     limit = max(heavy_rows, rows // MAX_HEAVY)
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    found = counts.where(F.col("_rows") > limit).select(*on).dropna().collect()  # <= MAX_HEAVY rows
-    return df.sparkSession.createDataFrame(found, df.select(*on).schema) if found else None
+    counts = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    slices = F.ceil(F.col("_rows") / limit).cast("int").alias("_slices")
+    heavy = counts.select(*on, slices)
+    found = heavy.collect()  # at most MAX_HEAVY rows
+    return df.sparkSession.createDataFrame(found, heavy.schema) if found else None
 
 
 def salted_join(
@@ -43,12 +45,11 @@ def salted_join(
     how: str = "inner",
     left_heavy: DataFrame | None = None,
     right_heavy: DataFrame | None = None,
-    slices: int = SLICES,
 ) -> DataFrame:
-    """``left.join(right, on, how)`` with the rows of heavy keys cut into ``slices`` parts.
+    """``left.join(right, on, how)`` with the rows of heavy keys cut into slices.
 
     Rows of a key that is heavy on one side are spread by a hash of the whole row; the rows
-    of the other side are repeated for each part, for that key only. Right rows are never
+    of the other side are repeated for each slice, for that key only. Right rows are never
     spread in a left, semi or anti join, since each left row has to see all its partners.
     """
     on = list(on)
@@ -59,12 +60,12 @@ def salted_join(
         if heavy is None:
             continue
         spread, repeat = (left, right) if spread_left else (right, left)
-        mark = F.broadcast(heavy.select(*on).withColumn("_heavy", F.lit(True)))
-        hot = F.coalesce(F.col("_heavy"), F.lit(False))
-        own: Column = F.pmod(F.xxhash64(*[c for c in spread.columns]), F.lit(slices)).cast("int")
-        spread = spread.join(mark, on, "left").withColumn(part, F.when(hot, own).otherwise(0)).drop("_heavy")
-        every = F.when(hot, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
-        repeat = repeat.join(mark, on, "left").withColumn(part, F.explode(every)).drop("_heavy")
+        mark = F.broadcast(heavy)
+        slices = F.coalesce("_slices", F.lit(1))
+        own = F.pmod(F.xxhash64(*spread.columns), slices).cast("int")
+        spread = spread.join(mark, on, "left").withColumn(part, own).drop("_slices")
+        every = F.explode(F.sequence(F.lit(0), slices - 1))
+        repeat = repeat.join(mark, on, "left").withColumn(part, every).drop("_slices")
         left, right = (spread, repeat) if spread_left else (repeat, spread)
         keys.append(part)
     return left.join(right, keys, how).drop("_lpart", "_rpart")

@@ -90,7 +90,7 @@ def replace_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.remove_commit("1997-01")
     return (
         store.read("orders_at")
-        .join(F.broadcast(store.tags()), "tag")
+        .join(store.tags(), "tag")
         .groupBy("commit_id", "priority")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("price").cast(MONEY)).cast("double").alias("price"))
     )
@@ -187,7 +187,7 @@ def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in ("first", "again"):  # the second run sees the files anew and replaces their tag
         rows = file_stream(spark, sf_dir, SCHEMAS["events"], "events*.parquet")
         load_snapshots(rows, store, build, f"{base}/{run}")
-    return store.read("events_at").join(F.broadcast(store.tags()), "tag").drop("tag")
+    return store.read("events_at").join(store.tags(), "tag").drop("tag")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")

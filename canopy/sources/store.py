@@ -156,7 +156,7 @@ class Store:
         """Store several commits at once: one write per table, whatever the number of commits.
 
         With more than one commit the rows must have a ``commit_id`` column. The list of
-        commits is held by the driver and broadcast, so keep a call to some thousand.
+        commits is held by the driver, so keep a call to some thousand.
         """
         commits = list(commits)
         first = self._next_tag()
@@ -166,7 +166,7 @@ class Store:
         for name, rows in tables.items():
             table = self.tables[name]
             if "commit_id" in rows.columns:
-                rows = rows.join(F.broadcast(named), "commit_id")
+                rows = rows.join(named, "commit_id")
             elif len(commits) == 1:
                 rows = rows.withColumn("tag", F.lit(first).cast("bigint"))
             else:
