@@ -55,121 +55,125 @@ func helper(a, b int, rest ...string) (n int, err error) {
 
 RESULTS = """package results
 
-type S struct{ a int }
-type T struct{ b string }
+type Low struct{ level int }
+type High struct{ label string }
 
-func (s *S) Name() int8  { return 1 }
-func (t *T) Name() int64 { return 64 }
+func (l *Low) Grade() uint8    { return 3 }
+func (h *High) Grade() float64 { return 0.5 }
 
-type I1 interface{ Name() int8 }
-type I2 interface{ Name() int64 }
+type ByteGrader interface{ Grade() uint8 }
+type FloatGrader interface{ Grade() float64 }
 """
 
 RECEIVERS = """package receivers
 
-type Count int
+type Meter float64
 
-func (c Count) Value() {}
-func (c *Count) Pointer() {}
+func (m Meter) Read() {}
+func (m *Meter) Reset() {}
 
-type V interface {
-\tValue()
+type Readable interface {
+\tRead()
 }
-type P interface {
-\tPointer()
-\tValue()
+type Device interface {
+\tReset()
+\tRead()
 }
-type Nested interface { P; V }
+type Nested interface { Device; Readable }
 
-type Holder struct {
-\tCount
+type Panel struct {
+\tMeter
 }
-type PtrHolder struct {
-\t*Count
+type Remote struct {
+\t*Meter
 }
-type IfaceHolder struct { V }
+type Shell struct { Readable }
 """
 
 WIDTHS = """package widths
 
-type I interface { M() int64 }
+type Weigher interface { Grams(scale float64) int }
 
-type PtrWide struct { a, b int64 }
-func (z *PtrWide) M() int64 { return z.a }
-type PtrInt int32
-func (z *PtrInt) M() int64 { return int64(*z) }
-type Wide struct { a, b int64 }
-func (z Wide) M() int64 { return z.a }
-type Int int32
-func (z Int) M() int64 { return int64(z) }
+type Crate struct { boxes, lids int }
+func (c *Crate) Grams(s float64) int { return c.boxes + c.lids }
+type Coin uint16
+func (c *Coin) Grams(s float64) int { return 7 }
+type Sack struct { full bool }
+func (k Sack) Grams(s float64) int { return 900 }
+type Grain uint8
+func (g Grain) Grams(s float64) int { return 1 }
 """
 
 CONVERSIONS = """package conversions
 
-type Shower interface {
-\tShow() string
+type Titled interface {
+\tTitle() string
 }
-type Measured interface {
-\tShow() string
-\tLength() int
+type Priced interface {
+\tTitle() string
+\tCents(tax bool) int
 }
-type Anything interface{}
+type Whatever interface{}
 
-type T string
+type Book string
 
-func (t T) Show() string {
-\treturn string(t)
+func (b Book) Title() string {
+\treturn "a book"
 }
-func (t T) Length() int {
-\treturn len(t)
+func (b Book) Cents(withTax bool) int {
+\treturn 1999
 }
 
-type U string
+type Leaflet []byte
 
-func (u U) Show() string {
-\treturn string(u)
+func (l Leaflet) Title() string {
+\treturn "a leaflet"
 }
 """
 
 HELD = """package held
 
-type Inter interface { M() int64 }
-type T int64
-func (t T) M() int64 { return int64(t) }
-type S struct { Inter }
-type SP struct { *Inter }
+type Opener interface { Open(path string) error }
+type Door uint
+func (d Door) Open(path string) error { return nil }
+type House struct { Opener }
+type Tent struct { *Opener }
 """
 
 NOTHING = """package nothing
 
-type R interface { R() }
-type RW interface { R(); W() }
-type S struct {
+type Boiler interface { Boil() }
+type Kettle interface { Boil(); Pour() }
+type Cup struct {
 }
-func main() {
+func pourAll() {
 }
 """
 
 MANY = """package many
 
-type I1 interface { M(a int, b string) }
-type I2 interface { N() }
-type S1 struct { x int }
-type S2 struct {
-\tx, y int
+type Mover interface { Move(dx int, dir string) }
+type Stopper interface { Stop() }
+type Car struct { wheels int }
+type Cart struct {
+\tlength, width int
 }
-type S3 struct{ z string }
-func (S1) M(_ int, _ string) {}
-func (s *S2) M(a int, b string) { }
-func (s S3) N() {}
+type Sign struct{ text string }
+func (Car) Move(_ int, _ string) {}
+func (c *Cart) Move(steps int, to string) { }
+func (s Sign) Stop() {}
 """
 
 GOLDEN = [
-    (WIDTHS, [("Int", "I"), ("PtrInt", "I"), ("PtrWide", "I"), ("Wide", "I")], [("PtrWide", "I"), ("Wide", "I")]),
-    (CONVERSIONS, [("T", "Measured"), ("T", "Shower"), ("U", "Shower")], []),
-    (HELD, [("T", "Inter")], []),
+    (
+        WIDTHS,
+        [("Coin", "Weigher"), ("Crate", "Weigher"), ("Grain", "Weigher"), ("Sack", "Weigher")],
+        [("Crate", "Weigher"), ("Sack", "Weigher")],
+    ),
+    (CONVERSIONS, [("Book", "Priced"), ("Book", "Titled"), ("Leaflet", "Titled")], []),
+    (HELD, [("Door", "Opener")], []),
     (NOTHING, [], []),
-    (MANY, [("S1", "I1"), ("S2", "I1"), ("S3", "I2")], [("S1", "I1"), ("S2", "I1"), ("S3", "I2")]),
+    (MANY, [("Car", "Mover"), ("Cart", "Mover"), ("Sign", "Stopper")], [("Car", "Mover"), ("Cart", "Mover"), ("Sign", "Stopper")]),
 ]
 
 ODD = """package odd
@@ -220,15 +224,15 @@ def test_satisfaction_with_and_without_embedding(spark, rows):
 
 
 def test_results_are_part_of_a_signature(spark, rows):
-    assert satisfied(spark, rows, RESULTS) == [("S", "I1"), ("T", "I2")]
+    assert satisfied(spark, rows, RESULTS) == [("High", "FloatGrader"), ("Low", "ByteGrader")]
     both = satisfied(spark, rows, RESULTS, params_only=True)
-    assert both == [("S", "I1"), ("S", "I2"), ("T", "I1"), ("T", "I2")]
+    assert both == [(o, c) for o in ("High", "Low") for c in ("ByteGrader", "FloatGrader")]
 
 
 def test_receivers_and_embedded_contracts(spark, rows):
     got = satisfied(spark, rows, RECEIVERS)
-    owners = ("Count", "Holder", "PtrHolder")
-    assert got == sorted((o, c) for o in owners for c in ("V", "P", "Nested"))  # IfaceHolder gains nothing
+    owners = ("Meter", "Panel", "Remote")
+    assert got == sorted((o, c) for o in owners for c in ("Readable", "Device", "Nested"))  # Shell gains nothing
 
 
 @pytest.mark.parametrize("text, every_type, structs", GOLDEN)
@@ -245,9 +249,9 @@ def test_analyze_stores_all_targets(spark, rows, tmp_path):
     counts = {t.name: store.read(t.name).count() for t in SATISFACTION_TABLES}
     assert counts["methods"] == 9 and counts["types"] == 11 and counts["struct_inherits"] == 1
     got = store.query(
-        "SELECT receiver_type FROM methods m JOIN interface_reqs r USING (name, type) WHERE r.interface = ?", "many.I1"
+        "SELECT receiver_type FROM methods m JOIN interface_reqs r USING (name, type) WHERE r.interface = ?", "many.Mover"
     )
-    assert rows(got) == [("many.S1",), ("many.S2",)]
+    assert rows(got) == [("many.Car",), ("many.Cart",)]
 
 
 def test_analyze_replaces_a_commit(spark, rows, tmp_path):
