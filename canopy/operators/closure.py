@@ -60,18 +60,18 @@ def counted_closure(
     while found and depth < max_rounds:
         depth += 1
         crowded = heavy_keys(frontier, ["node"], found, heavy_rows)
-        reached = (
-            salted_join(frontier, steps, ["node"], left_heavy=crowded, right_heavy=hubs)
-            .select("root", F.col("_next").alias("node"))
-            .distinct()
+        reached = salted_join(frontier, steps, ["node"], left_heavy=crowded, right_heavy=hubs).select(
+            "root", F.col("_next").alias("node")
         )
         if depth == 1 and not reflexive:
-            fresh = reached
+            fresh = reached.distinct()
         else:
             seen = spark.read.schema(schema).parquet(
                 *[f"{base}/depth={d}" for d in range(0 if reflexive else 1, depth)]
             )
-            fresh = reached.join(seen, ["root", "node"], "left_anti")
+            # One shuffle drops both repeats and known pairs: a pair is fresh if no row of it is known.
+            either = reached.withColumn("new", F.lit(True)).unionByName(seen.withColumn("new", F.lit(False)))
+            fresh = either.groupBy("root", "node").agg(F.bool_and("new").alias("new")).where("new").drop("new")
         frontier, found = save(fresh, depth)
         pairs += found
     if found:
