@@ -3,7 +3,8 @@
 A recursive query with ``UNION`` (which drops rows seen before, and so ends on cycles) is not
 available in Spark SQL. The closure is computed in rounds instead: each round joins only the
 pairs found in the round before with the edges, and keeps the pairs not seen yet. A round is
-one Spark job, written below the checkpoint folder; the driver holds one row count.
+one Spark job, written below the checkpoint folder; the driver holds its row counts. Once few
+pairs are left to follow and they do not become more, a round takes several steps at once.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopy.operators.skew import HEAVY_ROWS, heavy_keys, salted_join
-from canopy.session import materialize, scratch_path
+from canopy.session import materialize, scratch_path, write_observed
+
+TAIL_HOPS = 4
+TAIL_PAIRS = 100_000
 
 
 def closure(
     edges: DataFrame,
     roots: DataFrame | None = None,
     reflexive: bool = True,
-    max_rounds: int = 10_000,
+    max_depth: int = 10_000,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """All (root, node) pairs connected by edges, with the least number of hops as ``depth``.
@@ -31,14 +35,14 @@ def closure(
     ``src``. ``reflexive`` adds (root, root, 0). Cycles and self loops end the walk since a
     pair is kept only once.
     """
-    return counted_closure(edges, roots, reflexive, max_rounds, heavy_rows)[0]
+    return counted_closure(edges, roots, reflexive, max_depth, heavy_rows)[0]
 
 
 def counted_closure(
     edges: DataFrame,
     roots: DataFrame | None = None,
     reflexive: bool = True,
-    max_rounds: int = 10_000,
+    max_depth: int = 10_000,
     heavy_rows: int = HEAVY_ROWS,
 ) -> tuple[DataFrame, int]:
     """The closure and its number of pairs, which is known from its rounds."""
@@ -48,37 +52,45 @@ def counted_closure(
     steps = steps.select(F.col("src").alias("node"), F.col("dst").alias("_next"))
     starts = steps.select(F.col("node").alias("root")) if roots is None else roots.toDF("root")
 
+    # A row's depth is its hop plus the depth its round started after, kept in the folder name:
+    # without changing literals in them, the plans of all rounds share their generated code.
     base = scratch_path(spark, "closure")
-
-    def save(reached: DataFrame, depth: int) -> tuple[DataFrame, int]:
-        return materialize(reached, path=f"{base}/depth={depth}")
-
-    frontier, found = save(
-        starts.dropna().distinct().select("root", F.col("root").cast(steps.schema["_next"].dataType).alias("node")), 0
-    )
-    depth, schema, pairs = 0, frontier.schema, found if reflexive else 0
-    while found and depth < max_rounds:
-        depth += 1
-        crowded = heavy_keys(frontier, ["node"], found, heavy_rows)
-        reached = salted_join(frontier, steps, ["node"], left_heavy=crowded, right_heavy=hubs).select(
-            "root", F.col("_next").alias("node")
-        )
-        if depth == 1 and not reflexive:
-            fresh = reached.distinct()
-        else:
-            seen = spark.read.schema(schema).parquet(
-                *[f"{base}/depth={d}" for d in range(0 if reflexive else 1, depth)]
+    starts = starts.dropna().distinct()
+    starts = starts.select("root", F.col("root").cast(steps.schema["_next"].dataType).alias("node"), F.lit(1).alias("hop"))
+    schema = starts.schema
+
+    def save(rows: DataFrame, after: int, hops: int) -> tuple[DataFrame, int, int]:
+        path = f"{base}/after={after}"
+        seen = write_observed(rows, path, rows=F.count(F.lit(1)), last=F.count_if(F.col("hop") == hops))
+        return spark.read.schema(schema).parquet(path).where(F.col("hop") == hops), seen["rows"], seen["last"]
+
+    frontier, total, open_pairs = save(starts, -1, 1)
+    depth, before, known = 0, 0, [-1] if reflexive else []
+    total = total if reflexive else 0
+    while open_pairs:
+        if depth >= max_depth:
+            raise RuntimeError(f"closure still growing after {depth} steps")
+        hops = TAIL_HOPS if open_pairs <= min(before, TAIL_PAIRS) else 1
+        crowded = heavy_keys(frontier, ["node"], open_pairs, heavy_rows)
+        rows, level = [], frontier
+        for hop in range(1, hops + 1):
+            level = salted_join(level, steps, ["node"], left_heavy=crowded, right_heavy=hubs).select(
+                "root", F.col("_next").alias("node"), F.lit(hop).alias("hop")
             )
-            # One shuffle drops both repeats and known pairs: a pair is fresh if no row of it is known.
-            either = reached.withColumn("new", F.lit(True)).unionByName(seen.withColumn("new", F.lit(False)))
-            fresh = either.groupBy("root", "node").agg(F.bool_and("new").alias("new")).where("new").drop("new")
-        frontier, found = save(fresh, depth)
-        pairs += found
-    if found:
-        raise RuntimeError(f"closure still growing after {max_rounds} rounds")
-    with_depth = T.StructType([*schema.fields, T.StructField("depth", T.IntegerType())])
-    whole = spark.read.schema(with_depth).option("basePath", base).parquet(base)
-    return (whole if reflexive else whole.where(F.col("depth") > 0)), pairs
+            rows.append(level)
+        if known:
+            seen = spark.read.schema(schema).parquet(*[f"{base}/after={d}" for d in known])
+            rows.append(seen.withColumn("hop", F.lit(0)))
+        # One shuffle drops both repeats and known pairs: a known pair has the least hop, 0.
+        fresh = reduce(DataFrame.unionByName, rows).groupBy("root", "node").agg(F.min("hop").alias("hop"))
+        before = open_pairs
+        frontier, found, open_pairs = save(fresh.where(F.col("hop") > 0), depth, hops)
+        known.append(depth)
+        depth, total = depth + hops, total + found
+    after = T.StructType([*schema.fields, T.StructField("after", T.IntegerType())])
+    whole = spark.read.schema(after).option("basePath", base).parquet(base)
+    whole = whole.select("root", "node", (F.col("after") + F.col("hop")).alias("depth"))
+    return (whole if reflexive else whole.where(F.col("depth") > 0)), total
 
 
 def subtree(links: DataFrame, roots: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:

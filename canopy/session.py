@@ -12,7 +12,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -80,17 +80,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/canopy/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> tuple[DataFrame, int]:
+def materialize(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
     """Write ``df`` to the scratch folder and read it back: the table and its row count.
 
     One job: the count is observed while the rows are written. The files give the optimizer
     real sizes, so its broadcast decisions on the result are checked ones.
     """
-    spark = df.sparkSession
-    path = path or scratch_path(spark, name)
+    path = scratch_path(df.sparkSession, name)
+    seen = write_observed(df, path, rows=F.count(F.lit(1)))
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen["rows"]
+
+
+def write_observed(df: DataFrame, path: str, **metrics: Column) -> dict:
+    """Write ``df`` to a new table; the aggregates observed on the way."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    df.observe(seen, *[c.alias(m) for m, c in metrics.items()]).write.parquet(path)
+    return seen.get
 
 
 def spread(scan: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:

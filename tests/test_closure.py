@@ -43,6 +43,21 @@ def test_random_graph_with_hubs(spark, rows, seed):
     assert sorted(rows(closure(edges(spark, pairs), heavy_rows=5))) == want  # salted paths included
 
 
+def test_long_chain_takes_several_steps_at_once(spark, rows):
+    pairs = [(i, i + 1) for i in range(30)] + [(30, 7), (3, 40), (40, 41), (41, 20)]
+    got = rows(closure(edges(spark, pairs), spark.createDataFrame([(0,), (5,), (99,)], "n long")))
+    assert sorted(got) == sorted((r, n, d) for r in (0, 5, 99) for n, d in reach(pairs, r).items())
+    plain = closure(edges(spark, pairs), spark.createDataFrame([(0,)], "n long"), reflexive=False)
+    assert sorted(rows(plain)) == sorted((0, n, d) for n, d in reach(pairs, 0).items() if d)
+
+
+def test_depth_limit_and_nothing_to_do(spark):
+    with pytest.raises(RuntimeError):
+        closure(edges(spark, [(i, i + 1) for i in range(9)]), max_depth=3)
+    assert closure(edges(spark, [])).count() == 0
+    assert closure(edges(spark, []), reflexive=False).count() == 0
+
+
 def test_closure_of_closure_is_the_closure(spark, rows):
     once = closure(edges(spark, [(1, 2), (2, 3), (3, 4), (4, 2)])).select("root", "node")
     twice = closure(once.toDF("src", "dst")).select("root", "node")
