@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +182,22 @@ def test_bad_texts_go_to_quarantine(spark, rows):
     assert rows(links.where(F.col("id") == "1/2"), "link_number", "link_id") == [(1, "1/3"), (2, "1/4"), (3, "1/5")]
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Run where the package is on the driver's path only."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from canopy.session import local_session
+from canopy.sources import markup
+spark = local_session("elsewhere", 1, "1g")
+df = spark.createDataFrame([(1, "<p>a<br>b</p>")], "k long, t string")
+print("nodes", markup.tree_nodes(markup.parse_trees(df, "k", "t"), "k").count())
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=180)
+    assert "nodes 4" in done.stdout, done.stderr[-2000:]
+
+
 def test_html_links_against_brute_force(spark, rows):
     """The registered links query has no SQL counterpart: compare with parsing in plain Python."""
     pages = [(i, "<div>" * (i % 5) + f"<p>t{i}</p>" * (i % 4) + "<br>" * (i % 3)) for i in range(40)]
