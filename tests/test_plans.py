@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from canopy.plans import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -38,7 +39,7 @@ def test_one_scan_per_table_for_a_rule_set(spark):
     assert plan(spark, "analyze_rules").count("FileScan") == 2  # orders and events
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_holds_nothing_that_does_not_scale(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
