@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, langid, mixing, quality
+from canopy.llm import bpe, embeddings, langid, minhash, mixing, quality
 from canopy.llm.common import fold, table
 from canopy.llm.registry import ORACLES, QUERIES, query
 
@@ -79,3 +79,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.withColumn("held_out", fold("doc_id") == 0), ~F.col("held_out"), keep=("doc_id", "held_out"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
+@query()
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
