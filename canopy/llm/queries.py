@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, embeddings, langid, minhash, mixing, quality
+from canopy.llm import bpe, embeddings, langid, minhash, mixing, quality, suffixtree
 from canopy.llm.common import fold, table
 from canopy.llm.registry import ORACLES, QUERIES, query
 
@@ -91,3 +91,9 @@ def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix-tree and unigram scores of every document; documents of fold 1 are held out."""
+    return suffixtree.scored(table(spark, sf_dir, "documents"), fold("doc_id") == 1)
