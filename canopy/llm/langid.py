@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.llm.common import map_rows
+from canopy.session import materialize
 
 UNKNOWN = "und"
 #: Bounds of the training sample, per language: texts, and characters taken from each.
@@ -43,18 +44,16 @@ def training_sample(docs: DataFrame, is_training: Column, texts: int = SAMPLE_TE
     rows = docs.where(is_training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("_h")
     )
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
-    # A hash threshold leaves about 2 * texts rows per language before anything is gathered.
+    counts, _ = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n")), "langs")
+    # A hash threshold leaves about 2 * texts rows per language before anything is gathered. Texts
+    # stay where they are: only (lang, hash) is joined and ranked, then the few chosen texts are looked up.
     share = F.least(F.lit(1.0), F.lit(2.0 * texts) / F.col("_n"))
-    start = F.pmod(F.col("_h"), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    few = (
-        rows.join(counts, "lang")
-        .where(F.col("_h") < share * float(1 << 40))
-        .select("lang", "_h", F.substring("text", start, F.lit(chars)).alias("_slice"))
-        .dropDuplicates(["lang", "_h"])
-    )
+    few = rows.select("lang", "_h").join(counts, "lang").where(F.col("_h") < share * float(1 << 40)).select("lang", "_h").distinct()
     ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
-    chosen = ranked.where(F.col("_rank") <= texts).orderBy("lang", "_h").collect()
+    ranked, _ = materialize(ranked.where(F.col("_rank") <= texts).select("lang", "_h"), "chosen")
+    start = F.pmod(F.col("_h"), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    found = rows.join(ranked, ["lang", "_h"]).select("lang", "_h", F.substring("text", start, F.lit(chars)).alias("_slice"))
+    chosen = found.groupBy("lang", "_h").agg(F.min("_slice").alias("_slice")).orderBy("lang", "_h").collect()
     content: dict[str, list[str]] = {}
     for row in chosen:
         content.setdefault(row["lang"], []).append(plain(row["_slice"]))

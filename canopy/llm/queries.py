@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, embeddings, langid, minhash, mixing, quality, suffixtree
+from canopy.llm import bpe, embeddings, langid, licenses, minhash, mixing, quality, suffixtree, wrapper
 from canopy.llm.common import fold, table
 from canopy.llm.registry import ORACLES, QUERIES, query
 
@@ -97,3 +97,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-tree and unigram scores of every document; documents of fold 1 are held out."""
     return suffixtree.scored(table(spark, sf_dir, "documents"), fold("doc_id") == 1)
+
+
+@query()
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document, one row per paragraph that is one."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
