@@ -12,7 +12,6 @@ stands in front of everything else, and the scan needs no shuffle.
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -176,8 +175,9 @@ class Model:
 
     def margins(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``_margins`` of the classes, in the order of ``classes``, for their ``words``."""
-        # Constants as one text each, which Spark folds; thousands of single literals would slow the planner.
-        table = F.from_json(F.lit(json.dumps(self.weights)), "map<string,array<double>>")
+        # One SQL text that Spark folds into a constant; grams hold letters, digits and blanks only.
+        entries = (f"'{g}', array({', '.join(f'{x:.17g}D' for x in w)})" for g, w in sorted(self.weights.items()))
+        table = F.expr(f"map({', '.join(entries)})")
         start = F.array(*[F.lit(float(x)) for x in self.intercept])
         add = lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b)
         # One column per step: an expression used twice would be worked out twice.
@@ -214,7 +214,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     ready = counter.transform(rows.withColumn("grams", grams(F.col("words"))).withColumn("label", number))
     size = ready.groupBy("label").count().withColumnRenamed("count", "_n")
     ready = ready.join(F.broadcast(size), "label").withColumn("weight", 1 / F.sqrt("_n"))
-    fit = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60, weightCol="weight").fit(ready.where("NOT held"))
+    fit = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=40, weightCol="weight").fit(ready.where("NOT held").coalesce(2))
     matrix = fit.coefficientMatrix.toArray()
     intercept = [float(x) for x in fit.interceptVector.toArray()]
     model = Model(classes, intercept, {g: matrix[:, k].tolist() for k, g in enumerate(vocabulary)}, rare_words, 1.0)
@@ -243,7 +243,9 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     lines = paragraphs(docs, doc_id, text).withColumn("words", word_list(F.col("body")))
     maybe = lines.where(F.arrays_overlap("words", constant(model.rare)))
-    scored = probabilities(model.margins(maybe), F.lit(float(model.temperature))).withColumn("probability", F.array_max("_p"))
+    # Written down, so that no later filter is pushed into the scan together with the classifier.
+    classed, _ = materialize(model.margins(maybe).select("doc_id", "paragraph", "words", "_margins"), "margins")
+    scored = probabilities(classed, F.lit(float(model.temperature))).withColumn("probability", F.array_max("_p"))
     top = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.array_position("_p", F.col("probability")).cast("int"))
     named = scored.withColumn("_top", top).where(F.col("_top") != NONE)
     known = (

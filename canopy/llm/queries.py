@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, embeddings, langid, licenses, minhash, mixing, quality, suffixtree, wrapper
+from canopy.llm import bpe, embeddings, langid, licenses, minhash, mixing, quality, suffixtree, transcripts, wrapper
 from canopy.llm.common import fold, table
 from canopy.llm.registry import ORACLES, QUERIES, query
 
@@ -110,3 +110,29 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices of every document, one row per paragraph that is one."""
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.train(docs))
+
+
+@query()
+def op2_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of all conversation turns recovered from raw transcripts, and the turns in canonical form.
+
+    The transcripts are written from the given turns, without every fourth speaker marker.
+    Probabilities are counted on conversations whose crc32(conv_id as text) mod 5 is not 0.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    lines = transcripts.transcripts(turns)
+    training = fold("conv_id") != 0
+    counted = transcripts.labelled_turns(turns.where(training), transcripts.featured(lines.where(training)))
+    model = transcripts.train(counted)
+    numbered = lines.select("conv_id", (F.col("turn") * (1 << 20) + F.col("k")).alias("pos"), "line")
+    found = transcripts.parse(numbered, model)
+    per_turn = found.groupBy("conv_id", F.shiftright("pos", 20).alias("turn")).agg(
+        F.min_by("role", "pos").alias("role"),
+        F.min_by("starts", "pos").alias("starts"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]).alias("_lines"),
+    )
+    text = F.array_join("_lines", "\n")
+    return per_turn.select(
+        "conv_id", "turn", (fold("conv_id") == 0).alias("held_out"), "role", "starts",
+        transcripts.rendered(F.col("role"), text).alias("rendered"),
+    )
