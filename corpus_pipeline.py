@@ -1,8 +1,73 @@
-"""A corpus run: language ID, quality rules, near-duplicates, mixing, tokens."""
+"""A corpus run over ``documents``: language, quality, near-duplicates, mixing, tokens.
 
+Every stage reads the table its predecessor wrote and returns the columns of ``documents``, but
+for the last, which returns each kept document's tokens.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from canopy.llm import bpe, langid, minhash, mixing, quality
+from canopy.llm.common import fold, table
+from canopy.llm.queries import tokenizer_path
+from canopy.session import materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: Compression, EM, sketches and tokenizers are not expressible in SQL.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts without letters and narrow decisions go."""
+    found = langid.identify(docs, fold("doc_id") != 0, keep=COLUMNS)
+    return found.where("NOT rejected").select(*COLUMNS)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are probably good."""
+    return quality.quality(docs, keys=COLUMNS).where("kept").select(*COLUMNS)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies; the others go.
+
+    Rows that repeat both id and text are one document. Rows without id belong to no group and stay.
+    """
+    found, _ = materialize(minhash.near_duplicates(docs).select("doc_id", "kept"), "near")
+    left = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    repeated, n = materialize(found.where("kept").groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1"), "repeated")
+    if n:
+        again = repeated.select("doc_id")
+        once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(again, "doc_id", "left_anti").unionByName(once)
+    return left.select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and packed ids of every document."""
+    return bpe.tokenize(docs, bpe.read_spec(tokenizer_path()), keep=("doc_id", "source"))
+
+
+STAGES = [
+    ("language", language),
+    ("quality", rules),
+    ("near duplicates", deduplicate),
+    ("mixing", mix),
+    ("tokens", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs, _ = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
