@@ -141,18 +141,20 @@ def notices(spark: SparkSession) -> DataFrame:
 
 
 def labelled(spark: SparkSession, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(family, words, held): notices, whole and with one word left out, and sampled paragraphs.
+    """(family, words, held): notices, whole and without one word that other families use too, and sampled paragraphs.
 
     The sample of the corpus is at most SAMPLE_PARAGRAPHS lines of at most about SAMPLE_DOCS texts, chosen
     by a hash; lines that speak of licences or copyright are left out. A quarter of the rows,
     chosen by a hash of their words, is held out for the calibration.
     """
-    whole = notices(spark).select("family", word_list(F.col("body")).alias("words"))
+    whole, _ = materialize(notices(spark).select("family", word_list(F.col("body")).alias("words")), "notices")
+    used = whole.select("family", F.explode("words").alias("word")).groupBy("word").agg(F.count_distinct("family").alias("_n"))
+    shared = constant(sorted(r["word"] for r in used.where("_n > 1").collect()))
     without = F.transform(
-        F.sequence(F.lit(0), F.size("words")),
-        lambda k: F.when(k == 0, F.col("words")).otherwise(F.filter(F.col("words"), lambda w, i: i != k - 1)),
+        F.filter(F.sequence(F.lit(0), F.size("words")), lambda k: (k == 0) | F.array_contains(shared, F.get("words", k - 1))),
+        lambda k: F.filter(F.col("words"), lambda w, i: i != k - 1),
     )
-    notes = whole.select("family", F.explode(without).alias("words")).where(F.size("words") > 1)
+    notes = whole.select("family", F.explode(without).alias("words")).where(F.size("words") > 1).distinct()
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     # Hashed by the text as well, so that a repeated id does not decide for many rows.
     chosen = docs.where(F.pmod(F.xxhash64(doc_id, text), F.lit(1_000_000)) < int(1_000_000 * share))
@@ -162,7 +164,7 @@ def labelled(spark: SparkSession, docs: DataFrame, doc_id: str, text: str) -> Da
     # One line without words stands for an empty corpus.
     empty = spark.createDataFrame([(NONE, [""])], "family string, words array<string>")
     rows = notes.unionByName(plain).unionByName(empty)
-    held = F.pmod(F.xxhash64("words"), F.lit(4)) == 0
+    held = (F.pmod(F.xxhash64("words"), F.lit(4)) == 0) & (F.col("words") != F.array(F.lit("")))
     return materialize(rows.withColumn("held", held), "labelled")[0]
 
 

@@ -175,11 +175,16 @@ def block_children(node: Node) -> list[Node]:
     return [p for p in _flat(node) if isinstance(p, Node) and p.tag != "br"]
 
 
-# A template node: label (l), pages it stood on (p), nodes it stood for (n), hash of its most usual
-# text (h) and pages with it (s), the same for the text of the whole subtree (w, v), characters of
-# text (c) and of link text (a), whether its name hides it (b) or marks main text (m), children (k).
+# A template node: label (l), pages it stood on (p), nodes it stood for (n), its most usual texts as
+# hashes with the pages that had them (t), the most usual text of the whole subtree and its pages
+# (w, v), characters of text (c) and of link text (a), whether its name hides it (b) or marks main
+# text (m), children (k).
 Template = dict
 
+#: Texts that a template node counts. A text on nearly all pages stays among them as long as a page
+#: has fewer siblings at this place than that.
+USUAL = 24
+
 
 def _link_chars(node: Node) -> int:
     total = 0
@@ -207,16 +212,16 @@ def template_of(node: Node) -> Template:
             children.append(made)
     below = zlib.crc32(" ".join([str(zlib.crc32(text.encode())), *(str(k["w"]) for k in children)]).encode())
     return {
-        "l": node.label, "p": 1, "n": 1, "h": zlib.crc32(text.encode()), "s": 1, "w": below, "v": 1, "c": len(text),
+        "l": node.label, "p": 1, "n": 1, "t": {str(zlib.crc32(text.encode())): 1} if text else {}, "w": below, "v": 1, "c": len(text),
         "a": _link_chars(node), "b": node.hidden, "m": node.main, "k": children,
     }
 
 
 def _fold(a: Template, b: Template) -> Template:
-    """Siblings of one page as one node that stands for both; it has no one text."""
+    """Siblings of one page as one node that stands for both."""
     both = zlib.crc32(f"{a['w']} {b['w']}".encode())
     return a | {
-        "n": a["n"] + b["n"], "h": None, "s": 0, "w": both, "v": 1, "c": a["c"] + b["c"], "a": a["a"] + b["a"],
+        "n": a["n"] + b["n"], "t": _fewer(a["t"] | b["t"]), "w": both, "v": 1, "c": a["c"] + b["c"], "a": a["a"] + b["a"],
         "k": _align(a["k"], b["k"], _fold),
     }
 
@@ -257,14 +262,23 @@ def _align(a: list[Template], b: list[Template], join) -> list[Template]:
 
 def merge(a: Template, b: Template) -> Template:
     """Two templates of one host as one."""
-    h, n = _usual(a["h"], a["s"], b["h"], b["s"])
+    texts = _fewer({k: a["t"].get(k, 0) + b["t"].get(k, 0) for k in a["t"] | b["t"]})
     w, v = _usual(a["w"], a["v"], b["w"], b["v"])
     return a | {
-        "p": a["p"] + b["p"], "n": a["n"] + b["n"], "h": h, "s": n, "w": w, "v": v, "c": a["c"] + b["c"], "a": a["a"] + b["a"],
+        "p": a["p"] + b["p"], "n": a["n"] + b["n"], "t": texts, "w": w, "v": v, "c": a["c"] + b["c"], "a": a["a"] + b["a"],
         "k": _align(a["k"], b["k"], merge),
     }
 
 
+def _fewer(texts: dict[str, int]) -> dict[str, int]:
+    """The most frequent texts; what the first one left out had is taken off all, so frequent ones stay."""
+    if len(texts) <= USUAL:
+        return texts
+    ranked = sorted(texts.items(), key=lambda x: (-x[1], x[0]))
+    off = ranked[USUAL][1]
+    return {k: n - off for k, n in ranked[:USUAL] if n > off} or dict(ranked[:USUAL])
+
+
 def _usual(x: int | None, n: int, y: int | None, m: int) -> tuple[int | None, int]:
     """The more usual of two texts and its pages; a text on most pages of a host never loses its count."""
     if x == y:
@@ -289,15 +303,15 @@ def _sums(t: Template) -> tuple[int, int, int]:
 def decide(t: Template, whole: Template | None = None, hidden: bool = False) -> Template:
     """The wrapper: what every template node is.
 
-    ``d``: template, its text is constant over pages while the text around it is not (``whole`` is
-    the main part or page it lies in; where most pages are copies, sameness tells nothing);
+    ``d``: hashes of texts that are template, as they are constant over pages while the text around them is
+    not (``whole`` is the main part or page it lies in; where most pages are copies, sameness tells nothing);
     ``x``: a list of links; ``b``: named as something else than main text; ``m``: the main part.
     """
     hidden = hidden or t["b"]
     main = t["m"] and not hidden and _sums(t)[0] > 0
     whole = t if whole is None or main else whole
     varies = whole["v"] < 0.5 * whole["p"]
-    constant = varies and t["p"] >= SUPPORT and t["n"] <= t["p"] and t["h"] is not None and t["s"] >= CONSTANT * t["p"]
+    constant = [int(h) for h, n in t["t"].items() if varies and t["p"] >= SUPPORT and n >= CONSTANT * t["p"]]
     return {
         "l": t["l"], "d": constant, "x": _is_link_list(t), "b": t["b"], "m": main,
         "k": [decide(k, whole, hidden) for k in t["k"]],
@@ -320,7 +334,9 @@ def extract(page: Node, wrapper: Template) -> str:
 
 def _collect(node: Node, wrapper: Template, inside: bool, marked: bool, blocks: list[str]) -> None:
     inside = inside or wrapper["m"]
-    keep = (inside or not marked) and not wrapper["d"]
+    keep = inside or not marked
+    if keep and wrapper["d"]:
+        keep = zlib.crc32(own_text(node).encode()) not in wrapper["d"]
     children = block_children(node)
     matched = iter(_matched(children, wrapper["k"]))
     run: list[str] = []
@@ -347,14 +363,14 @@ def _collect(node: Node, wrapper: Template, inside: bool, marked: bool, blocks:
 def _matched(children: list[Node], nodes: list[Template]) -> list[Template]:
     """The wrapper node of each child: equal labels in order, several siblings to one node.
 
-    A child that has none (its page was not among those the wrapper was made of) is judged by its own name.
+    A child that has none is judged by its own name.
     """
     out, at = [], 0
     for child in children:
         places = [*range(at, len(nodes)), *range(at)]
         found = next((k for k in places if nodes[k]["l"] == child.label), None)
         if found is None:
-            out.append({"l": child.label, "d": False, "x": False, "b": child.hidden, "m": child.main and not child.hidden, "k": []})
+            out.append({"l": child.label, "d": [], "x": False, "b": child.hidden, "m": child.main and not child.hidden, "k": []})
         else:
             out.append(nodes[found])
             at = max(at, found)
@@ -366,16 +382,6 @@ def _article_header(node: Node, inside: bool) -> bool:
     return inside and node.tag in ("header", "figure") and any(k.tag in HEADINGS for k in node.children)
 
 
-def _matched(children: list[Node], templates: list[Template]) -> list[Template | None]:
-    """The template node of each child: labels in order, several siblings to one node."""
-    out, at = [], 0
-    for child in children:
-        found = next((k for k in range(at, len(templates)) if templates[k]["l"] == child.label), None)
-        out.append(None if found is None else templates[found])
-        at = at if found is None else found
-    return out
-
-
 def host(url: Column) -> Column:
     """Lower-cased host of an address; the empty text if there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
