@@ -8,10 +8,11 @@ with the concentration of independent samples. Bands of bins make candidates, an
 are confirmed on the whole sets.
 
 Large groups of copies. Equal sets are one class from the start. Within a bucket members are
-compared with one pivot, and a bucket whose members are then connected needs no more. Only
-where several components are left in a bucket, their cross pairs are looked at, in blocks,
-first by sketch. So no link between different texts is lost to a cap, and a group of n near
-copies costs about n comparisons.
+compared with one pivot, and a bucket whose members are then connected needs no more. Where
+several components are left in a bucket, its members are compared by sketch, in blocks; families of
+agreeing sketches that still have several components are compared on their whole sets, in blocks,
+by products of membership matrices. Pairs are never written, only forests of the links found. So no link between different texts
+is lost to a cap, and a group of n near copies that are linked costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import lower_words, map_rows
-from canopy.llm.components import components, in_blocks
+from canopy.llm.components import Forest, components, in_blocks
 from canopy.session import materialize
 
 SHINGLE = 5
@@ -211,8 +212,56 @@ def _pivot_pairs(buckets: DataFrame, turn: int) -> DataFrame:
     return met.select("a", F.col("id").alias("b")).distinct()
 
 
-def _cross_pairs(buckets: DataFrame, sketch_of: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose sketches agree enough."""
+def _grouped(cells: DataFrame, group: str, size: str, n: int) -> DataFrame:
+    """Cells with a ``_group``: cells of small groups share one, cells of large groups have their own."""
+    shared = F.pmod(F.xxhash64(group), F.lit(max(1, n // BLOCK)))
+    own = F.xxhash64(group, "_i", "_j")
+    return cells.withColumn("_group", F.when(F.col(size) <= BLOCK, shared).otherwise(own))
+
+
+def _each_cell(table: pa.Table, group: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, bool]]:
+    """The cells of a group of cells: rows, the places of both sides, and whether they are one block."""
+    table = table.sort_by([(c, "ascending") for c in (group, "_i", "_j", "id")])
+    keys = np.stack([table[c].to_numpy() for c in (group, "_i", "_j")])
+    cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), table.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        cell = table.slice(lo, hi - lo)
+        own, inside = cell["_own"].to_numpy(), keys[1, lo] == keys[2, lo]
+        left = np.flatnonzero(own == keys[1, lo])
+        yield cell, left, left if inside else np.flatnonzero(own != keys[1, lo]), inside
+
+
+def _agreeing(sketch: np.ndarray, left: np.ndarray, right: np.ndarray, inside: bool) -> np.ndarray:
+    """Which sketches of the two sides agree in enough bins; one block is compared with itself once."""
+    least = AGREE * sketch.shape[1]
+    out = np.stack([np.count_nonzero(sketch[right] == sketch[x], axis=1) >= least for x in left])
+    return np.triu(out, 1) if inside else out
+
+
+def _sketches_of(cell: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint16).reshape(cell.num_rows, -1)
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, by products of membership matrices."""
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    out = np.zeros((len(left), len(right)))
+    for lo in range(0, len(every), width):
+        a, b = np.searchsorted(at, (lo, lo + width))
+        member = np.zeros((len(sets), width), np.float32)
+        member[of[a:b], at[a:b] - lo] = 1
+        out += member[left] @ member[right].T
+    return out
+
+
+def _families(buckets: DataFrame, sketch_of: DataFrame) -> DataFrame | None:
+    """(id, component, family): members of buckets with several components, joined where sketches agree.
+
+    Only a forest of the agreeing pairs is written: at most one row per member and cell.
+    """
     shape = buckets.groupBy("key").agg(
         F.count(F.lit(1)).alias("_size"),
         F.min("component").alias("_low"),
@@ -221,26 +270,61 @@ def _cross_pairs(buckets: DataFrame, sketch_of: DataFrame) -> DataFrame:
     )
     # Buckets of several bands with the same members are looked at once.
     once = shape.where(F.col("_low") < F.col("_high")).groupBy("_size", "_of").agg(F.min("key").alias("key"))
-    members = buckets.join(once, "key").join(sketch_of, "id")
-    cells = in_blocks(members, "key", F.col("_size"), "id", BLOCK)
-
-    def compare(cell: pa.Table) -> pa.Table:
-        ids, own = cell["id"].to_numpy(), cell["_own"].to_numpy()
-        label = cell["component"].to_numpy()
-        sketch = np.stack([np.frombuffer(s, np.uint16) for s in cell["sketch"].to_pylist()])
-        i = cell["_i"][0].as_py()
-        inside = i == cell["_j"][0].as_py()
-        left = np.flatnonzero(own == i)
-        right = left if inside else np.flatnonzero(own != i)
-        a, b = [], []
-        for x in left:
-            agree = np.count_nonzero(sketch[right] == sketch[x], axis=1) >= AGREE * sketch.shape[1]
-            for y in right[agree & (label[right] != label[x]) & ((ids[right] > ids[x]) | (not inside))]:
-                a.append(min(ids[x], ids[y]))
-                b.append(max(ids[x], ids[y]))
+    members, n = materialize(buckets.join(once.select("key", "_size"), "key").join(sketch_of, "id"), "crowded")
+    if not n:
+        return None
+    cells = _grouped(in_blocks(members, "key", F.col("_size"), "id", BLOCK), "key", "_size", n)
+
+    def compare(table: pa.Table) -> pa.Table:
+        forest = Forest()
+        for cell, left, right, inside in _each_cell(table, "key"):
+            ids = cell["id"].to_numpy()
+            for x, y in zip(*np.nonzero(_agreeing(_sketches_of(cell), left, right, inside))):
+                forest.union(int(ids[left[x]]), int(ids[right[y]]))
+        a, b = forest.links()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.groupBy("key", "_i", "_j").applyInArrow(compare, "a long, b long").distinct()
+    family = components(cells.groupBy("_group").applyInArrow(compare, "a long, b long"))
+    named = members.select("id", "component").distinct()
+    found = family.join(named, "id").withColumnRenamed("component_id", "family")
+    several = found.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+    open_ones = several.where(F.col("_low") < F.col("_high")).select("family", "size")
+    return materialize(found.join(open_ones, "family"), "families")[0]
+
+
+def _cross_links(families: DataFrame, n: int, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that connect what the whole sets of different components of a family link."""
+    cells = in_blocks(families.join(sets.select("id", "sketch", "shingles"), "id"), "family", F.col("size"), "id", BLOCK)
+
+    def compare(table: pa.Table) -> pa.Table:
+        forest = Forest()
+        for cell, left, right, inside in _each_cell(table, "family"):
+            label = cell["component"].to_numpy()
+            open_pairs = _agreeing(_sketches_of(cell), left, right, inside) & (label[left][:, None] != label[right][None, :])
+            some, other = np.flatnonzero(open_pairs.any(1)), np.flatnonzero(open_pairs.any(0))
+            if not len(some):
+                continue
+            ids = cell["id"].to_numpy()
+            packed = cell["shingles"].to_pylist()
+            places = np.unique(np.concatenate([left[some], right[other]]))
+            sets_here = [np.frombuffer(packed[k], np.uint64) for k in places]
+            size = np.array([len(s) for s in sets_here])
+            x, y = np.searchsorted(places, left[some]), np.searchsorted(places, right[other])
+            both = intersections(sets_here, x, y)
+            linked = 100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)
+            for p, q in zip(*np.nonzero(linked & open_pairs[np.ix_(some, other)])):
+                forest.union(int(ids[left[some[p]]]), int(ids[right[other[q]]]))
+        a, b = forest.links()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _grouped(cells, "family", "size", n).groupBy("_group").applyInArrow(compare, "a long, b long")
+
+
+def _labelled(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Buckets (key, id) with the component that each member is known to be in."""
+    if label is None:
+        return buckets.withColumn("component", F.col("id"))
+    return buckets.join(label, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -265,21 +349,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if n:
         sets = set_table(docs, first.select("id", "digest", "sketch").join(buckets.select("id").distinct(), "id"), doc_id, text)
         links = None
-        for turn in range(PIVOT_ROUNDS + 1):
-            named = buckets.withColumn("component", F.col("id"))
-            if label is not None:
-                named = buckets.join(label, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component"))
-            if turn < PIVOT_ROUNDS:
-                pairs = _pivot_pairs(named, turn)
-            else:
-                pairs = _cross_pairs(named, first.select("id", "sketch"))
-            pairs, n_pairs = materialize(pairs, "pairs")
+        for turn in range(PIVOT_ROUNDS):
+            pairs, n_pairs = materialize(_pivot_pairs(_labelled(buckets, label), turn), "pairs")
             if not n_pairs:
                 break
             new, n_new = materialize(confirmed(pairs, sets, percent), "confirmed")
-            if n_new:
-                links = new if links is None else links.unionByName(new)
-                label = components(links)
+            links = new if links is None else links.unionByName(new)
+            label = components(links) if n_new else label
+        families = _families(_labelled(buckets, label), first.select("id", "sketch"))
+        if families is not None:
+            new, n_new = materialize(_cross_links(families, families.count(), sets, percent), "confirmed")
+            label = components(links.unionByName(new)) if n_new else label
     result = rows.join(classes, "digest", "left")
     own = F.coalesce("rep", "doc_id")
     if label is not None:
