@@ -2,7 +2,8 @@
 
 Null, false and the empty string are false; everything else is true, zero included.
 ``and_`` and ``or_`` return one of their operands, not a boolean. A Column does not tell its
-type, so where the kind of truth matters the caller says ``of="string"`` or ``"boolean"``.
+type to Python, but ``typeof`` does so to Spark, which folds it: the type decides. Where the
+caller knows it, ``of="string"`` or ``"boolean"`` gives a shorter expression.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def truthy(c: Column, of: str = "any") -> Column:
     if of == "string":
         return c.isNotNull() & (F.coalesce(c, F.lit("")) != "")
     if of == "boolean":
         return F.coalesce(c, F.lit(False))
-    return c.isNotNull()
+    kind, text = F.typeof(c), c.cast("string")
+    false = F.when(kind == "string", text == "").when(kind == "boolean", text == "false").otherwise(F.lit(False))
+    return c.isNotNull() & ~F.coalesce(false, F.lit(True))
 
 
 def not_(c: Column, of: str = "any") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -92,7 +92,8 @@ def offset_location(file: Column, text: Column, offset: Column) -> Column:
     return location(file, line_at(text, offset), column_at(text, offset))
 
 
-_LOCATION = r"^([^:]*):(\d+):(\d+)$"
+# Line and column stand at the right end; the file may hold colons itself (``s3a://...``).
+_LOCATION = r"(?s)^(.*):(\d+):(\d+)$"
 
 
 def parse_location(c: Column) -> Column:
@@ -111,7 +112,11 @@ def span_slice(text: Column, start: Column, end: Column) -> Column:
 
     The lines in between are kept whole; each line of the slice is joined by a line end.
     """
-    lines = F.slice(F.split(text, "\n"), start["line"], end["line"] - start["line"] + 1)
+    return _span_of(F.split(text, "\n"), start, end)
+
+
+def _span_of(lines: Column, start: Column, end: Column) -> Column:
+    lines = F.slice(lines, start["line"], end["line"] - start["line"] + 1)
     last = end["line"] - start["line"]
 
     def cut(line: Column, i: Column) -> Column:
@@ -120,3 +125,20 @@ def span_slice(text: Column, start: Column, end: Column) -> Column:
         return F.substring(line, begin, F.greatest(to - begin, F.lit(0)))
 
     return F.array_join(F.transform(lines, cut), "\n")
+
+
+def node_slices(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Nodes (location, end_location, ...) with the ``slice`` of source text (path, content) they span.
+
+    Locations are gathered by file, so a file's text is not repeated for each of its nodes; the
+    list of one file's spans is no longer than the file.
+    """
+    start, end = parse_location(F.col("location")), parse_location(F.col("end_location"))
+    spans = nodes.withColumn("_start", start).withColumn("_end", end).withColumn("path", F.col("_start.file"))
+    rest = [c for c in nodes.columns if c != "path"]
+    per_file = spans.groupBy("path").agg(F.collect_list(F.struct("_start", "_end", *rest)).alias("_spans"))
+    # Lines once per file; a span then takes its own.
+    split = sources.select("path", F.split("content", "\n").alias("_lines")).join(per_file, "path")
+    cut = F.transform("_spans", lambda s: F.struct(s.alias("s"), _span_of(F.col("_lines"), s["_start"], s["_end"]).alias("slice")))
+    one = split.select(F.explode(cut).alias("_x"))
+    return one.select(*[F.col(f"_x.s.{c}").alias(c) for c in rest], F.col("_x.slice").alias("slice"))

@@ -3,8 +3,9 @@
 A recursive query with ``UNION`` (which drops rows seen before, and so ends on cycles) is not
 available in Spark SQL. The closure is computed in rounds instead: each round joins only the
 pairs found in the round before with the edges, and keeps the pairs not seen yet. A round is
-one Spark job, written below the checkpoint folder; the driver holds its row counts. Once few
-pairs are left to follow and they do not become more, a round takes several steps at once.
+one step and one Spark job, written below the checkpoint folder; the driver holds its row
+counts. Pairs are unique after every step, so no step makes more than pairs times edges, and a
+walk ends when nothing new is found, however long the chains or cycles are.
 """
 
 from __future__ import annotations
@@ -18,15 +19,11 @@ from pyspark.sql import types as T
 from canopy.operators.skew import HEAVY_ROWS, heavy_keys, salted_join
 from canopy.session import materialize, scratch_path, write_observed
 
-TAIL_HOPS = 4
-TAIL_PAIRS = 100_000
-
 
 def closure(
     edges: DataFrame,
     roots: DataFrame | None = None,
     reflexive: bool = True,
-    max_depth: int = 10_000,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """All (root, node) pairs connected by edges, with the least number of hops as ``depth``.
@@ -35,14 +32,13 @@ def closure(
     ``src``. ``reflexive`` adds (root, root, 0). Cycles and self loops end the walk since a
     pair is kept only once.
     """
-    return counted_closure(edges, roots, reflexive, max_depth, heavy_rows)[0]
+    return counted_closure(edges, roots, reflexive, heavy_rows)[0]
 
 
 def counted_closure(
     edges: DataFrame,
     roots: DataFrame | None = None,
     reflexive: bool = True,
-    max_depth: int = 10_000,
     heavy_rows: int = HEAVY_ROWS,
 ) -> tuple[DataFrame, int]:
     """The closure and its number of pairs, which is known from its rounds."""
@@ -52,44 +48,37 @@ def counted_closure(
     steps = steps.select(F.col("src").alias("node"), F.col("dst").alias("_next"))
     starts = steps.select(F.col("node").alias("root")) if roots is None else roots.toDF("root")
 
-    # A row's depth is its hop plus the depth its round started after, kept in the folder name:
-    # without changing literals in them, the plans of all rounds share their generated code.
+    # The depth of a row is the round that found it, kept in the folder name: without changing
+    # literals in them, the plans of all rounds share their generated code.
     base = scratch_path(spark, "closure")
     starts = starts.dropna().distinct()
-    starts = starts.select("root", F.col("root").cast(steps.schema["_next"].dataType).alias("node"), F.lit(1).alias("hop"))
+    starts = starts.select("root", F.col("root").cast(steps.schema["_next"].dataType).alias("node"))
     schema = starts.schema
 
-    def save(rows: DataFrame, after: int, hops: int) -> tuple[DataFrame, int, int]:
-        path = f"{base}/after={after}"
-        seen = write_observed(rows, path, rows=F.count(F.lit(1)), last=F.count_if(F.col("hop") == hops))
-        return spark.read.schema(schema).parquet(path).where(F.col("hop") == hops), seen["rows"], seen["last"]
-
-    frontier, total, open_pairs = save(starts, -1, 1)
-    depth, before, known = 0, 0, [-1] if reflexive else []
-    total = total if reflexive else 0
-    while open_pairs:
-        if depth >= max_depth:
-            raise RuntimeError(f"closure still growing after {depth} steps")
-        hops = TAIL_HOPS if open_pairs <= min(before, TAIL_PAIRS) else 1
-        crowded = heavy_keys(frontier, ["node"], open_pairs, heavy_rows)
-        rows, level = [], frontier
-        for hop in range(1, hops + 1):
-            level = salted_join(level, steps, ["node"], left_heavy=crowded, right_heavy=hubs).select(
-                "root", F.col("_next").alias("node"), F.lit(hop).alias("hop")
-            )
-            rows.append(level)
+    def save(rows: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        path = f"{base}/depth={depth}"
+        seen = write_observed(rows, path, rows=F.count(F.lit(1)))
+        return spark.read.schema(schema).parquet(path), seen["rows"]
+
+    frontier, found = save(starts, 0)
+    depth, total, known = 0, found if reflexive else 0, [0] if reflexive else []
+    while found:
+        crowded = heavy_keys(frontier, ["node"], found, heavy_rows)
+        level = salted_join(frontier, steps, ["node"], left_heavy=crowded, right_heavy=hubs).select(
+            "root", F.col("_next").alias("node"), F.lit(True).alias("new")
+        )
         if known:
-            seen = spark.read.schema(schema).parquet(*[f"{base}/after={d}" for d in known])
-            rows.append(seen.withColumn("hop", F.lit(0)))
-        # One shuffle drops both repeats and known pairs: a known pair has the least hop, 0.
-        fresh = reduce(DataFrame.unionByName, rows).groupBy("root", "node").agg(F.min("hop").alias("hop"))
-        before = open_pairs
-        frontier, found, open_pairs = save(fresh.where(F.col("hop") > 0), depth, hops)
+            seen = spark.read.schema(schema).parquet(*[f"{base}/depth={d}" for d in known])
+            level = level.unionByName(seen.withColumn("new", F.lit(False)))
+        # One shuffle drops both repeats and known pairs: a known pair has a row that is not new.
+        fresh = level.groupBy("root", "node").agg(F.bool_and("new").alias("new")).where("new")
+        depth += 1
+        frontier, found = save(fresh.select("root", "node"), depth)
         known.append(depth)
-        depth, total = depth + hops, total + found
-    after = T.StructType([*schema.fields, T.StructField("after", T.IntegerType())])
-    whole = spark.read.schema(after).option("basePath", base).parquet(base)
-    whole = whole.select("root", "node", (F.col("after") + F.col("hop")).alias("depth"))
+        total += found
+    with_depth = T.StructType([*schema.fields, T.StructField("depth", T.IntegerType())])
+    whole = spark.read.schema(with_depth).option("basePath", base).parquet(base)
+    whole = whole.select("root", "node", "depth")
     return (whole if reflexive else whole.where(F.col("depth") > 0)), total
 
 
@@ -115,7 +104,8 @@ def parents(links: DataFrame) -> DataFrame:
 def ancestor(nodes: DataFrame, links: DataFrame, n: int = 1) -> DataFrame:
     """The n-th ancestor of each node as (id, ancestor), clamped at the root.
 
-    Jumps double: the plan has about ``2 log2(n)`` joins instead of n.
+    Jumps double, and the table of jumps is written down after each doubling: about
+    ``2 log2(n)`` joins instead of n, in plans of two joins each.
     """
     if n < 0:
         raise ValueError("n must not be negative")
@@ -129,17 +119,19 @@ def ancestor(nodes: DataFrame, links: DataFrame, n: int = 1) -> DataFrame:
         n >>= 1
         if n:
             again = jump.select(F.col("id").alias("to"), F.col("to").alias("_to"))
-            jump = jump.join(again, "to").select("id", F.col("_to").alias("to"))
+            jump, _ = materialize(jump.join(again, "to").select("id", F.col("_to").alias("to")), "jump")
+            current, _ = materialize(current, "ancestors")
     return current
 
 
-def node_depth(nodes: DataFrame, links: DataFrame, max_rounds: int = 64, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def node_depth(nodes: DataFrame, links: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Root and depth of each node as (id, root, depth); a root has depth 0.
 
     Pointer jumping: every unfinished node points to an ancestor and replaces that pointer by
     the ancestor's own pointer, so the distance doubles and the rounds grow with the logarithm
     of the tree depth. Finished nodes leave the probing side. Nodes on a cycle have no root
-    and make the call fail.
+    and make the call fail: in a forest every round finishes a node, at least the highest one
+    that was left.
     """
     spark = nodes.sparkSession
     start = (
@@ -154,11 +146,11 @@ def node_depth(nodes: DataFrame, links: DataFrame, max_rounds: int = 64, heavy_r
     )
     table, _ = materialize(start, "depth")
     finished, moving = [table.where("done")], table.where("NOT done")
-    for _ in range(max_rounds):
-        left = moving.count()
-        if not left:
-            done = reduce(DataFrame.unionByName, finished)
-            return done.select("id", F.col("to").alias("root"), "depth")
+    before = None
+    while left := moving.count():
+        if left == before:
+            raise RuntimeError(f"links hold a cycle: {left} nodes have no root")
+        before = left
         target = reduce(DataFrame.unionByName, finished, moving).select(
             F.col("id").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_depth"), F.col("done").alias("_done")
         )
@@ -168,4 +160,5 @@ def node_depth(nodes: DataFrame, links: DataFrame, max_rounds: int = 64, heavy_r
         table, _ = materialize(jumped, "depth")
         finished.append(table.where("done"))
         moving = table.where("NOT done")
-    raise RuntimeError("links hold a cycle or are deeper than the round limit allows")
+    done = reduce(DataFrame.unionByName, finished)
+    return done.select("id", F.col("to").alias("root"), "depth")

@@ -57,6 +57,13 @@ def diff(before: DataFrame, after: DataFrame, keys: Sequence[str], keep_common:
     return out if keep_common else out.where(F.col("status") != "common")
 
 
+def diff_commits(store, name: str, before: str, after: str, keys: Sequence[str], keep_common: bool = False) -> DataFrame:
+    """Difference of a tagged table between two commits of a store, looked up by their names."""
+    rows = store.read(name)
+    first, second = (rows.where(F.col("tag") == store.tag_of(c)).drop("tag") for c in (before, after))
+    return diff(first, second, keys, keep_common)
+
+
 def functions_like(functions: DataFrame, links: DataFrame, nodes: DataFrame, pattern: str) -> DataFrame:
     """Functions whose name matches, with number and kind of each body entry: (name, type, num, kind).
 

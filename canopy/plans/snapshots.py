@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators import snapshots
+from canopy.operators.rules import Event, RuleSet
+from canopy.operators.rules import Store as RuleStore
 from canopy.operators.tables import Key, TableDef
 from canopy.plans.bindings import SCHEMAS, table
 from canopy.plans.registry import query
 from canopy.session import scratch_path
+from canopy.sources.analyze import analyze
 from canopy.sources.store import Store, allocate_tags
 from canopy.streaming.load import file_stream, load_new_keys, load_snapshots, read_new_keys
 
@@ -120,6 +123,31 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.diff(year("1995-01-01", "1996-01-01"), year("1996-01-01", "1997-01-01"), ["o_custkey"], keep_common=True)
 
 
+_YEAR_DIFF = """
+WITH t AS (SELECT year(o_orderdate) AS y, o_custkey AS id, o_orderstatus AS status,
+   count(*) AS n FROM orders GROUP BY 1, 2, 3),
+ b AS (SELECT * FROM t WHERE y = 1995), a AS (SELECT * FROM t WHERE y = 1996)
+SELECT coalesce(a.id, b.id) AS id, coalesce(a.status, b.status) AS status_of,
+  CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' ELSE 'changed' END AS status
+FROM b FULL JOIN a ON a.id = b.id AND a.status = b.status WHERE a.n IS DISTINCT FROM b.n"""
+
+COUNTS = TableDef.of("counts_at", Key("tag:INTEGER"), Key("id:INTEGER"), Key("status_of"), "n:INTEGER")
+
+
+@query(_YEAR_DIFF)
+def commit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored commits, found by name and compared: orders analysed by rules into a tagged store."""
+    orders = table(spark, sf_dir, "orders")
+    store = Store(spark, scratch_path(spark, "store"), [COUNTS], fresh=True)
+    rules = RuleSet(Event(None, RuleStore(COUNTS, F.lit(None), F.col("id"), F.col("status_of"), F.col("n"))))
+    for commit in ("1995", "1996"):
+        records = orders.where(F.year("o_orderdate") == int(commit)).groupBy(
+            F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status_of")
+        )
+        analyze(records.agg(F.count(F.lit(1)).alias("n")), rules, store, commit)
+    return snapshots.diff_commits(store, "counts_at", "1995", "1996", ["id", "status_of"])
+
+
 @query("SELECT row_number() OVER (ORDER BY p_name || '.' || p_partkey) AS number, p_name || '.' || p_partkey AS name FROM part")
 def list_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(
@@ -187,7 +215,8 @@ def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in ("first", "again"):  # the second run sees the files anew and replaces their tag
         rows = file_stream(spark, sf_dir, SCHEMAS["events"], "events*.parquet")
         load_snapshots(rows, store, build, f"{base}/{run}")
-    return store.read("events_at").join(store.tags(), "tag").drop("tag")
+    file = F.substring_index("commit_id", "/", -1).alias("commit_id")
+    return store.read("events_at").join(store.tags().select("tag", file), "tag").drop("tag")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")

@@ -54,6 +54,23 @@ def span_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.span_slice(F.col("text"), start, end).alias("slice"))
 
 
+@query(
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+ n AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS body FROM l)
+SELECT 's3a://docs/' || doc_id || ':' || line || ':1' AS location, substr(body, 1, greatest(length(body) - 1, 0)) AS slice FROM n"""
+)
+def node_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with the locations of lines, joined to the source text on the file of the location."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sources = docs.select(F.concat(F.lit("s3a://docs/"), "doc_id").alias("path"), F.col("text").alias("content"))
+    line = F.posexplode(F.split("content", "\n")).alias("_i", "_line")
+    nodes = sources.select("path", line).select(
+        text.location(F.col("path"), F.col("_i") + 1, F.lit(1)).alias("location"),
+        text.location(F.col("path"), F.col("_i") + 1, F.greatest(F.char_length("_line"), F.lit(1))).alias("end_location"),
+    )
+    return text.node_slices(nodes, sources).select("location", "slice")
+
+
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per part, declaring a struct, its methods, a contract and a function."""
     part = spread(table(spark, sf_dir, "part"), min_bytes=0)

@@ -122,6 +122,44 @@ def tree_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.child_summary(hierarchy.nodes(levels), hierarchy.links(levels))
 
 
+@query(
+    _TREE
+    + """SELECT p.id, p.kind, l.link_number, l.link_id, c.kind AS child_kind, c.data AS child_data
+FROM nodes p LEFT JOIN links l USING (id) LEFT JOIN nodes c ON c.id = l.link_id"""
+)
+def ordered_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with its children in order, one row per child."""
+    levels = tree_levels(spark, sf_dir)
+    return tree.children(hierarchy.nodes(levels), hierarchy.links(levels)).select(
+        "id", "kind", "link_number", "link_id", "child_kind", "child_data"
+    )
+
+
+@query(_DOC_NODES + "SELECT id, link_number AS entry_num, link_id AS entry_id FROM links WHERE label = 'words'")
+def body_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each line as numbered entries."""
+    return tree.entries(shred.links(_documents(spark, sf_dir)), "words")
+
+
+@query(
+    _DOC_NODES
+    + """SELECT n.doc, n.kind, count(*) AS n, count(l.link_id) AS children, count(DISTINCT l.link_id) AS different_children
+FROM nodes n LEFT JOIN links l ON l.id = n.id GROUP BY n.doc, n.kind"""
+)
+def hashed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and links under 64-bit ids, checked to be unique, joined by them."""
+    entries = _documents(spark, sf_dir)
+    rows = shred.nodes(entries, ids=True)
+    shred.check_ids(rows)
+    named = entries.where(F.col("path").isNotNull()).select(
+        shred.path_id(F.col("path")).alias("id"), F.substring_index("path", "/", 1).alias("doc")
+    )
+    links = shred.links(entries, ids=True).select("id", "link_id")
+    return rows.join(named, "id").join(links, "id", "left").groupBy("doc", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count("link_id").alias("children"), F.count_distinct("link_id").alias("different_children")
+    )
+
+
 @query(
     _TREE
     + """SELECT root, kind, CAST(depth AS BIGINT) AS depth, count(*) AS n, min(id) AS first_id
@@ -146,7 +184,7 @@ UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey, 'Nation', n_name FROM n
 )
 def root_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations opened as groups (two hops), and nations listed themselves (one hop)."""
-    levels = tree_levels(spark, sf_dir)[:3]
+    levels = tree_levels(spark, sf_dir)
     nodes, links = hierarchy.nodes(levels), hierarchy.edges(levels)
     opened = tree.root_decls(nodes, links, "Region", "Nation")
     listed = tree.root_decls(nodes, links, "Region", "GenDecl")
@@ -269,8 +307,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, lower(substr(tag, 2)) AS kind, count(*) AS n FROM t GROUP BY 1, 2"""
 )
 def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = markup.parse_trees(_pages(spark, sf_dir), "page_id", "html", texts=False)
-    return markup.parsed(trees).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return markup.tag_names(_pages(spark, sf_dir), "page_id", "html").groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

@@ -2,8 +2,10 @@
 
 Covers text laid out the standard way: a top-level declaration starts in the first column and
 a type body closes with ``}`` in the first column. Each file is one row and stays within it:
-lines, declarations and members are array expressions, so nothing is shuffled. Declarations
-outside the covered subset are not guessed at; they are listed by ``unsupported``.
+lines, declarations and members are array expressions, so nothing is shuffled. Block comments and
+raw strings are blanked out first, keeping lines and columns. Declarations and contract members
+outside the covered subset are not guessed at; they are listed by ``unsupported``, and a contract
+with such a member asks for an item that nothing offers, so that it is never weakened.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions.logic import truthy
 from canopy.functions.text import basetype, location, qualified, trim
-from canopy.operators.rules import Case, Event, EventCase, EventCaseType, ForAll, Otherwise, RuleSet, Store
+from canopy.operators.rules import Case, Event, ForAll, RuleSet, Store
 from canopy.operators.tables import Key, TableDef
 
 METHODS = TableDef.of("methods", Key("name"), Key("type"), Key("receiver_type"), "location")
@@ -33,10 +35,15 @@ PREDECLARED = (
 TYPE_WORDS = "chan func interface map struct".split()
 
 _NAME = r"[A-Za-z_]\w*"
-_RESULT = r"(\([^()]*\)|(?:interface\{\}|struct\{\}|[^{(])*?)"
-_FUNC = rf"^func\s+(?:\(\s*(?:{_NAME}\s+)?(\*?[\w.]+)\s*\)\s*)?({_NAME})\(([^()]*)\)\s*{_RESULT}\s*(?:\{{.*)?$"
+# A list in brackets; brackets inside it, as in a parameter that is a function, may nest once.
+_LIST = r"((?:[^()]|\([^()]*\))*)"
+_RESULT = rf"(\({_LIST.replace('((', '(?:(', 1)}\)|(?:interface\{{\}}|struct\{{\}}|[^{{(])*?)"
+_FUNC = rf"^func\s+(?:\(\s*(?:{_NAME}\s+)?(\*?[\w.]+)\s*\)\s*)?({_NAME})\({_LIST}\)\s*{_RESULT}\s*(?:\{{.*)?$"
 _TYPE = rf"^type\s+({_NAME})\s+(.*?)\s*$"
-_REQUIREMENT = rf"^({_NAME})\(([^()]*)\)\s*{_RESULT}$"
+_REQUIREMENT = rf"^({_NAME})\({_LIST}\)\s*{_RESULT}$"
+# Comments, strings and the text between them.
+_PIECES = r"""/\*[\s\S]*?(?:\*/|\z)|`[^`]*(?:`|\z)|//[^\n]*|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|[^/`"']+|/"""
+_OTHER = "unsupported"
 _EMBEDDED = r"^\*?[A-Za-z_][\w.]*$"
 _LOCAL_NAME = rf"(?<![\w.])(?!(?:{'|'.join(PREDECLARED + TYPE_WORDS)})\b)({_NAME})(?![\w.])"
 
@@ -48,7 +55,7 @@ def type_text(text: Column, package: Column) -> Column:
 
 def type_list(text: Column, package: Column) -> Column:
     """Types of a parameter list: names dropped, ``a, b T`` counted as two T."""
-    pieces = F.filter(F.transform(F.split(text, ","), trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(text, r",(?![^()]*\))"), trim), lambda p: p != "")
     words = "|".join(TYPE_WORDS)
 
     def named(p: Column) -> Column:
@@ -88,13 +95,22 @@ def signature(params: Column, results: Column, package: Column, params_only: boo
     )
 
 
+def without_comments(content: Column) -> Column:
+    """Text with block comments and raw strings blanked out; every other character keeps its place."""
+    blank = lambda p: F.regexp_replace(p, r"[^\r\n]", " ")
+    pieces = F.regexp_extract_all(content, F.lit(_PIECES), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("/*") | p.startswith("`"), blank(p)).otherwise(p)), "")
+
+
 def declarations(sources: DataFrame, params_only: bool = False) -> DataFrame:
     """Declarations of source files (path, content), one row each.
 
     Columns: path, package, line, kind (FuncDecl, TypeSpec or null when unsupported), name,
     receiver, type, type_kind (StructType, InterfaceType, Other), location, members. A member
-    is (name, type, embedded, location): a required method, or an embedded type.
+    is (name, type, embedded, location): a required method, or an embedded type. A member of a
+    contract that is neither has its text as name and the type ``unsupported``.
     """
+    sources = sources.withColumn("content", without_comments(F.col("content")))
     lines = F.split("content", r"\r?\n")
     package = F.regexp_extract("content", rf"(?m)^package\s+({_NAME})", 1)
     opened = sources.select("path", lines.alias("lines"), package.alias("package"))
@@ -162,11 +178,12 @@ def declarations(sources: DataFrame, params_only: bool = False) -> DataFrame:
     def member(m: Column) -> Column:
         required = m["text"].rlike(_REQUIREMENT)
         embedded = m["text"].rlike(_EMBEDDED)
+        other = (F.col("type_kind") == "InterfaceType") & (m["text"] != "") & ~required & ~embedded
         return F.when(
-            required | embedded,
+            required | embedded | other,
             F.struct(
-                F.when(required, F.regexp_extract(m["text"], _REQUIREMENT, 1)).alias("name"),
-                F.when(
+                F.when(required, F.regexp_extract(m["text"], _REQUIREMENT, 1)).when(other, m["text"]).alias("name"),
+                F.when(other, F.lit(_OTHER)).when(
                     required,
                     signature(
                         F.regexp_extract(m["text"], _REQUIREMENT, 2),
@@ -188,38 +205,34 @@ def declarations(sources: DataFrame, params_only: bool = False) -> DataFrame:
 
 
 def unsupported(declared: DataFrame) -> DataFrame:
-    """Declarations outside the covered subset, for a look by hand."""
-    return declared.where(F.col("kind").isNull()).select("path", "line", "head")
+    """Declarations, and members of contracts, outside the covered subset: (path, line, head, member)."""
+    none = F.lit(None).cast("string")
+    whole = declared.where(F.col("kind").isNull()).select("path", "line", "head", none.alias("member"))
+    member = F.explode(F.filter("members", lambda m: m["type"] == _OTHER)).alias("m")
+    return whole.unionByName(declared.select("path", "line", "head", member).select("path", "line", "head", F.col("m.name").alias("member")))
 
 
 def declaration_rules() -> RuleSet:
-    """Methods, functions, types, contracts and embeddings out of declaration rows."""
-    name, kind, place = F.col("name"), F.col("type"), F.col("location")
+    """Methods, functions, types, contracts and embeddings out of declaration rows, one rule per table."""
+    name, kind, place, form = (F.col(c) for c in ("name", "type", "location", "type_kind"))
+    bound, struct, contract = truthy(F.col("receiver"), "string"), form == "StructType", form == "InterfaceType"
+
+    def each(table: TableDef, which: Column, wanted, *values) -> Event:
+        """A row of ``table`` for each wanted member of the types that ``which`` holds for."""
+        row = lambda m: Store(table, *[v(m) if callable(v) else v for v in values])
+        return Event("TypeSpec", ForAll(F.col("members"), lambda m: Case()(which & wanted(m), row(m))))
 
-    def embedded(m: Column) -> Column:
+    def inner(m: Column) -> Column:
         return m["embedded"].isNotNull()
 
     return RuleSet(
-        EventCase("FuncDecl")(
-            truthy(F.col("receiver"), "string"), Store(METHODS, name, kind, basetype(F.col("receiver")), place)
-        )(Otherwise, Store(FUNCTIONS, name, kind, place)),
+        Event("FuncDecl", Case()(bound, Store(METHODS, name, kind, basetype(F.col("receiver")), place))),
+        Event("FuncDecl", Case()(~bound, Store(FUNCTIONS, name, kind, place))),
         Event("TypeSpec", Store(TYPES, name, place)),
-        EventCaseType("TypeSpec", F.col("type_kind"))(
-            "InterfaceType",
-            Store(INTERFACES, name, place),
-            ForAll(
-                F.col("members"),
-                lambda m: Case()(embedded(m), Store(INTERFACE_INHERITS, name, basetype(m["embedded"])))(
-                    Otherwise, Store(INTERFACE_REQS, name, m["name"], m["type"], m["location"])
-                ),
-            ),
-        )(
-            "StructType",
-            Store(STRUCTS, name, place),
-            ForAll(
-                F.col("members"),
-                lambda m: Case()(embedded(m), Store(STRUCT_INHERITS, name, basetype(m["embedded"]))),
-            ),
-        ),
+        Event("TypeSpec", Case()(struct, Store(STRUCTS, name, place))),
+        Event("TypeSpec", Case()(contract, Store(INTERFACES, name, place))),
+        each(INTERFACE_REQS, contract, lambda m: ~inner(m), name, lambda m: m["name"], lambda m: m["type"], lambda m: m["location"]),
+        each(INTERFACE_INHERITS, contract, inner, name, lambda m: basetype(m["embedded"])),
+        each(STRUCT_INHERITS, struct, inner, name, lambda m: basetype(m["embedded"])),
         kind=F.col("kind"),
     )

@@ -134,3 +134,9 @@ def tree_links(trees: DataFrame, key: str) -> DataFrame:
             "depth",
         )
     )
+
+
+def tag_names(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind) of every element that begins in a page, by one pattern and no tree."""
+    tags = F.regexp_extract_all(F.col(text), F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))
+    return pages.select(key, F.explode(F.transform(tags, F.lower)).alias("kind"))

@@ -2,9 +2,10 @@
 
 Tagged tables are partitioned by ``tag``, so a snapshot is read, replaced or removed without
 touching the others. Which tags are live is kept in a log that is only ever appended to, one
-small file per load or removal. A load writes its data first and then, in one append, makes
-its new tag live and the old one of the commit dead: readers that start from ``tags`` never
-see half a snapshot. Dead data is deleted afterwards. One writer at a time.
+small file per load or removal. A load first reserves its tags there, then writes its data, and
+then, in one append, makes its new tag live and the old one of the commit dead. Readers see the
+rows of live tags only, so never half a snapshot, and the tag of a load that failed is never
+used again. Dead data is deleted afterwards. One writer at a time.
 """
 
 from __future__ import annotations
@@ -69,15 +70,27 @@ class Store:
     def read(self, name: str) -> DataFrame:
         if name == "tags":
             return self.tags()
+        rows = self._stored(name)
+        # The live tags reach the scan as a partition filter where they are few, else at run time.
+        return rows.join(self.tags().select("tag"), "tag", "left_semi").select(*rows.columns) if self._tagged(name) else rows
+
+    def _stored(self, name: str) -> DataFrame:
         table = self.tables[name]
         return self.spark.read.schema(table.schema).parquet(self._folder(name)).select(*table.columns)
 
     def append(self, name: str, rows: DataFrame, order: Sequence[str] | None = None) -> None:
-        """Add rows; of rows with equal keys, stored ones and then the least by ``order`` win."""
+        """Add rows; of rows with equal keys, stored ones and then the least by ``order`` win.
+
+        Rows of a tagged table belong to tags that are live already; only stored rows of those
+        tags are compared.
+        """
         table = self.tables[name]
         rows = table.conform(rows)
         if table.keys:
-            rows = insert_ignore(self.read(name), rows, table.keys, order)
+            stored = self._stored(name)
+            if self._tagged(name):
+                stored = stored.join(rows.select("tag").distinct(), "tag", "left_semi").select(*stored.columns)
+            rows = insert_ignore(stored, rows, table.keys, order)
         self._write(name, rows, "append")
 
     def _write(self, name: str, rows: DataFrame, mode: str) -> None:
@@ -112,7 +125,8 @@ class Store:
     def _log(self) -> DataFrame:
         return self.spark.read.schema(_TAG_LOG.schema).parquet(self._folder("tags"))
 
-    def _log_append(self, rows: list[tuple[int, str, bool]]) -> None:
+    def _log_append(self, rows: list[tuple[int, str, bool | None]]) -> None:
+        """Live, dead, or (null) reserved tags."""
         self.spark.createDataFrame(rows, _TAG_LOG.schema).coalesce(1).write.mode("append").parquet(self._folder("tags"))
 
     def tags(self) -> DataFrame:
@@ -121,6 +135,12 @@ class Store:
         dead = log.where(~F.col("live")).select("tag")
         return log.where(F.col("live")).join(dead, "tag", "left_anti").select(*TAGS.columns)
 
+    def _abandoned(self) -> DataFrame:
+        """Tags that a load reserved and, since it failed, never made live."""
+        log = self._log()
+        settled = log.where(F.col("live").isNotNull()).select("tag")
+        return log.where(F.col("live").isNull()).join(settled, "tag", "left_anti").select(*TAGS.columns)
+
     def tag_of(self, commit: str) -> int:
         found = self.tags().where(F.col("commit_id") == commit).select("tag").take(2)
         if len(found) != 1:
@@ -162,6 +182,8 @@ class Store:
         first = self._next_tag()
         tags = {c: first + i for i, c in enumerate(commits)}
         old = [tuple(r) for r in self.tags().where(F.col("commit_id").isin(commits)).collect()]
+        old += [tuple(r) for r in self._abandoned().collect()]
+        self._log_append([(t, c, None) for c, t in tags.items()])
         named = self.spark.createDataFrame([(t, c) for c, t in tags.items()], TAGS.schema)
         for name, rows in tables.items():
             table = self.tables[name]

@@ -37,7 +37,7 @@ def load_snapshots(
     build: Callable[[DataFrame], Mapping[str, DataFrame]],
     checkpoint: str,
 ) -> None:
-    """Every new file is a commit of its own name: build its tables and replace its tag.
+    """Every new file is a commit named by its whole path: build its tables and replace its tag.
 
     ``build`` gets a batch with a ``commit_id`` column and keeps that column in the tables it
     returns. A batch names at most ``max_files`` commits, which bounds the list the driver
@@ -49,7 +49,7 @@ def load_snapshots(
         if commits:
             store.load_many(commits, build(df))
 
-    named = rows.select("*", F.col("_metadata.file_name").alias("commit_id"))
+    named = rows.select("*", F.col("_metadata.file_path").alias("commit_id"))
     named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
     ).start().awaitTermination()

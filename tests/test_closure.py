@@ -51,9 +51,14 @@ def test_long_chain_takes_several_steps_at_once(spark, rows):
     assert sorted(rows(plain)) == sorted((0, n, d) for n, d in reach(pairs, 0).items() if d)
 
 
-def test_depth_limit_and_nothing_to_do(spark):
-    with pytest.raises(RuntimeError):
-        closure(edges(spark, [(i, i + 1) for i in range(9)]), max_depth=3)
+def test_layers_take_no_more_than_pairs_times_edges(spark):
+    layers, width = 6, 12
+    dense = [(a * width + i, (a + 1) * width + j) for a in range(layers - 1) for i in range(width) for j in range(width)]
+    got = closure(edges(spark, dense), spark.createDataFrame([(i,) for i in range(width)], "n long"))
+    assert got.count() == width + width * width * (layers - 1)
+
+
+def test_nothing_to_do(spark):
     assert closure(edges(spark, [])).count() == 0
     assert closure(edges(spark, []), reflexive=False).count() == 0
 
@@ -84,10 +89,10 @@ def test_node_depth(spark, rows):
 def test_node_depth_refuses_a_cycle(spark):
     nodes = spark.createDataFrame([(1,), (2,)], "id long")
     with pytest.raises(RuntimeError):
-        node_depth(nodes, spark.createDataFrame([(1, 2), (2, 1)], "id long, link_id long"), max_rounds=3)
+        node_depth(nodes, spark.createDataFrame([(1, 2), (2, 1)], "id long, link_id long"))
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 19, 25])
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 19, 25, 40])
 def test_ancestor_is_clamped_at_the_root(spark, rows, n):
     nodes, links = forest(spark)
     got = dict(rows(ancestor(nodes, links, n)))

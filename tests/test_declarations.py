@@ -182,7 +182,7 @@ type (
 \tGrouped int
 )
 
-func callback(f func(int) int) {}
+func callback(f func(g func(int) int) int) {}
 
 func fine(m map[string]int, c chan int, x interface{}) [4]byte { return nil }
 """
@@ -277,6 +277,8 @@ def test_wide_kind_table_definition():
 def test_unsupported_declarations_are_listed(spark, rows):
     found = declarations(spark.createDataFrame([("o.go", ODD)], "path string, content string"))
     assert rows(unsupported(found), "line") == [(3,), (7,)]
+    nested = declarations(spark.createDataFrame([("n.go", "package n\n\nfunc once(f func(int, bool) int, k string) {}")], "path string, content string"))
+    assert rows(nested, "type") == [("func(func(int, bool) int, string)",)]
     assert rows(found.where(F.col("name") == "fine"), "type") == [("func(map[string]int, chan int, interface{}) [4]byte",)]
 
 
@@ -303,3 +305,46 @@ def test_find_and_read_files(spark, rows, folder):
     assert sources.count() == 2
     types = declaration_rules().apply(declarations(sources))["types"]
     assert types.count() == 6 + 4
+
+
+STRICT = """package walk
+
+/* Old code:
+func Ghost() {}
+type Gone struct {}
+*/
+type Walker interface {
+\tName() string
+\tWalk(fn func(int, string) error, depth int) error
+}
+
+type Odd interface {
+\tName() string
+\tDeep(f func(g func(int) int) int)
+}
+
+type T struct{ n int }
+
+func (t T) Name() string { return `
+func InString() {}
+` }
+
+type Full struct{ n int }
+
+func (f Full) Name() string { return "/*" }
+func (f Full) Walk(g func(int, string) error, n int) error { return nil }
+"""
+
+
+def test_contracts_are_not_weakened_and_comments_are_no_code(spark, rows, tmp_path):
+    (tmp_path / "walk.go").write_text(STRICT)
+    declared = declarations(read_sources(spark, str(tmp_path), "*.go"))
+    store = Store(spark, str(tmp_path / "store"), SATISFACTION_TABLES, fresh=True)
+    analyze(declared, declaration_rules(), store)
+    t = {name: store.read(name) for name in store.tables}
+    assert rows(t["functions"], "name") == []
+    assert rows(t["types"], "name") == [("walk.Full",), ("walk.Odd",), ("walk.T",), ("walk.Walker",)]
+    assert ("walk.Walker", "Walk", "func(func(int, string) error, int) error") in rows(t["interface_reqs"], "interface", "name", "type")
+    pairs = satisfaction(t["structs"], t["methods"], t["interfaces"], t["interface_reqs"], t["struct_inherits"], t["interface_inherits"])
+    assert rows(pairs) == [("walk.Full", "walk.Walker")]
+    assert rows(unsupported(declared), "member") == [("Deep(f func(g func(int) int) int)",)]

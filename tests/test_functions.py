@@ -15,10 +15,14 @@ def one(spark, column, **values):
         ("x", "string", True), ("", "string", False), (None, "string", False),
         (True, "boolean", True), (False, "boolean", False), (None, "boolean", False),
         (0, "any", True), (1, "any", True), (None, "any", False),
+        ("x", "text", True), ("", "text", False), ("false", "text", True), (None, "text", False),
+        (True, "flag", True), (False, "flag", False), (None, "flag", False),
     ],
 )
 def test_truthy(spark, value, of, want):
-    c = F.lit(value).cast({"string": "string", "boolean": "boolean", "any": "int"}[of])
+    # Without a name of its type ("text", "flag"), the type of the column decides.
+    c = F.lit(value).cast({"string": "string", "boolean": "boolean", "any": "int", "text": "string", "flag": "boolean"}[of])
+    of = "any" if of in ("text", "flag") else of
     assert one(spark, logic.truthy(c, of)) is want
     assert one(spark, logic.not_(c, of)) is (not want)
 
@@ -66,7 +70,7 @@ def test_strings(spark):
     assert one(spark, text.ilike(F.lit("ObjectX"), "%object%")) is True
 
 
-@pytest.mark.parametrize("value, want", [("a/b.go:12:3", ("a/b.go", 12, 3)), (None, (None,) * 3), ("bad", (None,) * 3)])
+@pytest.mark.parametrize("value, want", [("a/b.go:12:3", ("a/b.go", 12, 3)), ("s3a://b/x.go:1:2", ("s3a://b/x.go", 1, 2)), ("file:/a:9:7", ("file:/a", 9, 7)), (None, (None,) * 3), ("bad", (None,) * 3)])
 def test_parse_location(spark, value, want):
     assert tuple(one(spark, text.parse_location(F.lit(value).cast("string")))) == want
 

@@ -44,6 +44,6 @@ def test_plan_holds_nothing_that_does_not_scale(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
-    assert ("MapInPandas" in text) == name.startswith("html_")
+    assert ("MapInPandas" in text) == (name == "html_tree_links")
     # The only window runs over one row per sort task.
     assert all("_task#" in line for line in text.splitlines() if "Window [" in line)

@@ -116,6 +116,25 @@ def test_like_join_keeps_tags_apart(spark, rows):
     assert got == [("OBJECTS", "f", 1, "For"), ("getObject", "f", 1, "If")]
 
 
+def test_a_failed_load_is_never_seen_and_its_tag_not_used_again(spark, rows, store):
+    good = nodes(spark, "A")
+    broken = good.withColumn("data", F.raise_error(F.lit("stop")).cast("string"))
+    store.load("c0", {"node_data": good})
+    # The data of the first table is written before the second fails.
+    with pytest.raises(Exception):
+        store.load("c1", {"node_data": good, "plain": broken})
+    assert rows(store.read("node_data"), "tag") == [(1,)] and store.query("SELECT * FROM node_data").count() == 1
+    assert store.load("c2", {"node_data": good.where("false")}) == 3
+    assert rows(store.read("node_data"), "tag") == [(1,)]
+    assert rows(store.tags(), "commit_id") == [("c0",), ("c2",)]
+
+
+def test_diff_of_commits(spark, rows, store):
+    store.load("c1", {"node_data": nodes(spark, "A", "B")})
+    store.load("c2", {"node_data": nodes(spark, "A", "C", "D")})
+    assert rows(snapshots.diff_commits(store, "node_data", "c1", "c2", ["id"])) == [(1, "changed"), (2, "added")]
+
+
 def write_file(spark, folder, name, data):
     path = str(folder / f"tmp-{name}")
     spark.createDataFrame(data, "id int, kind string, data string").coalesce(1).write.parquet(path)
@@ -143,10 +162,20 @@ def test_stream_of_snapshots_equals_batch_and_goes_on(spark, rows, store, tmp_pa
     assert rows(store.read("node_data"), "data") == [("A",), ("B",), ("C",)]
     write_file(spark, tmp_path, "three", [(9, "TypeSpec", "D")])
     run()
-    assert rows(store.tags(), "commit_id") == [("one.parquet",), ("three.parquet",), ("two.parquet",)]
+    names = sorted(c.rsplit("/", 1)[1] for (c,) in rows(store.tags(), "commit_id"))
+    assert names == ["one.parquet", "three.parquet", "two.parquet"]
     assert store.read("node_data").count() == 4
 
 
+def test_files_of_equal_name_in_two_folders_are_two_commits(spark, rows, store, tmp_path):
+    for n in ("x", "y"):
+        (tmp_path / n / "in").mkdir(parents=True)
+        write_file(spark, tmp_path / n, "part", [(1, "TypeSpec", n)])
+    stream = file_stream(spark, str(tmp_path / "*" / "in"), "id int, kind string, data string")
+    load_snapshots(stream, store, lambda df: {"node_data": df}, str(tmp_path / "checkpoint"))
+    assert rows(store.read("node_data"), "data") == [("x",), ("y",)]
+
+
 def test_stream_insert_ignore_across_batches(spark, rows, tmp_path):
     (tmp_path / "in").mkdir()
     schema = "id int, kind string, data string"
