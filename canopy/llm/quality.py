@@ -5,8 +5,8 @@ Expectation-maximisation over the vote patterns of the whole table estimates how
 rule gives each vote for good and for bad documents, and how many documents are good; a
 document is kept by its posterior probability. No labels are used.
 
-The measures are taken in one pass. The driver then sees the count of each vote pattern, of
-which there are at most 3 ** rules whatever the size of the table.
+The driver sees the count of each vote pattern, of which there are at most 3 ** rules whatever the
+size of the table.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import map_rows, words
-from canopy.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
 GRAM = 8
@@ -95,7 +94,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
 
 def measured(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Key columns and measures of every row; nothing else of the row is carried."""
-    schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys) + ", " + MEASURES
+    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), MEASURES])
     names = [part.split()[0] for part in MEASURES.split(", ")]
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
@@ -196,8 +195,9 @@ def quality(docs: DataFrame, rules: list[Rule] | None = None, threshold: float =
     rules = default_rules() if rules is None else rules
     votes = [r.vote() for r in rules]
     code = reduce(lambda acc, v: acc * 3 + v + 1, votes, F.lit(0).cast("long"))
-    table, _ = materialize(measured(docs, keys=keys).withColumn("_pattern", code), "measures")
-    seen = table.groupBy("_pattern").count().orderBy("_pattern").collect()  # at most 3 ** len(rules) rows
+    # Measured twice, once for the counts and once with the rows: nothing is written in between.
+    measures = measured(docs.select("text"), keys=()).select(code.alias("_pattern"))
+    seen = measures.groupBy("_pattern").count().orderBy("_pattern").collect()  # at most 3 ** len(rules) rows
     pattern = np.array([r["_pattern"] for r in seen], np.int64)
     counts = np.array([r["count"] for r in seen], float)
     each = np.stack([pattern // 3**k % 3 - 1 for k in range(len(rules) - 1, -1, -1)], 1) if len(seen) else np.zeros((0, len(rules)), int)
@@ -208,7 +208,8 @@ def quality(docs: DataFrame, rules: list[Rule] | None = None, threshold: float =
     )
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return (
-        table.join(F.broadcast(known), "_pattern")
+        measured(docs, keys=keys).withColumn("_pattern", code)
+        .join(F.broadcast(known), "_pattern")
         .drop("_pattern")
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
