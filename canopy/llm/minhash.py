@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import lower_words, map_rows
+from canopy.llm.common import lower_words, map_rows, release
 from canopy.llm.components import Forest, components, in_blocks
 from canopy.session import materialize
 
@@ -345,9 +345,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     exploded = first.select("id", F.explode("bands").alias("key"))
     crowded = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
     buckets, n = materialize(exploded.join(crowded, "key").select("key", "id"), "buckets")
+    release(docs.sparkSession)
     label = None
     if n:
         sets = set_table(docs, first.select("id", "digest", "sketch").join(buckets.select("id").distinct(), "id"), doc_id, text)
+        release(docs.sparkSession)
         links = None
         for turn in range(PIVOT_ROUNDS):
             pairs, n_pairs = materialize(_pivot_pairs(_labelled(buckets, label), turn), "pairs")
@@ -356,6 +358,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             new, n_new = materialize(confirmed(pairs, sets, percent), "confirmed")
             links = new if links is None else links.unionByName(new)
             label = components(links) if n_new else label
+            release(docs.sparkSession)
         families = _families(_labelled(buckets, label), first.select("id", "sketch"))
         if families is not None:
             new, n_new = materialize(_cross_links(families, families.count(), sets, percent), "confirmed")
