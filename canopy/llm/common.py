@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from canopy.session import tune
 
@@ -22,8 +25,36 @@ TABLES = {
 }
 
 
+#: Runtime settings of the operators; a value the session was started with is kept. Results that are
+#: used again are written as tables, so shuffle files may go when their job is over; small batches
+#: bound what a Python worker holds of long texts.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    started_with = spark.sparkContext.getConf()
+    for key, value in SETTINGS.items():
+        if not started_with.contains(key):
+            spark.conf.set(key, value)
+    return tune(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    Results that are used again are written as tables; the shuffles behind them are freed when the
+    driver collects its garbage, which it may not do for long while the disks of the executors fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(doc_id: Column | str, folds: int = 5) -> Column:
@@ -44,8 +75,9 @@ def lower_words(text: bytes | None) -> list[bytes]:
 
 def map_rows(df: DataFrame, schema: str, task: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
     """``mapInArrow`` for a task that takes and gives dicts of column lists, batch by batch."""
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
-    kinds = _arrow_schema(df.sparkSession, schema)
+    prepare(df.sparkSession)
+    fields = _parse_datatype_string(schema)
+    names, kinds = fields.names, [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches)
@@ -53,10 +85,3 @@ def map_rows(df: DataFrame, schema: str, task: Callable[[Iterator[dict]], Iterat
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, kinds)], names=names)
 
     return df.mapInArrow(run, schema)
-
-
-def _arrow_schema(spark: SparkSession, schema: str) -> list[pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    return [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema)]

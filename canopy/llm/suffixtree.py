@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import lower_words, map_rows
+from canopy.llm.common import lower_words, map_rows, release
 from canopy.session import materialize
 
 DEPTH = 3
@@ -37,7 +37,7 @@ LEAST_GAIN = 12.0
 #: Taken off each counted pair for the symbols not seen often enough.
 DISCOUNT = 0.5
 #: Tokens from which a chunk of texts is full.
-CHUNK_TOKENS = 1_200_000
+CHUNK_TOKENS = 400_000
 
 #: Stands for the end of a text; no word hashes to it since words go through ``_word_hash``.
 END = 1
@@ -216,19 +216,19 @@ def fit_level(contexts: dict[str, np.ndarray], pairs: dict[str, np.ndarray], div
     }
 
 
-def _per_chunk(chunks: DataFrame, schema: str, of, columns: tuple[str, ...] = ()) -> DataFrame:
+def _per_chunk(chunks: DataFrame, schema: str, of) -> DataFrame:
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            for k in range(len(batch["held"])):
-                yield of(Chunk.of(*(batch[c][k] for c in ("held", "lengths", "tokens", "vocabulary"))), k, batch)
+            for parts in zip(*(batch[c] for c in ("held", "lengths", "tokens", "vocabulary"))):
+                yield of(Chunk.of(*parts))
 
-    return map_rows(chunks.select("held", "lengths", "tokens", "vocabulary", *columns), schema, task)
+    return map_rows(chunks.select("held", "lengths", "tokens", "vocabulary"), schema, task)
 
 
 def word_counts(chunks: DataFrame) -> tuple[DataFrame, int, int]:
     """(word, n) of the training tokens, with their number and the number of different ones."""
 
-    def of(chunk: Chunk, k: int, batch: dict) -> dict:
+    def of(chunk: Chunk) -> dict:
         n = np.bincount(chunk.tokens[chunk.train], minlength=len(chunk.vocabulary))
         some = n > 0
         return {"word": chunk.vocabulary[some].view(np.int64), "n": n[some]}
@@ -236,6 +236,7 @@ def word_counts(chunks: DataFrame) -> tuple[DataFrame, int, int]:
     counted, types = materialize(
         _per_chunk(chunks, "word long, n long", of).groupBy("word").agg(F.sum("n").alias("n")), "words"
     )
+    release(chunks.sparkSession)
     return counted, int(counted.agg(F.sum("n")).first()[0] or 0), types
 
 
@@ -269,7 +270,7 @@ def fit(
         tree.chains.append(candidates)
         shipped = chunks.sparkSession.sparkContext.broadcast(candidates["hash"])
 
-        def of(chunk: Chunk, k: int, batch: dict, d: int = d, shipped=shipped) -> dict:
+        def of(chunk: Chunk, d: int = d, shipped=shipped) -> dict:
             context, usable = chunk.contexts(d)
             at, known = _find(shipped.value, context)
             where = np.flatnonzero(usable & chunk.train & known)
@@ -282,6 +283,8 @@ def fit(
         pairs = _per_chunk(chunks, "context int, word long, n int", of).groupBy("context", "word").agg(F.sum("n").alias("n"))
         frequent = pairs.where(F.col("n") >= least_pair)  # at most 1 / symbol_share rows
         found = _numpy(frequent.join(counted.withColumnRenamed("n", "word_n"), "word"), ["context", "word", "n", "word_n"])
+        del pairs, frequent
+        release(chunks.sparkSession)
         context, word = candidates["hash"][found["context"]], _unsigned(found["word"])
         n, pair = found["n"], _mixed(context, word)
         p = tree.shorter(context, d, word, tree.root(found["word_n"].astype(float)))
