@@ -1,23 +1,25 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to ``depth`` words. A context is a candidate if it begins at
-least ``context_share`` of the training positions, and next symbols of a context are given a
-probability of their own if the pair has at least ``symbol_share`` of them; other symbols share
-what is left in proportion to their probability in the next shorter state. A candidate is
-retained if its distribution diverges enough from that of the next shorter state. A text is
-scored word by word in the longest retained suffix of the words before.
-
-Scale. A share s of all positions can be held by at most 1 / s contexts or pairs. That is the
-proven bound of the tree whatever the corpus: it is fitted on the driver and sent to every task.
-Everything counted over the corpus (words, pairs, context totals) is counted by Spark over all of
-it, and word counts, which have no bound, come to the texts by a join: texts are packed into
-chunks, each chunk asks once for each of its distinct words.
+The tree's states are contexts of up to ``depth`` words. A context is a candidate if it stands at
+``LEAST`` training positions, and next symbols of a context that follow it that often are given a
+probability of their own; other symbols share what is left in proportion to their probability in
+the next shorter state. A candidate is retained if its distribution diverges enough from that of
+the next shorter state. A text is scored word by word in the longest retained suffix of the words
+before.
+
+Scale. The floor is a number of occurrences, whatever the size of the corpus, so the tree grows with
+it: grams (runs of words), their counts and the states are Spark tables, made length by length, and
+nothing of them crosses the driver. Texts are packed into chunks, and a chunk asks by a join once for
+each of its distinct grams. A gram can be frequent only if the grams without its first and without
+its last word are; a chunk keeps for each length which of its grams are, one byte each, and
+counts and asks for the next length only where both parts are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import lower_words, map_rows, release
-from canopy.session import materialize
+from canopy.session import delete_path, materialize, scratch_path, write_observed
 
 DEPTH = 3
-CONTEXT_SHARE = 5e-5
-SYMBOL_SHARE = 1e-6
+#: Occurrences in the training text from which a context or a next symbol of a context counts.
+LEAST = 2
 #: Nats that a context has to save over the training text, per position at which it stands, and in all.
 DIVERGENCE = 0.005
 LEAST_GAIN = 12.0
@@ -57,6 +59,16 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Marks of a chunk's grams: often enough for a next symbol, and for a context too.
+FREQUENT, CANDIDATE = 1, 2
+
+
+def _padded(marks: bytes | None, n: int) -> np.ndarray:
+    """The marks of ``n`` grams; those after the last one that was answered are 0."""
+    found = np.frombuffer(marks or b"", np.uint8)
+    return np.append(found, np.zeros(n - len(found), np.uint8))
+
+
 CHUNKS = "chunk long, ids array<long>, held array<boolean>, lengths binary, tokens binary, vocabulary binary"
 
 
@@ -118,6 +130,26 @@ class Chunk:
             np.repeat(~np.array(held, bool), n), np.arange(n.sum()) - np.repeat(starts, n),
         )
 
+    def grams(self, marks: list[bytes | None]) -> Iterator[tuple[np.ndarray, ...]]:
+        """For lengths 1, 2, ...: positions at which a gram that may be frequent ends, the hash of the
+        gram at every position, the distinct ones of the open positions and which of them each has.
+
+        ``marks`` has for each length the marks of the distinct grams; one more length is given than it has.
+        """
+        words = self.vocabulary[self.tokens]
+        where = np.arange(len(words))
+        for k in range(1, len(marks) + 2):
+            context, usable = self.contexts(k - 1)
+            if k > 1:
+                before = np.append(np.uint8(0), often[:-1])
+                where = np.flatnonzero(usable & (often >= FREQUENT) & (before == CANDIDATE))
+            gram = _mixed(context, words)
+            distinct, at = np.unique(gram[where], return_inverse=True)
+            yield where, gram, distinct, at
+            if k <= len(marks):
+                often = np.zeros(len(words), np.uint8)
+                often[where] = _padded(marks[k - 1], len(distinct))[at]
+
     def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``depth`` words before each position, and where there are that many.
 
@@ -134,9 +166,10 @@ class Chunk:
 
 @dataclass
 class Tree:
-    """Retained contexts by depth, the counted next symbols of each, and what the unigrams need.
+    """A whole tree in memory, for tables whose tree is small enough.
 
-    ``chains`` has all candidate contexts of a depth, sorted, and the next shorter part of each.
+    Retained contexts by depth and the counted next symbols of each; ``chains`` has all candidate
+    contexts of a depth, sorted, and the next shorter part of each.
     """
 
     total: int = 0
@@ -145,16 +178,7 @@ class Tree:
     chains: list[dict[str, np.ndarray]] = field(default_factory=list)
 
     def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / (self.total + 0.5 * (self.types + 1))
-
-    def probabilities(self, chunk: Chunk, counts: np.ndarray) -> np.ndarray:
-        """P of every token in its longest retained context; ``counts`` are the tokens' unigram counts."""
-        p = self.root(counts)
-        words = chunk.vocabulary[chunk.tokens]
-        for depth, level in enumerate(self.depths, 1):
-            context, usable = chunk.contexts(depth)
-            p = np.where(usable, in_state(level, context, words, p), p)
-        return p
+        return root(counts, self.total, self.types)
 
     def shorter(self, contexts: np.ndarray, depth: int, words: np.ndarray, root: np.ndarray) -> np.ndarray:
         """P of words in the longest retained state that is shorter than candidate contexts of ``depth``."""
@@ -169,6 +193,11 @@ class Tree:
         return p
 
 
+def root(counts, total: int, types: int):
+    """P of words by their counts, an array or a column."""
+    return (counts + 0.5) / (total + 0.5 * (types + 1))
+
+
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each key stands in a sorted array, and whether it does."""
     if not len(sorted_keys):
@@ -188,47 +217,31 @@ def in_state(level: dict[str, np.ndarray], context: np.ndarray, words: np.ndarra
     return out
 
 
-def fit_level(contexts: dict[str, np.ndarray], pairs: dict[str, np.ndarray], divergence: float, least_gain: float) -> dict[str, np.ndarray]:
-    """Distributions of the candidate contexts of one depth, and the divergence test.
+def _per_chunk(chunks: DataFrame, schema: str, of, lengths: int = 0) -> DataFrame:
+    """What ``of`` gives for each chunk, its number and its marks of the first ``lengths`` lengths."""
+    marks = [f"marks_{k}" for k in range(1, lengths + 1)]
 
-    ``contexts``: hash and n (training positions); ``pairs``: context, pair (hashes), n, and
-    shorter (the symbol's probability in the next shorter state). Kept symbols get a discounted
-    relative frequency; ``backoff`` scales the shorter state's probabilities of all others.
-    """
-    order = np.argsort(contexts["hash"])
-    hashes, total = contexts["hash"][order], contexts["n"][order].astype(float)
-    at, known = _find(hashes, pairs["context"])
-    pairs = {k: v[known] for k, v in pairs.items()}
-    at = at[known]
-    p = (pairs["n"] - DISCOUNT) / total[at]
-    left = 1 - np.bincount(at, p, len(hashes))
-    shorter = np.bincount(at, pairs["shorter"], len(hashes))
-    backoff = np.maximum(left, 1e-12) / np.maximum(1 - shorter, 1e-12)
-    gain = np.bincount(at, pairs["n"] * np.log(p / pairs["shorter"]), len(hashes))
-    rest = total - np.bincount(at, pairs["n"], len(hashes))
-    gain += rest * np.log(backoff)
-    keep = (gain >= divergence * total) & (gain >= least_gain)
-    kept = keep[at]
-    by_pair = np.argsort(pairs["pair"][kept])
-    return {
-        "context": hashes[keep], "backoff": backoff[keep],
-        "pair": pairs["pair"][kept][by_pair], "p": p[kept][by_pair],
-    }
-
-
-def _per_chunk(chunks: DataFrame, schema: str, of) -> DataFrame:
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            for parts in zip(*(batch[c] for c in ("held", "lengths", "tokens", "vocabulary"))):
-                yield of(Chunk.of(*parts))
+            parts = zip(*(batch[c] for c in ("held", "lengths", "tokens", "vocabulary")))
+            known = zip(*(batch[c] for c in marks)) if marks else [()] * len(batch["chunk"])
+            for number, part, own in zip(batch["chunk"], parts, known):
+                yield of(Chunk.of(*part), number, list(own))
+
+    return map_rows(chunks.select("chunk", "held", "lengths", "tokens", "vocabulary", *marks), schema, task)
 
-    return map_rows(chunks.select("held", "lengths", "tokens", "vocabulary"), schema, task)
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table as written, and where, so that it can be deleted as soon as nothing reads it any more."""
+    path = scratch_path(df.sparkSession, name)
+    write_observed(df, path, rows=F.count(F.lit(1)))
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def word_counts(chunks: DataFrame) -> tuple[DataFrame, int, int]:
     """(word, n) of the training tokens, with their number and the number of different ones."""
 
-    def of(chunk: Chunk) -> dict:
+    def of(chunk: Chunk, number: int, marks: list) -> dict:
         n = np.bincount(chunk.tokens[chunk.train], minlength=len(chunk.vocabulary))
         some = n > 0
         return {"word": chunk.vocabulary[some].view(np.int64), "n": n[some]}
@@ -249,51 +262,161 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64).view(np.uint64)
 
 
+def _counts(chunks: DataFrame, k: int, least: int) -> DataFrame:
+    """(gram, context, suffix, n) of the grams of ``k`` words that occur ``least`` times in training text.
+
+    ``context`` is the gram without its last word, ``suffix`` that without its first.
+    """
+
+    def of(chunk: Chunk, number: int, marks: list) -> dict:
+        shorter = gram = None
+        for where, longer, distinct, at in chunk.grams(marks):
+            shorter, gram = gram, longer
+        n = np.bincount(at[chunk.train[where]], minlength=len(distinct))
+        some = np.flatnonzero(n)
+        one = np.zeros(len(distinct), np.int64)
+        one[at] = where
+        place = one[some]
+        return {
+            "gram": distinct[some].view(np.int64), "context": shorter[place - 1].view(np.int64),
+            "suffix": shorter[place].view(np.int64), "n": n[some],
+        }
+
+    found = _per_chunk(chunks, "gram long, context long, suffix long, n long", of, k - 1)
+    return found.groupBy("gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _asked(chunks: DataFrame, lengths: int, first: int) -> DataFrame:
+    """(gram, chunk, place): the grams of each chunk that may be frequent, from length ``first`` on to one
+    more than the marks have. Places are numbered through all lengths."""
+
+    def of(chunk: Chunk, number: int, marks: list) -> dict:
+        found = list(chunk.grams(marks))
+        places, start = [], 0
+        for k, (where, _, distinct, at) in enumerate(found, 1):
+            if k < first:
+                continue
+            needed = np.ones(len(distinct), bool)
+            # Of all words the count is needed. A longer gram has to be known to be frequent, and to be the
+            # longest at its last word, or a context in which the next word may not be counted.
+            if 1 < k <= lengths:
+                needed = _padded(marks[k - 1], len(distinct)) > 0
+            if 1 < k < lengths:
+                next_where, _, next_distinct, next_at = found[k]
+                longer = np.zeros(len(chunk.tokens) + 1, bool)
+                longer[next_where] = _padded(marks[k], len(next_distinct))[next_at] > 0
+                wanted = np.zeros(len(distinct), bool)
+                wanted[at[~longer[where] | ~longer[where + 1]]] = True
+                needed &= wanted
+            places.append(np.flatnonzero(needed) + start)
+            start += len(distinct)
+        every = np.concatenate([distinct for _, _, distinct, _ in found[first - 1 :]])
+        place = np.concatenate(places)
+        return {"gram": every[place].view(np.int64), "chunk": np.full(len(place), number), "place": place.astype(np.int32)}
+
+    return _per_chunk(chunks, "gram long, chunk long, place int", of, lengths)
+
+
+def _marked(chunks: DataFrame, k: int, level: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The chunks with the marks of their grams of ``k`` words."""
+    least_context, least_pair = least
+    answers = _asked(chunks, k - 1, k).join(level.where(F.col("n") >= least_pair).select("gram", "n"), "gram")
+
+    def pack(table: pa.Table) -> pa.Table:
+        place, n = table["place"].to_numpy(), table["n"].to_numpy()
+        marks = np.zeros(place.max() + 1, np.uint8)
+        marks[place] = np.where(n >= least_context, CANDIDATE, FREQUENT)
+        return pa.table({"chunk": table["chunk"][:1], "marks": pa.array([marks.tobytes()], pa.binary())})
+
+    packed = answers.select("chunk", "place", "n").groupBy("chunk").applyInArrow(pack, "chunk long, marks binary")
+    marks, _ = materialize(packed.withColumnRenamed("marks", f"marks_{k}"), "marks")
+    release(chunks.sparkSession)
+    return chunks.join(marks, "chunk", "left")
+
+
+def _words(counted: DataFrame, total: int, types: int) -> DataFrame:
+    """(gram, n, q) of the single words, ``q`` their probability without a context."""
+    number = lambda words: _mixed(np.zeros(len(words), np.uint64), np.array(words, np.int64).view(np.uint64))
+
+    def task(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            yield {"gram": number(batch["word"]).view(np.int64), "n": batch["n"]}
+
+    grams = map_rows(counted, "gram long, n long", task)
+    return grams.withColumn("q", root(F.col("n"), total, types))
+
+
+def _states(pairs: DataFrame, below: DataFrame, divergence: float, least_gain: float) -> tuple[DataFrame, DataFrame]:
+    """Of the grams of one length: (gram, n, q), and the contexts (gram, b) before their last words that are retained.
+
+    ``q`` is the probability of the last word in the longest retained state, a discounted relative
+    frequency where the context is retained; ``b`` scales the shorter state's probabilities of words
+    that are not counted in the context.
+    """
+    rows = pairs.join(below.select(F.col("gram").alias("context"), F.col("n").alias("total")), "context").join(
+        below.select(F.col("gram").alias("suffix"), F.col("q").alias("shorter")), "suffix"
+    )
+    rows = rows.withColumn("p", (F.col("n") - DISCOUNT) / F.col("total"))
+    sums = rows.groupBy("context", "total").agg(
+        F.sum("p").alias("own"), F.sum("shorter").alias("others"), F.sum("n").alias("seen"),
+        F.sum(F.col("n") * F.log(F.col("p") / F.col("shorter"))).alias("gain"),
+    )
+    backoff = F.greatest(1 - F.col("own"), F.lit(1e-12)) / F.greatest(1 - F.col("others"), F.lit(1e-12))
+    gain = F.col("gain") + (F.col("total") - F.col("seen")) * F.log(backoff)
+    tested = sums.select(F.col("context").alias("gram"), "total", backoff.alias("b"), gain.alias("gain"))
+    kept = tested.where((F.col("gain") >= divergence * F.col("total")) & (F.col("gain") >= least_gain)).select("gram", "b")
+    contexts, _ = materialize(kept, "contexts")
+    q = F.when(F.col("b").isNotNull(), F.col("p")).otherwise(F.col("shorter")).alias("q")
+    joined = rows.join(contexts.withColumnRenamed("gram", "context"), "context", "left")
+    return joined.select("gram", "n", q), contexts
+
+
+def fitted(
+    chunks: DataFrame, counted: DataFrame, total: int, types: int, depth: int,
+    context_share: float, symbol_share: float, divergence: float, least_gain: float,
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The marked chunks, and (gram, n, q, b) of the grams of 1 to ``depth + 1`` words; ``b`` is null where
+    the gram is not retained as a context."""
+    least = tuple(max(LEAST, int(np.ceil(share * total))) for share in (context_share, symbol_share))
+    spark, levels = chunks.sparkSession, []
+    below, old = _written(_words(counted, total, types), "level")
+    for k in range(2, depth + 2):
+        chunks = _marked(chunks, k - 1, below, least)
+        pairs, of_pairs = _written(_counts(chunks, k, least[1]), "pairs")
+        release(spark)
+        found, contexts = _states(pairs, below, divergence, least_gain)
+        level, of_level = _written(found, "level")
+        del pairs, found
+        delete_path(spark, of_pairs)
+        release(spark)
+        levels.append(_written(below.join(contexts, "gram", "left"), "states")[0])
+        delete_path(spark, old)
+        release(spark)
+        below, old = level, of_level
+    return chunks, [*levels, below.withColumn("b", F.lit(None).cast("double"))]
+
+
 def fit(
     chunks: DataFrame, counted: DataFrame, total: int, types: int, depth: int,
     context_share: float, symbol_share: float, divergence: float, least_gain: float,
 ) -> Tree:
-    """The tree, depth by depth. The driver sees candidate contexts and frequent pairs, both bounded by the shares.
-
-    A pair frequent enough is a candidate context of the next depth, so one count serves both.
-    """
+    """The tree in memory; for looking at the tree of a small table, scoring does not use it."""
+    chunks, levels = fitted(chunks, counted, total, types, depth, context_share, symbol_share, divergence, least_gain)
     tree = Tree(total, types)
-    least_context, least_pair = (max(2, int(np.ceil(share * total))) for share in (context_share, symbol_share))
-    first = _numpy(counted.where((F.col("n") >= least_context) & (F.col("word") != END)), ["word", "n"])
-    words = _unsigned(first["word"])
-    candidates = {"hash": _mixed(np.zeros_like(words), words), "n": first["n"], "shorter": np.zeros_like(words)}
-    for d in range(1, depth + 1):
-        order = np.argsort(candidates["hash"])
-        candidates = {k: v[order] for k, v in candidates.items()}
-        if not len(order):
-            break
-        tree.chains.append(candidates)
-        shipped = chunks.sparkSession.sparkContext.broadcast(candidates["hash"])
-
-        def of(chunk: Chunk, d: int = d, shipped=shipped) -> dict:
-            context, usable = chunk.contexts(d)
-            at, known = _find(shipped.value, context)
-            where = np.flatnonzero(usable & chunk.train & known)
-            # Vocabulary places fit 31 bits; both numbers make one sortable key.
-            pair = at[where] << 32 | chunk.tokens[where]
-            found, n = np.unique(pair, return_counts=True)
-            word = chunk.vocabulary[found & 0xFFFFFFFF].view(np.int64)
-            return {"context": (found >> 32).astype(np.int32), "word": word, "n": n.astype(np.int32)}
-
-        pairs = _per_chunk(chunks, "context int, word long, n int", of).groupBy("context", "word").agg(F.sum("n").alias("n"))
-        frequent = pairs.where(F.col("n") >= least_pair)  # at most 1 / symbol_share rows
-        found = _numpy(frequent.join(counted.withColumnRenamed("n", "word_n"), "word"), ["context", "word", "n", "word_n"])
-        del pairs, frequent
-        release(chunks.sparkSession)
-        context, word = candidates["hash"][found["context"]], _unsigned(found["word"])
-        n, pair = found["n"], _mixed(context, word)
-        p = tree.shorter(context, d, word, tree.root(found["word_n"].astype(float)))
-        tree.depths.append(
-            fit_level(candidates, {"context": context, "pair": pair, "n": n.astype(float), "shorter": p}, divergence, least_gain)
-        )
-        often = (n >= least_context) & (word != END)
-        dropped = candidates["shorter"][found["context"]] if d > 1 else np.zeros_like(context)
-        candidates = {"hash": pair[often], "n": n[often], "shorter": _mixed(dropped, word)[often]}
+    named = [levels[0], *(level.join(_counts(chunks, k, 1).drop("n"), "gram") for k, level in enumerate(levels[1:], 2))]
+    for d, level in enumerate(levels[:-1], 1):
+        kept = level.where("b IS NOT NULL")
+        found = _numpy(kept, ["gram", "b"])
+        order = np.argsort(_unsigned(found["gram"]))
+        own = _numpy(named[d].join(kept.select(F.col("gram").alias("context")), "context"), ["gram", "q"])
+        by_pair = np.argsort(_unsigned(own["gram"]))
+        tree.depths.append({
+            "context": _unsigned(found["gram"])[order], "backoff": found["b"][order],
+            "pair": _unsigned(own["gram"])[by_pair], "p": own["q"][by_pair],
+        })
+        chain = _numpy(named[d - 1], ["gram", "suffix"] if d > 1 else ["gram"])
+        order = np.argsort(_unsigned(chain["gram"]))
+        tree.chains.append({name: _unsigned(chain[c])[order] for name, c in zip(("hash", "shorter"), ("gram", "suffix")) if c in chain})
     return tree
 
 
@@ -304,51 +427,65 @@ def scored(
     docs: DataFrame,
     is_held_out: Column,
     depth: int = DEPTH,
-    context_share: float = CONTEXT_SHARE,
-    symbol_share: float = SYMBOL_SHARE,
+    context_share: float = 0.0,
+    symbol_share: float = 0.0,
     divergence: float = DIVERGENCE,
     least_gain: float = LEAST_GAIN,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every text.
 
-    Texts that are not held out train the tree. A null text is empty and has one token, its end.
+    Texts that are not held out train the tree. The shares raise the floors of contexts and of their
+    next symbols to that part of the training positions; by default they do not. A null text is empty and has one token, its end.
     Without training texts every token is unknown and has probability 1.
     """
     chunks = chunked(docs, is_held_out)
     counted, total, types = word_counts(chunks)
-    tree = fit(chunks, counted, total, types, depth, context_share, symbol_share, divergence, least_gain)
-    shipped = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def asked(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            for chunk, vocabulary in zip(batch["chunk"], batch["vocabulary"]):
-                words = np.frombuffer(vocabulary, np.int64)
-                yield {"chunk": np.full(len(words), chunk), "place": np.arange(len(words), dtype=np.int32), "word": words}
-
-    wanted = map_rows(chunks.select("chunk", "vocabulary"), "chunk long, place int, word long", asked)
-    answers = wanted.join(counted, "word").select("chunk", "place", "n")
+    chunks, levels = fitted(chunks, counted, total, types, depth, context_share, symbol_share, divergence, least_gain)
+    # Words bring their count, longer grams their probability; both what they are worth as a context.
+    states = [level.select("gram", (F.col("q") if k else F.col("n").cast("double")).alias("q"), "b") for k, level in enumerate(levels)]
+    answers = _asked(chunks, depth, 1).join(reduce(DataFrame.unionByName, states), "gram")
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        model = shipped.value
         out: list[list] = [[] for _ in SCORES.split(", ")]
+        place = right["place"].to_numpy()
+        value, scale = (right[c].to_numpy(zero_copy_only=False) for c in ("q", "b"))
         for row in left.to_pylist():
             chunk = Chunk.of(row["held"], row["lengths"], row["tokens"], row["vocabulary"])
-            of_word = np.zeros(len(chunk.vocabulary), np.int64)
-            of_word[right["place"].to_numpy()] = right["n"].to_numpy()
-            counts = of_word[chunk.tokens]
+            counts, p = probabilities(chunk, [row[f"marks_{k}"] for k in range(1, depth + 1)], place, value, scale, total, types)
             sums = lambda x: np.add.reduceat(x, chunk.starts).tolist()
             values = (
                 row["ids"], row["held"], sums(np.ones(len(counts), np.int64)), sums((counts > 0).astype(np.int64)),
-                [model.total] * len(row["ids"]), sums(np.log10(model.root(counts))),
-                sums(np.log10(model.probabilities(chunk, counts))),
+                [total] * len(row["ids"]), sums(np.log10(root(counts, total, types))), sums(np.log10(p)),
             )
-            for column, value in zip(out, values):
-                column.extend(value)
+            for column, found in zip(out, values):
+                column.extend(found)
         names = [part.split()[0] for part in SCORES.split(", ")]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=names)
 
-    answered = answers.select(F.col("chunk").alias("_chunk"), "place", "n").groupBy("_chunk")
+    answered = answers.select(F.col("chunk").alias("_chunk"), "place", "q", "b").groupBy("_chunk")
     return chunks.groupBy("chunk").cogroup(answered).applyInArrow(score, SCORES)
 
 
+def probabilities(
+    chunk: Chunk, marks: list[bytes | None], place: np.ndarray, value: np.ndarray, scale: np.ndarray, total: int, types: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The count of every token, and its P in its longest retained context, from what was answered at the places of the grams."""
+    order = np.argsort(place)
+    place, value, scale = place[order], value[order], scale[order]
+    start, counts, p, before = 0, None, None, None
+    for where, _, distinct, at in chunk.grams(marks):
+        lo, hi = np.searchsorted(place, (start, start + len(distinct)))
+        own, worth = np.full(len(distinct), np.nan), np.full(len(distinct), np.nan)
+        own[place[lo:hi] - start], worth[place[lo:hi] - start] = value[lo:hi], scale[lo:hi]
+        start += len(distinct)
+        found, backoff = np.full(len(chunk.tokens), np.nan), np.full(len(chunk.tokens), np.nan)
+        found[where], backoff[where] = own[at], worth[at]
+        if p is None:
+            counts = np.nan_to_num(found).astype(np.int64)
+            p = root(counts, total, types)
+        else:
+            p = np.where(np.isnan(found), np.where(np.isnan(before), p, before * p), found)
+        # What the gram that ends here is worth as the context of the next token; a text's end is no context.
+        before = np.append(np.nan, backoff[:-1])
+    return counts, p

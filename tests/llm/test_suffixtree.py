@@ -93,3 +93,62 @@ def test_chunks_do_not_change_scores(spark, documents, monkeypatch):
     whole = sorted((r.doc_id, round(r.score, 6)) for r in scored(docs).collect())
     monkeypatch.setattr(suffixtree, "CHUNK_TOKENS", 200)
     assert sorted((r.doc_id, round(r.score, 6)) for r in scored(docs.repartition(9)).collect()) == whole
+
+
+def brute_scores(rows, depth=3, least=2):
+    """score of every row by its definition, with dictionaries."""
+    counts = [Counter() for _ in range(depth + 2)]
+    texts = [[*(t or "").encode().lower().split(), None] for _, t, *_ in rows]
+    for (i, *_), words in zip(rows, texts):
+        for k in range(1, depth + 2):
+            for at in range(k, len(words) + 1) if not held(i) else ():
+                counts[k][tuple(words[at - k : at])] += 1
+    n, v = sum(counts[1].values()), len(counts[1])
+    own, backoff = {}, {}
+
+    def p(context, word):
+        if not context:
+            return (counts[1][(word,)] + 0.5) / (n + 0.5 * (v + 1))
+        if context in backoff:
+            return own[context].get(word) or backoff[context] * p(context[1:], word)
+        return p(context[1:], word)
+
+    for d in range(1, depth + 1):
+        symbols = {}
+        for gram, m in counts[d + 1].items():
+            if m >= least:
+                symbols.setdefault(gram[:-1], {})[gram[-1]] = m
+        for context, found in symbols.items():
+            total = counts[d][context]
+            q = {w: (m - suffixtree.DISCOUNT) / total for w, m in found.items()}
+            shorter = {w: p(context[1:], w) for w in found}
+            left = max(1 - sum(q.values()), 1e-12) / max(1 - sum(shorter.values()), 1e-12)
+            gain = sum(m * math.log(q[w] / shorter[w]) for w, m in found.items()) + (total - sum(found.values())) * math.log(left)
+            if gain >= suffixtree.DIVERGENCE * total and gain >= suffixtree.LEAST_GAIN:
+                own[context], backoff[context] = q, left
+    scores = [(i, sum(math.log10(p(tuple(words[max(0, at - depth) : at]), w)) for at, w in enumerate(words))) for (i, *_), words in zip(rows, texts)]
+    return scores, backoff
+
+
+def test_scores_equal_the_definition(spark, documents, monkeypatch):
+    monkeypatch.setattr(suffixtree, "CHUNK_TOKENS", 500)
+    rows = patterned(120) + [(1000, None, "en", "s"), (1001, "w0 w1 unseen w1 w4", "en", "s"), (1002, "w0", "en", "s")]
+    want, contexts = brute_scores(rows)
+    assert {len(c) for c in contexts} == {1, 2, 3}
+    got = {r.doc_id: r.score for r in scored(documents(rows).repartition(3)).collect()}
+    assert len(got) == len(want) and all(abs(got[i] - s) < 1e-6 * max(1, abs(s)) for i, s in want)
+
+
+def test_rare_contexts_count_however_large_the_corpus_is(spark, documents):
+    """Each context occurs four times among 100,000 positions and more: less than a share of 5e-5."""
+    rng = random.Random(4)
+    filler = lambda n: " ".join(f"f{rng.randrange(300)}" for _ in range(n))
+    rows = [(i, filler(200), "en", "s") for i in range(700)]
+    train = [i for i in range(1000, 3000) if not held(i)]
+    out = [i for i in range(1000, 3000) if held(i)][:40]
+    planted = [(next(train_ids), f"a{c} b{c} c{c} d{c}", "en", "s") for train_ids in [iter(train)] for c in range(40) for _ in range(4)]
+    planted += [(i, f"a{c} b{c} c{c} d{c}", "en", "s") for c, i in enumerate(out)]
+    got = {r.doc_id: r for r in scored(documents(rows + planted)).collect()}
+    assert got[out[0]].train_tokens > 100_000
+    # All but the first word follow from the word before, and so does the end.
+    assert all(got[i].score > 0.4 * got[i].base_score for i in out)
