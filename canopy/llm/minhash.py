@@ -17,6 +17,7 @@ is lost to a cap, and a group of n near copies that are linked costs about n com
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +32,31 @@ from canopy.session import materialize
 
 SHINGLE = 5
 ROWS = 5
-BANDS = 25
-BINS = ROWS * BANDS
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Sketches that agree in fewer bins are not compared further: 6 standard deviations below the threshold.
-AGREE = 0.65
+#: Probability at most that a pair at the threshold shares no band.
+MISS = 5e-7
+#: Sketches that agree in fewer bins than so many standard deviations below the threshold are not compared further.
+DEVIATIONS = 6.25
 PIVOT_ROUNDS = 2
 BLOCK = 512
 #: Shingles that one task compares with one pivot.
 SLICE = 400_000
 
+
+def bands_for(percent: int) -> int:
+    """Bands that a threshold needs: 25 at 85 %, 37 at 80 %."""
+    return math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** ROWS)))
+
+
+def least_agreeing(percent: int, bins: int) -> float:
+    """Bins in which the sketches of a pair at the threshold agree all but surely."""
+    share = min(percent, 99) / 100
+    return bins * share - DEVIATIONS * math.sqrt(bins * share * (1 - share))
+
+
+BINS = ROWS * bands_for(PERCENT)
+
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -112,8 +127,9 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, digest, bands, sketch) of every row; the last three null without words."""
+    bins = ROWS * bands_for(percent)
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         known = WordHashes()
@@ -126,7 +142,7 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                     size += len(sets[-1])
                     at += 1
                 some = [i for i, s in enumerate(sets) if len(s)]
-                sketch = sketches([sets[i] for i in some])
+                sketch = sketches([sets[i] for i in some], bins)
                 short = mix64(sketch).astype(np.uint16)
                 keys = band_keys(sketch)
                 digest, bands, packed = ([None] * len(sets) for _ in range(3))
@@ -183,7 +199,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             mine = np.frombuffer(right["shingles"][0].as_py(), np.uint64)
             look = np.frombuffer(right["sketch"][0].as_py(), np.uint16)
             for b, sketch, packed in zip(left["b"].to_pylist(), left["sketch"].to_pylist(), left["shingles"].to_pylist()):
-                if np.count_nonzero(np.frombuffer(sketch, np.uint16) == look) < AGREE * len(look):
+                if np.count_nonzero(np.frombuffer(sketch, np.uint16) == look) < least_agreeing(percent, len(look)):
                     continue
                 other = np.frombuffer(packed, np.uint64)
                 few, many = sorted((mine, other), key=len)
@@ -231,9 +247,9 @@ def _each_cell(table: pa.Table, group: str) -> Iterator[tuple[pa.Table, np.ndarr
         yield cell, left, left if inside else np.flatnonzero(own != keys[1, lo]), inside
 
 
-def _agreeing(sketch: np.ndarray, left: np.ndarray, right: np.ndarray, inside: bool) -> np.ndarray:
+def _agreeing(sketch: np.ndarray, left: np.ndarray, right: np.ndarray, inside: bool, percent: int) -> np.ndarray:
     """Which sketches of the two sides agree in enough bins; one block is compared with itself once."""
-    least = AGREE * sketch.shape[1]
+    least = least_agreeing(percent, sketch.shape[1])
     out = np.stack([np.count_nonzero(sketch[right] == sketch[x], axis=1) >= least for x in left])
     return np.triu(out, 1) if inside else out
 
@@ -257,7 +273,7 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, w
     return out
 
 
-def _families(buckets: DataFrame, sketch_of: DataFrame) -> DataFrame | None:
+def _families(buckets: DataFrame, sketch_of: DataFrame, percent: int) -> DataFrame | None:
     """(id, component, family): members of buckets with several components, joined where sketches agree.
 
     Only a forest of the agreeing pairs is written: at most one row per member and cell.
@@ -279,7 +295,7 @@ def _families(buckets: DataFrame, sketch_of: DataFrame) -> DataFrame | None:
         forest = Forest()
         for cell, left, right, inside in _each_cell(table, "key"):
             ids = cell["id"].to_numpy()
-            for x, y in zip(*np.nonzero(_agreeing(_sketches_of(cell), left, right, inside))):
+            for x, y in zip(*np.nonzero(_agreeing(_sketches_of(cell), left, right, inside, percent))):
                 forest.union(int(ids[left[x]]), int(ids[right[y]]))
         a, b = forest.links()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -300,7 +316,7 @@ def _cross_links(families: DataFrame, n: int, sets: DataFrame, percent: int) ->
         forest = Forest()
         for cell, left, right, inside in _each_cell(table, "family"):
             label = cell["component"].to_numpy()
-            open_pairs = _agreeing(_sketches_of(cell), left, right, inside) & (label[left][:, None] != label[right][None, :])
+            open_pairs = _agreeing(_sketches_of(cell), left, right, inside, percent) & (label[left][:, None] != label[right][None, :])
             some, other = np.flatnonzero(open_pairs.any(1)), np.flatnonzero(open_pairs.any(0))
             if not len(some):
                 continue
@@ -334,7 +350,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts without words are linked with nothing. A row without doc_id links with nothing, has no
     component and is kept. Rows that repeat an id are judged by their own text.
     """
-    rows, _ = materialize(sketched(docs, doc_id, text), "sketches")
+    rows, _ = materialize(sketched(docs, doc_id, text, percent), "sketches")
     usable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     first, _ = materialize(
@@ -359,7 +375,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             links = new if links is None else links.unionByName(new)
             label = components(links) if n_new else label
             release(docs.sparkSession)
-        families = _families(_labelled(buckets, label), first.select("id", "sketch"))
+        families = _families(_labelled(buckets, label), first.select("id", "sketch"), percent)
         if families is not None:
             new, n_new = materialize(_cross_links(families, families.count(), sets, percent), "confirmed")
             label = components(links.unionByName(new)) if n_new else label

@@ -14,6 +14,9 @@ from canopy.llm.common import fold, table
 from canopy.llm.queries import tokenizer_path
 from canopy.session import materialize
 
+#: Similarity of the five-word shingles from which documents are near copies.
+NEAR_PERCENT = 80
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Compression, EM, sketches and tokenizers are not expressible in SQL.
@@ -36,7 +39,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat both id and text are one document. Rows without id belong to no group and stay.
     """
-    found, _ = materialize(minhash.near_duplicates(docs).select("doc_id", "kept"), "near")
+    found, _ = materialize(minhash.near_duplicates(docs, percent=NEAR_PERCENT).select("doc_id", "kept"), "near")
     left = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
     repeated, n = materialize(found.where("kept").groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1"), "repeated")
     if n:

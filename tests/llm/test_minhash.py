@@ -104,3 +104,31 @@ def test_components(spark, edges):
         forest.union(a, b)
     got = components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
     assert sorted((r.id, r.component_id) for r in got) == sorted((x, forest.find(x)) for x in {v for e in edges for v in e if e[0] != e[1]})
+
+
+def pairs_between(rng, n):
+    """Pairs whose sets have a similarity of 90 / 110: each of two changed words is in five of 100 shingles."""
+    rows = []
+    for i in range(n):
+        words = [f"p{i}x{rng.randrange(10**6)}" for _ in range(104)]
+        rows.append((2 * i, " ".join(words), "en", "a"))
+        words[30], words[70] = "new", "other"
+        rows.append((2 * i + 1, " ".join(words), "en", "a"))
+    return rows
+
+
+def test_pairs_between_80_and_85_percent(spark, documents):
+    rows = pairs_between(random.Random(5), 150)
+    forest = brute([(i, t) for i, t, *_ in rows], 80)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(rows), percent=80).collect()}
+    assert got == {i: forest.find(i) for i, *_ in rows} == {i: i // 2 * 2 for i, *_ in rows}
+    assert all(r.kept for r in minhash.near_duplicates(documents(rows)).collect())
+
+
+def test_bands_and_sketch_test_follow_the_threshold():
+    assert minhash.bands_for(85) == 25 and minhash.BINS == 125
+    for percent in (70, 80, 85, 95):
+        bands, share = minhash.bands_for(percent), percent / 100
+        assert (1 - share**minhash.ROWS) ** bands <= minhash.MISS
+        bins = bands * minhash.ROWS
+        assert (bins * share - minhash.least_agreeing(percent, bins)) / (bins * share * (1 - share)) ** 0.5 > 6

@@ -45,6 +45,17 @@ def test_repeated_rows_and_rows_without_id_in_the_near_duplicate_stage(spark, do
     assert got == ["1", "2", "3", "4", "5", "6", "7", "8", "None", "None"]
 
 
+def test_the_near_duplicate_stage_links_from_a_similarity_of_80_percent(spark, documents):
+    words = [f"w{i}" for i in range(104)]
+    near = [*words[:30], "new", *words[31:70], "other", *words[71:]]  # 90 of 110 shingles in common
+    far = [*words[:30], "new", *words[31:50], "third", *words[51:70], "other", *words[71:]]  # 85 of 115 with the first
+    rows = [(1, " ".join(words), "en", "a"), (2, " ".join(near), "en", "a"), (3, " ".join(f"x{w}" for w in far), "en", "a")]
+    docs = documents(rows).select(*pipeline.COLUMNS)
+    assert sorted(r.doc_id for r in pipeline.deduplicate(spark, docs, DATA).collect()) == [1, 3]
+    docs = documents([rows[0], (4, " ".join(far), "en", "a")]).select(*pipeline.COLUMNS)
+    assert sorted(r.doc_id for r in pipeline.deduplicate(spark, docs, DATA).collect()) == [1, 4]
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_returns_whole_tables(spark, name):
