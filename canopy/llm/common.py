@@ -22,6 +22,7 @@ TABLES = {
     "pages": "page_id bigint, url string, html string",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
 }
 
 

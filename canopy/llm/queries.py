@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, embeddings, langid, licenses, minhash, mixing, quality, suffixtree, transcripts, wrapper
+from canopy.llm import bpe, discriminant, embeddings, langid, licenses, minhash, mixing, periodic, quality, suffixtree, transcripts, whitening, wrapper
 from canopy.llm.common import fold, table
 from canopy.llm.registry import ORACLES, QUERIES, query
 
@@ -136,3 +138,32 @@ def op2_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", (fold("conv_id") == 0).alias("held_out"), "role", "starts",
         transcripts.rendered(F.col("role"), text).alias("rendered"),
     )
+
+
+def planted_period(row: dict, found: list[bytes]) -> list[bytes]:
+    """The words as the query looks at them: every tenth document, by hash, repeats itself from some word on."""
+    h = zlib.crc32(b"" if row["doc_id"] is None else str(row["doc_id"]).encode())
+    n, g = len(found), h // 10
+    if h % 10 or not n:
+        return found
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return found[:a] + [found[a + i % p] for i in range(n - a)]
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document's words: their number, the longest, and digests of all and of the collapsed text."""
+    return periodic.summary(table(spark, sf_dir, "documents"), edit=planted_period)
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of fold 0 are held out."""
+    return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
