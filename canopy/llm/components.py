@@ -107,3 +107,19 @@ def in_blocks(rows: DataFrame, group: str, size: Column, key: str, block: int) -
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     cells = rows.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
     return cells.drop("_other", "_blocks")
+
+
+def own_ids(classes: DataFrame, tie: str) -> DataFrame:
+    """``classes`` with an ``id`` of its own for each: of several with one id, those with the least
+    ``tie`` keeps it, the others get numbers above all ids. Written down, so the numbers stay."""
+    least = classes.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min(tie).alias("_least")).where("_n > 1").drop("_n")
+    top = classes.agg(F.max("id")).first()[0]
+    keeps = F.col("_least").isNull() | (F.col("_least") == F.col(tie))
+    number = F.when(keeps, F.col("id")).otherwise(F.lit(top) + 1 + F.monotonically_increasing_id())
+    return materialize(classes.join(least, "id", "left").withColumn("id", number).drop("_least"), "classes")[0]
+
+
+def same_owner(rows: DataFrame, owner: str) -> DataFrame:
+    """Links (a, b) between the ``id`` values that rows of one owner have."""
+    least = rows.groupBy(owner).agg(F.min("id").alias("a"), F.max("id").alias("_last")).where("a < _last").drop("_last")
+    return rows.join(least, owner).where("id > a").select("a", F.col("id").alias("b")).distinct()

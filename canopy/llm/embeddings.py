@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import map_rows
-from canopy.llm.components import Forest, components, in_blocks
+from canopy.llm.components import Forest, components, in_blocks, own_ids, same_owner
 from canopy.session import materialize
 
 THRESHOLD = 0.9
@@ -154,7 +154,8 @@ def near_vectors(
     A row counts as many links as other rows have a cosine of at least ``threshold`` with it,
     equal vectors included; component_id is the smallest key reachable. Null, zero and
     non-finite vectors link with nothing, nor do vectors of different lengths. A row without key
-    links with nothing, has no component and is kept.
+    links with nothing, has no component and is kept. A key that comes with several vectors is one
+    vertex with the links of all of them; its rows count their own links.
     """
     kind = "float" if rows.schema[vector].dataType.simpleString() == "array<float>" else "double"
     wide = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast(f"array<{kind}>").alias("v"))
@@ -165,7 +166,10 @@ def near_vectors(
         wide.where("ok").groupBy(same.alias("v")).agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("weight")),
         "vectors",
     )
-    classes = classes.dropDuplicates(["id"]) if n else classes
+    several = wide.where("ok").groupBy("key").agg(F.min(F.xxhash64(same)).alias("_low"), F.max(F.xxhash64(same)).alias("_high"))
+    _, n_several = materialize(several.where("_low < _high").select("key"), "several-vectors")
+    if n_several:
+        classes = own_ids(classes, "v")
     linked = wide.join(
         classes.select(F.col("id").alias("_rep"), F.col("weight").alias("_weight"), F.col("v").alias("_v")),
         F.col("ok") & (same == F.col("_v")), "left",
@@ -174,7 +178,10 @@ def near_vectors(
     tasks = max(1, math.ceil(n * passes / TASK_ROWS))
     spread = _sorted_passes(classes, passes, kind)
     ordered = spread.repartitionByRange(tasks, "size", "turn", "word", "id").sortWithinPartitions("size", "turn", "word", "id")
-    label = components(_window_links(ordered, window, threshold))
+    links = _window_links(ordered, window, threshold)
+    if n_several:
+        links = links.unionByName(same_owner(linked.where("_rep IS NOT NULL").select("key", F.col("_rep").alias("id")), "key"))
+    label = components(links)
     sizes = label.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"))
     members, n_members = materialize(label.join(sizes, "component_id").join(classes, "id"), "members")
     counts = _count_links(members, n_members, threshold).join(label, "id").select(F.col("id").alias("_rep"), "n_links", "component_id")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import lower_words, map_rows, release
-from canopy.llm.components import Forest, components, in_blocks
+from canopy.llm.components import Forest, components, in_blocks, own_ids, same_owner
 from canopy.session import materialize
 
 SHINGLE = 5
@@ -160,7 +160,10 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, n, sketch, shingles) of the wanted (id, digest, sketch), their whole sets packed."""
+    """(id, n, sketch, shingles) of the wanted (id, doc, digest, sketch), their whole sets packed.
+
+    ``doc`` is a document whose text has the set of that digest.
+    """
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         known = WordHashes()
@@ -172,8 +175,8 @@ def set_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Dat
                     keep.append((i, len(found), s, found.tobytes()))
             yield dict(zip(("id", "n", "sketch", "shingles"), map(list, zip(*keep)) if keep else ([], [], [], [])))
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text"))
-    found = map_rows(texts.join(wanted, "id"), "id long, n long, sketch binary, shingles binary", task)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("_text"))
+    found = map_rows(texts.join(wanted, "doc"), "id long, n long, sketch binary, shingles binary", task)
     return materialize(found.dropDuplicates(["id"]), "sets")[0]
 
 
@@ -348,25 +351,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     component_id is the smallest doc_id reachable over links, kept marks the row that bears it.
     Texts without words are linked with nothing. A row without doc_id links with nothing, has no
-    component and is kept. Rows that repeat an id are judged by their own text.
+    component and is kept. Each different text is a class of its own in the search; an id that comes
+    with several texts is one document that has the links of all of them.
     """
     rows, _ = materialize(sketched(docs, doc_id, text, percent), "sketches")
     usable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     first, _ = materialize(
         usable.join(classes, "digest").where(F.col("doc_id") == F.col("rep"))
-        .select(F.col("rep").alias("id"), "digest", "bands", "sketch").dropDuplicates(["id"]),
+        .select(F.col("rep").alias("id"), F.col("rep").alias("doc"), "digest", "bands", "sketch").dropDuplicates(["id", "digest"]),
         "classes",
     )
+    several = usable.groupBy("doc_id").agg(F.min("digest").alias("_low"), F.max("digest").alias("_high")).where("_low < _high")
+    several, n_several = materialize(several.select("doc_id"), "several-texts")
+    links = None
+    if n_several:
+        first = own_ids(first, "digest")
+        classes = first.select("digest", F.col("id").alias("rep"))
+        named = usable.join(several, "doc_id").select("doc_id", "digest").join(classes, "digest")
+        links, _ = materialize(same_owner(named.select("doc_id", F.col("rep").alias("id")), "doc_id"), "same-id")
     exploded = first.select("id", F.explode("bands").alias("key"))
     crowded = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
     buckets, n = materialize(exploded.join(crowded, "key").select("key", "id"), "buckets")
     release(docs.sparkSession)
-    label = None
+    label = None if links is None else components(links)
     if n:
-        sets = set_table(docs, first.select("id", "digest", "sketch").join(buckets.select("id").distinct(), "id"), doc_id, text)
+        sets = set_table(docs, first.select("id", "doc", "digest", "sketch").join(buckets.select("id").distinct(), "id"), doc_id, text)
         release(docs.sparkSession)
-        links = None
         for turn in range(PIVOT_ROUNDS):
             pairs, n_pairs = materialize(_pivot_pairs(_labelled(buckets, label), turn), "pairs")
             if not n_pairs:
@@ -378,7 +389,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         families = _families(_labelled(buckets, label), first.select("id", "sketch"), percent)
         if families is not None:
             new, n_new = materialize(_cross_links(families, families.count(), sets, percent), "confirmed")
-            label = components(links.unionByName(new)) if n_new else label
+            label = components(new if links is None else links.unionByName(new)) if n_new else label
     result = rows.join(classes, "digest", "left")
     own = F.coalesce("rep", "doc_id")
     if label is not None:

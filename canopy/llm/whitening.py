@@ -214,9 +214,9 @@ def deviations(z: np.ndarray) -> list[int | None]:
 
 def fit(vectors: DataFrame, size: int, components: int = COMPONENTS) -> Whitening:
     """The whitening of the rows' vectors; as many components as asked for, or as the rank allows."""
-    m = moments(vectors, size)
-    if not m.n or not size:
-        return Whitening(m.n, m.sums, np.zeros(0), np.zeros((size, 0)), 0.0)
+    m = moments(vectors, size) if size else Moments(0, [], np.zeros((0, 0), object))
+    if not m.n:
+        return Whitening(0, m.sums, np.zeros(0), np.zeros((size, 0)), 0.0)
     v = m.covariance()
     values, directions = one_sided_jacobi(pivoted_cholesky(v))
     return Whitening(m.n, m.sums, values[:components], directions[:, :components], float(np.trace(v)))

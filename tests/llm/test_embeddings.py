@@ -77,3 +77,11 @@ def test_found_pairs_are_united_across_passes(spark):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
     got = embeddings.near_vectors(df, window=8).collect()
     assert sum(r.n_links > 0 for r in got) >= 0.9 * len(rows)
+
+
+def test_a_key_with_several_vectors_has_the_links_of_all(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = (rng.standard_normal(16) for _ in range(3))
+    near = lambda v: (v + 0.02 * rng.standard_normal(16)).tolist()
+    rows = [(3, a.tolist()), (3, b.tolist()), (9, near(b)), (4, c.tolist()), (5, c.tolist()), (5, near(a)), (8, None), (8, [0.0] * 16)]
+    check(spark, [(i, None if v is None else np.float32(v).tolist()) for i, v in rows])

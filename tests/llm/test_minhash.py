@@ -132,3 +132,12 @@ def test_bands_and_sketch_test_follow_the_threshold():
         assert (1 - share**minhash.ROWS) ** bands <= minhash.MISS
         bins = bands * minhash.ROWS
         assert (bins * share - minhash.least_agreeing(percent, bins)) / (bins * share * (1 - share)) ** 0.5 > 6
+
+
+def test_an_id_with_several_texts_has_the_links_of_all(spark, documents):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(150)) for _ in range(4))
+    near_b, near_d = near_copies(rng, b, 1, 1)[0], near_copies(rng, d, 1, 1)[0]
+    rows = [(3, a), (3, b), (9, near_b), (4, c), (5, c), (5, d), (6, near_d), (7, a + " x"), (8, d)]
+    check(spark, documents, [(i, t, "en", "s") for i, t in rows])
+    check(spark, documents, [(i, t, "en", "s") for i, t in [(3, a), (3, b), (4, c)]])

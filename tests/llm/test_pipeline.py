@@ -19,7 +19,7 @@ def test_run_equals_the_operators_one_after_the_other(spark):
     docs = docs.where(docs.doc_id.isin(list(lang)))
     good = {r.doc_id for r in quality.quality(docs).collect() if r.kept}
     docs = docs.where(docs.doc_id.isin(list(good)))
-    once = {r.doc_id for r in minhash.near_duplicates(docs).collect() if r.kept}
+    once = {r.doc_id for r in minhash.near_duplicates(docs, percent=pipeline.NEAR_PERCENT).collect() if r.kept}
     docs = docs.where(docs.doc_id.isin(list(once)))
     taken = {r.doc_id: r.copies for r in mixing.mix_plan(docs).collect()}
     ids = {r.doc_id: bytes(r.ids) for r in bpe.tokenize(docs, bpe.read_spec(tokenizer_path())).collect()}
@@ -45,6 +45,13 @@ def test_repeated_rows_and_rows_without_id_in_the_near_duplicate_stage(spark, do
     assert got == ["1", "2", "3", "4", "5", "6", "7", "8", "None", "None"]
 
 
+def test_no_text_is_lost_where_ids_come_with_several_texts(spark, documents):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (5, a, "en", "s"), (7, c, "en", "s"), (7, None, "en", "s"), (9, c + " more", "en", "s")]
+    got = [(r.doc_id, r.text) for r in pipeline.deduplicate(spark, documents(rows).select(*pipeline.COLUMNS), DATA).collect()]
+    assert sorted(got, key=str) == sorted([(3, b), (5, a), (7, c), (7, None)], key=str)
+
+
 def test_the_near_duplicate_stage_links_from_a_similarity_of_80_percent(spark, documents):
     words = [f"w{i}" for i in range(104)]
     near = [*words[:30], "new", *words[31:70], "other", *words[71:]]  # 90 of 110 shingles in common
@@ -62,9 +69,10 @@ def test_query_returns_whole_tables(spark, name):
     df = entry.queries()[name](spark, DATA)
     got = df.collect()
     assert got
-    table = {"op1_main_text": "pages", "op5_near_vectors": "embeddings", "op2_chat_roles": "conversations"}.get(name, "documents")
+    table = {"op1_main_text": "pages", "op5_near_vectors": "embeddings", "op12_whitening": "embeddings", "op2_chat_roles": "conversations"}.get(name, "documents")
     if name != "op6_license_scan":
-        assert len(got) == spark.read.parquet(f"{DATA}/{table}.parquet").count()
+        per_row = 8 if name == "op12_whitening" else 1
+        assert len(got) == per_row * spark.read.parquet(f"{DATA}/{table}.parquet").count()
     sql = entry.oracle_sql().get(name)
     if sql:
         duckdb = pytest.importorskip("duckdb")
