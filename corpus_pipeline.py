@@ -37,16 +37,25 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; the others go.
 
-    Rows that repeat both id and text are one document. Rows without id belong to no group and stay.
+    Rows that repeat both id and text are one document. Different texts under one id are documents
+    of their own: all but one of them are numbered above all ids for the comparison. Rows without id
+    belong to no group and stay.
     """
-    found, _ = materialize(minhash.near_duplicates(docs, percent=NEAR_PERCENT).select("doc_id", "kept"), "near")
-    left = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated, n = materialize(found.where("kept").groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1"), "repeated")
+    digest = F.coalesce(F.md5("text"), F.lit("~"))  # a null text comes last
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id")
+    ids = ids.agg(F.count(F.lit(1)).alias("n"), F.min(digest).alias("_low"), F.max(digest).alias("_high")).where("n > 1")
+    repeated, n = materialize(ids, "repeated")
+    marked = docs.withColumn("_own", F.col("doc_id"))
     if n:
-        again = repeated.select("doc_id")
-        once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(again, "doc_id", "left_anti").unionByName(once)
-    return left.select(*COLUMNS)
+        again = docs.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        first = repeated.select("doc_id", "_low")
+        top = docs.agg(F.max("doc_id")).first()[0]
+        number = F.when(digest == F.col("_low"), F.col("doc_id")).otherwise(F.lit(top) + 1 + F.monotonically_increasing_id())
+        again, _ = materialize(again.join(first, "doc_id").withColumn("_own", number).drop("_low"), "again")
+        marked = marked.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(again)
+    found = minhash.near_duplicates(marked.select("_own", "text"), doc_id="_own", percent=NEAR_PERCENT)
+    found, _ = materialize(found.where("NOT kept").select(F.col("doc_id").alias("_own")), "near")
+    return marked.join(found, "_own", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
