@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -74,6 +75,15 @@ def lower_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers outlive a task and serve the next stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # where the C library has it
+        trim(0)
+
+
 def map_rows(df: DataFrame, schema: str, task: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
     """``mapInArrow`` for a task that takes and gives dicts of column lists, batch by batch."""
     prepare(df.sparkSession)
@@ -84,5 +94,7 @@ def map_rows(df: DataFrame, schema: str, task: Callable[[Iterator[dict]], Iterat
         columns = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches)
         for out in task(columns):
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, kinds)], names=names)
+        del columns
+        give_back()
 
     return df.mapInArrow(run, schema)

@@ -60,3 +60,10 @@ def test_narrow_margins_are_rejected(spark, documents):
     got = {r.doc_id: r for r in langid.identify(docs, fold("doc_id") != 0, margin=0.1).collect()}
     assert got[a].margin < got[b].margin
     assert got[a].rejected and not got[b].rejected
+
+
+def test_numbers_that_are_no_letters_have_no_language():
+    found = langid.Classifier({"en": b"the and of to in is that for", "de": b"der die und in den von zu"})
+    for text in ("\u00b2 \u00bd \u2460 \u2167", "12 !? _", "", None):
+        assert found.predict(text) == ("und", 0.0, 0.0)
+    assert found.predict("\u00b2 the")[0] == "en"
