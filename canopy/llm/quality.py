@@ -2,8 +2,8 @@
 
 Every rule looks at one measured quantity of a text and votes *keep*, *drop*, or abstains.
 Expectation-maximisation over the vote patterns of the whole table estimates how often each
-rule gives each vote for good and for bad documents, and how many documents are good; a
-document is kept by its posterior probability. No labels are used.
+rule gives each vote for good documents and for those with each kind of fault, and how many
+there are of each; a document is kept by its posterior probability of being good. No labels are used.
 
 The driver sees the count of each vote pattern, of which there are at most 3 ** rules whatever the
 size of the table.
@@ -108,9 +108,13 @@ def measured(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_
 
 @dataclass(frozen=True)
 class Rule:
-    """``value`` up to ``good`` votes keep, from ``bad`` on drops; between them, or null, it abstains."""
+    """``value`` up to ``good`` votes keep, from ``bad`` on drops; between them, or null, it abstains.
+
+    Rules with the same ``fault`` look for the same kind of bad document.
+    """
 
     name: str
+    fault: str
     value: Column
     good: float
     bad: float
@@ -128,64 +132,117 @@ def _share(part: str, whole: str) -> Column:
 
 def default_rules() -> list[Rule]:
     return [
-        Rule("length", F.col("n_words").cast("double"), good=20, bad=10),
-        Rule("repeats", _share("n_repeat_words", "n_words"), good=0.10, bad=0.30),
-        Rule("echoes", F.when(F.col("n_words") >= 20, _share("n_echoes", "n_words")), good=0.10, bad=0.40),
-        Rule("symbols", _share("n_symbols", "n_words"), good=0.02, bad=0.25),
-        Rule("word marks", _share("n_marks", "n_words"), good=0.02, bad=0.20),
-        Rule("same lines", _share("n_dup_lines", "n_lines"), good=0.10, bad=0.30),
-        Rule("capitals", _share("n_upper", "n_letters"), good=0.20, bad=0.60),
-        Rule("shouting", _share("n_shouts", "n_words"), good=0.05, bad=0.30),
-        Rule("sentences", F.when(F.col("n_words") >= 20, _share("n_stops", "n_words")), good=0.02, bad=0.003),
-        Rule("vocabulary", F.when(F.col("n_words").between(20, 2000), _share("n_distinct", "n_words")), good=0.30, bad=0.10),
-        Rule("word length", _share("word_chars", "n_words"), good=9, bad=25),
+        Rule("length", "short", F.col("n_words").cast("double"), good=20, bad=10),
+        Rule("repeats", "repetition", _share("n_repeat_words", "n_words"), good=0.10, bad=0.30),
+        Rule("echoes", "repetition", F.when(F.col("n_words") >= 20, _share("n_echoes", "n_words")), good=0.10, bad=0.40),
+        Rule("symbols", "symbols", _share("n_symbols", "n_words"), good=0.02, bad=0.25),
+        Rule("word marks", "symbols", _share("n_marks", "n_words"), good=0.02, bad=0.20),
+        Rule("same lines", "repetition", _share("n_dup_lines", "n_lines"), good=0.10, bad=0.30),
+        Rule("capitals", "shouting", _share("n_upper", "n_letters"), good=0.20, bad=0.60),
+        Rule("shouting", "shouting", _share("n_shouts", "n_words"), good=0.05, bad=0.30),
+        Rule("sentences", "no prose", F.when(F.col("n_words") >= 20, _share("n_stops", "n_words")), good=0.02, bad=0.003),
+        Rule("vocabulary", "repetition", F.when(F.col("n_words").between(20, 2000), _share("n_distinct", "n_words")), good=0.30, bad=0.10),
+        Rule("word length", "no prose", _share("word_chars", "n_words"), good=9, bad=25),
     ]
 
 
 @dataclass(frozen=True)
 class Estimate:
-    """``prior``: share of good documents; ``rates[rule, class, vote]`` with class 1 good, votes -1, 0, 1."""
-
-    prior: float
-    rates: np.ndarray
+    """Classes of documents: the good ones first, then those with each kind of fault.
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(good | votes) for rows of votes."""
-        logs = np.log(self.rates)
-        rules = np.arange(votes.shape[1])
-        bad, good = (logs[rules, c, votes + 1].sum(1) for c in (0, 1))
-        return 1 / (1 + np.exp(np.clip(bad + np.log1p(-self.prior) - good - np.log(self.prior), -700, 700)))
+    ``shares[class]`` of all documents; ``votes[rule, class, vote]`` for votes -1, 0, 1;
+    ``fit`` is the mean log likelihood of a document, pseudo-votes included.
+    """
 
+    shares: np.ndarray
+    votes: np.ndarray
+    fit: float
 
-#: Votes that the estimate starts from, as if seen before: a rule is right more often than not.
-PSEUDO = np.array([[6.0, 3.0, 1.0], [0.2, 3.0, 6.0]])
+    @property
+    def prior(self) -> float:
+        """Share of good documents."""
+        return float(self.shares[0])
 
+    @property
+    def rates(self) -> np.ndarray:
+        """``rates[rule, class, vote]`` of bad (0) and good (1) documents."""
+        bad = np.average(self.votes[:, 1:], axis=1, weights=self.shares[1:])
+        return np.stack([bad, self.votes[:, 0]], 1)
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> Estimate:
-    """EM over vote patterns and their counts.
+    def classes(self, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(class | votes) and log P(votes) for rows of votes."""
+        logs = np.log(self.votes)
+        rules = np.arange(votes.shape[1])
+        joint = np.stack([logs[rules, c, votes + 1].sum(1) for c in range(len(self.shares))], 1) + np.log(self.shares)
+        top = joint.max(1, initial=-np.inf)
+        total = top + np.log(np.exp(joint - top[:, None]).sum(1))
+        return np.exp(joint - total[:, None]), total
 
-    It starts from the patterns' majority votes, so class 1 is the one that rules vote to keep;
-    an empty table leaves the starting values.
-    """
-    n_rules = votes.shape[1]
-    good = np.clip(0.5 + votes.sum(1) / (2 * np.maximum(1, np.abs(votes).sum(1))), 0.02, 0.98)
-    good = np.where((votes == -1).any(1), np.minimum(good, 0.3), good)
-    result = Estimate(0.8, np.tile(PSEUDO / PSEUDO.sum(1, keepdims=True), (n_rules, 1, 1)))
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(good | votes) for rows of votes."""
+        return self.classes(votes)[0][:, 0]
+
+
+#: What is believed of votes (drop, abstain, keep) before any is seen: by a rule on good documents, by a
+#: rule on documents with the fault that it looks for, and on documents with another fault.
+ON_GOOD, ON_ITS_FAULT, ON_OTHERS = (0.02, 0.28, 0.70), (0.80, 0.10, 0.10), (0.25, 0.25, 0.50)
+GOOD = 0.8
+#: Weight of that belief as a share of the table, so that it counts the same in tables of any size.
+BELIEF = 0.05
+#: Chance to be good that the estimates start with for documents some rule votes to drop.
+STARTS = (0.05, 0.3, 0.7)
+
+
+def _maximise(votes: np.ndarray, share: np.ndarray, kinds: list[list[int]], start: float, rounds: int, tolerance: float) -> Estimate:
+    """EM with one class of good documents and one for each kind of fault, a list of rules."""
+    n_rules, n_classes = votes.shape[1], 1 + len(kinds)
+    shares = np.array([GOOD, *[(1 - GOOD) / len(kinds)] * len(kinds)])
+    belief = np.tile(np.array(ON_OTHERS), (n_rules, n_classes, 1))
+    belief[:, 0] = ON_GOOD
+    for c, members in enumerate(kinds, 1):
+        belief[members, c] = ON_ITS_FAULT
+    weight = BELIEF * shares
+    result = Estimate(shares, belief, -np.inf)
+    if not len(votes):
+        return result
+    cast = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
+    accused = np.stack([(votes[:, k] == -1).any(1) for k in kinds], 1).astype(float)
+    blame = accused.sum(1, keepdims=True)
+    good = np.where(blame > 0, start, 0.98)
+    chance = np.hstack([good, (1 - good) * np.where(blame > 0, accused / np.maximum(blame, 1), 1 / len(kinds))])
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - good), counts * good], 1)
-        rates = np.empty((n_rules, 2, 3))
-        for v in (-1, 0, 1):
-            rates[:, :, v + 1] = (votes == v).T.astype(float) @ weight + PSEUDO[:, v + 1]
+        part = share[:, None] * chance
+        rates = np.einsum("prv,pc->rcv", cast, part) + belief * weight[None, :, None]
         rates /= rates.sum(2, keepdims=True)
-        prior = float((weight[:, 1].sum() + 8) / (counts.sum() + 10))
-        result = Estimate(prior, rates)
-        after = result.posterior(votes)
-        if not len(after) or np.abs(after - good).max() < tolerance:
+        found = (part.sum(0) + weight) / (1 + BELIEF)
+        chance, logs = Estimate(found, rates, 0.0).classes(votes)
+        fit = float(share @ logs + (belief * weight[None, :, None] * np.log(rates)).sum() + weight @ np.log(found))
+        settled = fit - result.fit < tolerance
+        result = Estimate(found, rates, fit)
+        if settled:
             break
-        good = after
     return result
 
 
+def estimate(votes: np.ndarray, counts: np.ndarray, faults: list[str] | None = None, rounds: int = 1000, tolerance: float = 1e-12) -> Estimate:
+    """EM over vote patterns and their counts.
+
+    ``faults`` names what each rule looks for; rules that look for one fault depend on each other, so
+    that fault has a class of its own, in which their votes go together (none given: one for each rule).
+    It is compared with one class for all faults. EM ends at the optimum next to its start, so each
+    of the two starts from several points and the estimate with the best fit is returned. Only shares of
+    the table enter, so a table and many copies of it give one estimate; an empty table gives the belief.
+    """
+    n_rules = votes.shape[1]
+    names = list(range(n_rules)) if faults is None else faults
+    apart = [[r for r in range(n_rules) if names[r] == name] for name in dict.fromkeys(names)]
+    share = counts / max(1.0, counts.sum())
+    tried = [
+        _maximise(votes, share, kinds, start, rounds, tolerance) for kinds in ([list(range(n_rules))], apart) for start in STARTS
+    ]
+    return max(tried, key=lambda e: e.fit)
+
+
 def quality(docs: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.5, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Key columns, measures, ``base_failed``, ``posterior`` and ``kept`` for every row.
 
@@ -201,7 +258,7 @@ def quality(docs: DataFrame, rules: list[Rule] | None = None, threshold: float =
     pattern = np.array([r["_pattern"] for r in seen], np.int64)
     counts = np.array([r["count"] for r in seen], float)
     each = np.stack([pattern // 3**k % 3 - 1 for k in range(len(rules) - 1, -1, -1)], 1) if len(seen) else np.zeros((0, len(rules)), int)
-    chance = estimate(each, counts).posterior(each)
+    chance = estimate(each, counts, [r.fault for r in rules]).posterior(each)
     spark = docs.sparkSession
     known = spark.createDataFrame(
         [(int(p), float(c)) for p, c in zip(pattern, chance)], "_pattern long, posterior double"
