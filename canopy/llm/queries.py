@@ -116,9 +116,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op2_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of all conversation turns recovered from raw transcripts, and the turns in canonical form.
+    """Turns and roles of all conversations recovered from raw transcripts, the turns in canonical form.
 
-    The transcripts are written from the given turns, without every fourth speaker marker.
+    The transcripts are written from the given turns, without every fourth speaker marker; where a turn
+    begins and ends is the model's finding.
     Probabilities are counted on conversations whose crc32(conv_id as text) mod 5 is not 0.
     """
     turns = table(spark, sf_dir, "conversations")
@@ -128,15 +129,9 @@ def op2_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = transcripts.train(counted)
     numbered = lines.select("conv_id", (F.col("turn") * (1 << 20) + F.col("k")).alias("pos"), "line")
     found = transcripts.parse(numbered, model)
-    per_turn = found.groupBy("conv_id", F.shiftright("pos", 20).alias("turn")).agg(
-        F.min_by("role", "pos").alias("role"),
-        F.min_by("starts", "pos").alias("starts"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]).alias("_lines"),
-    )
-    text = F.array_join("_lines", "\n")
-    return per_turn.select(
-        "conv_id", "turn", (fold("conv_id") == 0).alias("held_out"), "role", "starts",
-        transcripts.rendered(F.col("role"), text).alias("rendered"),
+    return transcripts.recovered(found).select(
+        "conv_id", "turn", (fold("conv_id") == 0).alias("held_out"), "role", "first_pos", "n_lines",
+        transcripts.rendered(F.col("role"), F.col("text")).alias("rendered"),
     )
 
 

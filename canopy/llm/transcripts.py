@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.session import materialize
@@ -168,6 +168,8 @@ def _by_bucket(rows: DataFrame, keys: tuple[str, ...], n: int, schema: str, of:
 def parse(lines: DataFrame, model: Model, span: int = SPAN) -> DataFrame:
     """``conv_id, pos, body`` with ``role`` and ``starts`` of every line of (conv_id, pos, line).
 
+    ``block`` and ``at`` give a line's place in its conversation, ``opened`` the turns that began in its
+    block up to it.
     Lines are read in the order of ``pos``; rows with equal or null positions are ordered by their
     text, null positions first. A null conv_id is a conversation of its own.
     """
@@ -211,7 +213,10 @@ def parse(lines: DataFrame, model: Model, span: int = SPAN) -> DataFrame:
             states = path(model, model.emissions(group), group["before"][0].as_py(), group["last"][0].as_py())
             found = group.select(["conv_id", "pos", "body"])
             found = found.append_column("role", pa.array([STATES[s][0] for s in states], pa.string()))
-            parts.append(found.append_column("starts", pa.array([STATES[s][1] for s in states], pa.bool_())))
+            starts = np.array([STATES[s][1] for s in states], bool)
+            found = found.append_column("starts", pa.array(starts, pa.bool_())).append_column("block", group["block"])
+            found = found.append_column("at", pa.array(np.arange(len(starts)), pa.int64()))
+            parts.append(found.append_column("opened", pa.array(np.cumsum(starts), pa.int64())))
         return pa.concat_tables(parts)
 
     same = lambda a, b: a["conv_id"].eqNullSafe(b["_conv"])
@@ -223,10 +228,38 @@ def parse(lines: DataFrame, model: Model, span: int = SPAN) -> DataFrame:
     ends = _by_bucket(matrices, ("conv_id",), n_blocks, f"conv_id {conv_type}, block long, before int, last int", chain)
     ends = ends.withColumnRenamed("conv_id", "_conv").withColumnRenamed("block", "_block")
     known = rows.join(ends, same(rows, ends) & (rows["block"] == ends["_block"])).drop("_conv", "_block")
-    schema = f"conv_id {conv_type}, pos long, body string, role string, starts boolean"
+    schema = f"conv_id {conv_type}, pos long, body string, role string, starts boolean, block long, at long, opened long"
     return _by_bucket(known, ("conv_id", "block"), n, schema, decode)
 
 
+def recovered(lines: DataFrame) -> DataFrame:
+    """The turns of parsed lines: (conv_id, turn, role, first_pos, n_lines, text).
+
+    A turn goes from a line that starts one to the next such line; turns of a conversation are numbered
+    from 0. Only the blocks of a conversation are numbered in one place, not its lines.
+    """
+    lines, _ = materialize(lines, "path")
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("conv_id", "block").agg(F.max("opened").alias("_n"))
+    blocks = blocks.select(
+        F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    placed = lines.join(blocks, lines["conv_id"].eqNullSafe(blocks["_conv"]) & (lines["block"] == blocks["_block"]))
+    place = F.struct("block", "at")
+    return (
+        placed.withColumn("turn", F.col("_before") + F.col("opened") - 1)
+        .groupBy("conv_id", "turn")
+        .agg(
+            F.min_by("role", place).alias("role"),
+            F.min_by("pos", place).alias("first_pos"),
+            F.count(F.lit(1)).alias("n_lines"),
+            F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "body"))), lambda x: x["body"]).alias("_lines"),
+        )
+        .withColumn("text", F.array_join("_lines", "\n"))
+        .drop("_lines")
+    )
+
+
 def rendered(role: Column, text: Column) -> Column:
     """One turn in canonical form."""
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("\n<|end|>"))

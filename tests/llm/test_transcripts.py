@@ -92,3 +92,36 @@ def test_training_without_labels_gives_a_model(spark):
 def test_canonical_form(spark):
     row = spark.range(1).select(transcripts.rendered(F.lit("user"), F.lit("a\nb")).alias("t")).first()
     assert row.t == "<|user|>\na\nb\n<|end|>"
+
+
+def test_turns_follow_the_path(spark, turns, model):
+    """Turns equal those cut by hand out of the path, whatever the size of the blocks."""
+    path = {}
+    for r in sorted(transcripts.parse(numbered(turns), model, span=1 << 62).collect(), key=lambda r: (r.conv_id, r.pos)):
+        of = path.setdefault(r.conv_id, [])
+        if r.starts:
+            of.append([r.role, r.pos, []])
+        of[-1][2].append(r.body)
+    expected = sorted((c, k, role, pos, len(b), "\n".join(b)) for c, of in path.items() for k, (role, pos, b) in enumerate(of))
+    for span in (1 << 62, 3 << 20):
+        found = transcripts.recovered(transcripts.parse(numbered(turns), model, span=span))
+        assert sorted(tuple(r) for r in found.select("conv_id", "turn", "role", "first_pos", "n_lines", "text").collect()) == expected
+
+
+def test_turns_begin_where_the_given_ones_do(spark, turns, model):
+    """The given turns judge the segmentation; the model sees lines and their order only."""
+    found = transcripts.recovered(transcripts.parse(numbered(turns), model)).select("conv_id", "first_pos").collect()
+    begins = {(r.conv_id, r.first_pos) for r in found}
+    truth = {(r.conv_id, r.pos) for r in numbered(turns).where("k = 0").collect()}
+    right = len(begins & truth)
+    assert right >= 0.95 * len(begins) and right >= 0.95 * len(truth)
+
+
+def test_turns_of_odd_rows(spark, model):
+    rows = [(None, None, "x"), (None, 1, "User: hi"), (1, 5, None), (1, 5, ""), (1, 5, ""), (2, 0, "Assistant: " + "long " * 50_000)]
+    df = spark.createDataFrame(rows, "conv_id long, pos long, line string")
+    got = transcripts.recovered(transcripts.parse(df, model)).collect()
+    assert sum(r.n_lines for r in got) == len(rows)
+    assert {r.conv_id for r in got} == {None, 1, 2}
+    assert [r.turn for r in sorted(got, key=lambda r: r.turn) if r.conv_id == 2] == [0]
+    assert transcripts.recovered(transcripts.parse(df.limit(0), model)).count() == 0
