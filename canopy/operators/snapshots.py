@@ -58,7 +58,12 @@ def diff(before: DataFrame, after: DataFrame, keys: Sequence[str], keep_common:
 
 
 def diff_commits(store, name: str, before: str, after: str, keys: Sequence[str], keep_common: bool = False) -> DataFrame:
-    """Difference of a tagged table between two commits of a store, looked up by their names."""
+    """Difference of a tagged table between two commits of a store, looked up by their names.
+
+    Of a table laid out in ranges only the ranges that differ are read, unless common keys are wanted.
+    """
+    if not keep_common:
+        return diff(*store.changed(name, before, after), keys)
     rows = store.read(name)
     first, second = (rows.where(F.col("tag") == store.tag_of(c)).drop("tag") for c in (before, after))
     return diff(first, second, keys, keep_common)

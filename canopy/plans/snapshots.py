@@ -13,6 +13,7 @@ from canopy.plans.bindings import SCHEMAS, table
 from canopy.plans.registry import query
 from canopy.session import scratch_path
 from canopy.sources.analyze import analyze
+from canopy.sources.ranges import Ranges
 from canopy.sources.store import Store, allocate_tags
 from canopy.streaming.load import file_stream, load_new_keys, load_snapshots, read_new_keys
 
@@ -148,6 +149,25 @@ def commit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.diff_commits(store, "counts_at", "1995", "1996", ["id", "status_of"])
 
 
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'removed' WHEN o_orderpriority = '2-HIGH' THEN 'added'
+  ELSE 'changed' END AS status
+FROM orders WHERE o_totalprice >= 400000"""
+)
+def range_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders stored twice, the dear ones removed, added or changed; only ranges with changes are read."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price")
+    )
+    dear = F.col("price") >= 400_000
+    store = Store(spark, scratch_path(spark, "store"), [ORDERS], fresh=True, ranged={"orders_at": Ranges()})
+    store.load("before", {"orders_at": rows.where(~dear | (F.col("priority") != "2-HIGH"))})
+    after = rows.where(~dear | (F.col("priority") != "1-URGENT"))
+    changed = dear & (F.col("priority") != "2-HIGH")
+    store.load("after", {"orders_at": after.withColumn("price", F.when(changed, F.col("price") + 1).otherwise(F.col("price")))})
+    return snapshots.diff_commits(store, "orders_at", "before", "after", ["id"])
+
+
 @query("SELECT row_number() OVER (ORDER BY p_name || '.' || p_partkey) AS number, p_name || '.' || p_partkey AS name FROM part")
 def list_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from canopy.operators.numbering import number_rows
 from canopy.operators.tables import Key, TableDef, first_per_key, insert_ignore
 from canopy.session import delete_path, path_exists
+from canopy.sources.ranges import RANGE, Ranges, differing, digest_table, digests
 
 TAGS = TableDef.of("tags", Key("tag:INTEGER"), "commit_id")
 _TAG_LOG = TableDef.of("tag_log", "tag:INTEGER", "commit_id", "live:BOOLEAN")
@@ -43,11 +44,20 @@ def sql_with(spark: SparkSession, sql: str, args: Sequence) -> DataFrame:
 
 class Store:
     def __init__(
-        self, spark: SparkSession, path: str, tables: Iterable[TableDef], fresh: bool = False, must_exist: bool = False
+        self, spark: SparkSession, path: str, tables: Iterable[TableDef], fresh: bool = False, must_exist: bool = False,
+        ranged: Mapping[str, Ranges] | None = None,
     ):
-        """Open a store; ``fresh`` starts empty, ``must_exist`` fails unless it is there."""
+        """Open a store; ``fresh`` starts empty, ``must_exist`` fails unless it is there.
+
+        ``ranged`` names the tables laid out in ranges, always with the same ``Ranges`` for one store.
+        """
         self.spark, self.path = spark, path.rstrip("/")
         self.tables = {t.name: t for t in [*tables, TAGS]}
+        self.ranged = dict(ranged or {})
+        for name in self.ranged:
+            if not self._tagged(name) or not self._range_keys(name):
+                raise ValueError(f"table {name} needs a tag and further keys to be laid out in ranges")
+        self.tables.update({t.name: t for t in map(digest_table, self.ranged)})
         if must_exist and not path_exists(spark, self.path):
             raise FileNotFoundError(f"no store at {self.path}")
         if fresh:
@@ -78,6 +88,9 @@ class Store:
         table = self.tables[name]
         return self.spark.read.schema(table.schema).parquet(self._folder(name)).select(*table.columns)
 
+    def _range_keys(self, name: str) -> list[str]:
+        return [k for k in self.tables[name].keys if k != "tag"]
+
     def append(self, name: str, rows: DataFrame, order: Sequence[str] | None = None) -> None:
         """Add rows; of rows with equal keys, stored ones and then the least by ``order`` win.
 
@@ -91,17 +104,57 @@ class Store:
             if self._tagged(name):
                 stored = stored.join(rows.select("tag").distinct(), "tag", "left_semi").select(*stored.columns)
             rows = insert_ignore(stored, rows, table.keys, order)
+        if name not in self.ranged:
+            self._write(name, rows, "append")
+            return
+        # Without digests a tag is compared as a whole, so a failure in between hides no difference.
+        tags = [r["tag"] for r in rows.select("tag").distinct().collect()]  # one row per tag
+        for tag in tags:
+            delete_path(self.spark, self._folder(digest_table(name).name, tag))
         self._write(name, rows, "append")
+        self._write_digests(name, tags)
 
     def _write(self, name: str, rows: DataFrame, mode: str) -> None:
         if not self._tagged(name):
             rows.write.mode(mode).parquet(self._folder(name))
             return
+        by = ["tag"]
+        if name in self.ranged:
+            rows = rows.withColumn(RANGE, self.ranged[name].folder(self._range_keys(name)))
+            by.append(RANGE)
         # Rebalancing by tag gathers small tags into few files and splits large ones.
-        rows = rows.hint("rebalance", F.col("tag"))
-        writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tag")
+        rows = rows.hint("rebalance", *map(F.col, by))
+        writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by)
         writer.parquet(self._folder(name))
 
+    def _write_digests(self, name: str, tags: Sequence[int]) -> None:
+        """Digests of the rows that are there, for whole tags."""
+        rows = self._stored(name).where(F.col("tag").isin(list(tags)))
+        found = digests(rows, tags, self.ranged[name], self._range_keys(name))
+        self._write(digest_table(name).name, found, "overwrite")
+
+    def changed(self, name: str, before: str, after: str) -> tuple[DataFrame, DataFrame]:
+        """The rows of two commits, without tag, that lie in ranges in which the commits differ.
+
+        Rows of the other ranges are the same in both and are not read. The rows of a table
+        without ranges, or of a tag without digests, are returned whole.
+        """
+        table = self.tables[name]
+        columns = [c for c in table.columns if c != "tag"]
+        tags = [self.tag_of(c) for c in (before, after)]
+        if name not in self.ranged:
+            rows = self.read(name)
+            return tuple(rows.where(F.col("tag") == t).select(*columns) for t in tags)
+        ranges, keys = self.ranged[name], self._range_keys(name)
+        rows = self.spark.read.schema(table.schema.add(RANGE, "integer")).parquet(self._folder(name))
+        found = differing(self._stored(digest_table(name).name), tags, ranges)
+        if found is None:
+            return tuple(rows.where(F.col("tag") == t).select(*columns) for t in tags)
+        folders, leaves = found
+        rows = rows.where(F.col(RANGE).isin(folders)).withColumn("_leaf", ranges.leaf(keys))
+        rows = rows.join(leaves, "_leaf", "left_semi")
+        return tuple(rows.where(F.col("tag") == t).select(*columns) for t in tags)
+
     def drop_all(self) -> None:
         """Empty every declared table."""
         for name in self.tables:
@@ -195,6 +248,8 @@ class Store:
                 raise ValueError(f"rows for {name} do not say which commit they belong to")
             rows = table.conform(rows)
             self._write(name, first_per_key(rows, table.keys) if table.keys else rows, "overwrite")
+            if name in self.ranged:
+                self._write_digests(name, list(tags.values()))
         self._log_append([(t, c, True) for c, t in tags.items()] + [(t, c, False) for t, c in old])
         self._delete(t for t, _ in old)
         return tags
