@@ -163,6 +163,44 @@ class WordStream:
 #: How the file splits text into words (a fixed value, compared with the file when it is loaded).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+# Where the tokenizers library follows another version of Unicode than ``regex`` and ``unicodedata``.
+#: Letters and numbers assigned after the version (16) that its classes follow; signs to it.
+NEWER = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
+10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff
+18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96
+1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead
+323b0-33479 3d000-3fc3f
+"""
+#: Marks assigned after the version (9) that its normal form follows; to it they neither move nor join.
+NEWER_MARKS = """
+7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50
+10f82-10f85 11070 1133b 1145e 11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42
+16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef
+"""
+#: Capitals that only its tables of letter case know, with their small letters.
+NEWER_CAPITALS = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
+def _members(ranges: str) -> str:
+    """Ranges of hexadecimal code points as the inside of a character class."""
+    return "".join("-".join(f"\\U{int(end, 16):08x}" for end in part.split("-")) for part in ranges.split())
+
+
+_LETTER = rf"[\p{{L}}--[{_members(NEWER)}]]"
+_NUMBER = rf"[\p{{N}}--[{_members(NEWER)}]]"
+_SIGN = rf"[^\s{_LETTER}{_NUMBER}]"
+
+
+def _pinned(pattern: str) -> regex.Pattern:
+    """A pattern of the file with the library's letters, numbers and signs."""
+    for general, own in ((r"[^\s\p{L}\p{N}]", _SIGN), (r"[\p{L}]", _LETTER), (r"[\p{N}]", _NUMBER)):
+        pattern = pattern.replace(general, own)
+    return regex.compile(pattern, regex.V1)
+
 
 class Encoder:
     """Text to packed ids (32-bit, little-endian), in pieces of bounded size."""
@@ -170,11 +208,10 @@ class Encoder:
     def __init__(self, spec: dict, window: int = WINDOW):
         check_spec(spec)
         self.merges, self.window = Merges(spec), window
-        self._find = regex.compile(SPLIT).findall
-        self._scan = regex.compile(SPLIT)
+        self._scan = _pinned(SPLIT)
+        self._find = self._scan.findall
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in self.merges.special) + ")")
-        self._letter = regex.compile(r"\p{L}")
-        self._number = regex.compile(r"\p{N}")
+        self._letter = _pinned(r"[\p{L}]")
         self._words: dict[str, bytes] = {}
         self._parts = _Remember(self._split)
         self._bytes_of: np.ndarray | None = None
@@ -297,8 +334,10 @@ class _Remember(dict):
 
 
 _CONTROL = regex.compile("[\x1c-\x1f]")
-_LETTERS = regex.compile(r"[\p{L}]+")
-_OTHERS = regex.compile(r"[^\s\p{L}\p{N}]+")
+_LETTERS = _pinned(r"[\p{L}]+")
+_OTHERS = _pinned(r"[^\s\p{L}\p{N}]+")
+_NEWER_MARKS = regex.compile(f"([{_members(NEWER_MARKS)}])")
+_NEWER_CAPITALS = regex.compile("[" + "".join(map(chr, NEWER_CAPITALS)) + "]")
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -317,12 +356,15 @@ def _starts_afresh(text: str, at: int) -> bool:
 
 
 def normal(text: str) -> str:
-    """NFC, then lower case character by character (no final sigma)."""
-    if not text.isascii():
+    """NFC, then lower case character by character (no final sigma), as the library's tables have them."""
+    if text.isascii():
+        return text.lower()
+    if _NEWER_MARKS.search(text):
+        text = "".join(unicodedata.normalize("NFC", part) for part in _NEWER_MARKS.split(text))
+    else:
         text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:
-            return "".join([c.lower() for c in text])
-    return text.lower()
+    text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+    return text.translate(NEWER_CAPITALS) if _NEWER_CAPITALS.search(text) else text
 
 
 def check_spec(spec: dict) -> None:

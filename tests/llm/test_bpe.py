@@ -42,6 +42,25 @@ def test_equals_the_library_on_odd_texts(spec, library, window):
         assert ids(encoder, text) == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_code_points_are_normalised_and_split_as_by_the_library(spec, library):
+    """Inside a word, beside a digit, a sign, a capital, and between marks that move and join."""
+    scan, byte = bpe.Encoder(spec)._scan, bpe.byte_alphabet()
+    normalised, split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+
+    def same(text):
+        own = bpe.normal(text)
+        words = ["".join(byte[b] for b in word.encode()) for word in scan.findall(own)]
+        return own == normalised(text) and words == [piece for piece, _ in split(own)]
+
+    # Without the inside of the large blocks of ideographs and syllables, and without planes that hold no characters.
+    ranges = [(0, 0x3500), (0x9F00, 0xAD00), (0xD700, 0xD800), (0xF900, 0x17000), (0x18700, 0x20100), (0x2B700, 0x2B900), (0x32300, 0x33500)]
+    points = [chr(c) for low, high in ranges for c in range(low, high) if not chr(c).isspace()]
+    for at in range(0, len(points), 256):
+        part = points[at : at + 256]
+        if not same(" ".join(f"a{c}b1{c}1!{c}?{c}A a{c}\u0323 e\u0323{c}\u0301" for c in part)):
+            assert not [hex(ord(c)) for c in part if not same(f"a{c}b1{c}1!{c}?{c}A a{c}\u0323 e\u0323{c}\u0301")]
+
+
 @pytest.mark.parametrize("letters", [["a"], ["a", "b"], list("etaoin"), ["ha"], ["!", "?"], ["é", "a"], ["th", "e", "in"]])
 def test_long_runs_stream_and_equal_the_library(spec, library, letters):
     encoder, rng = bpe.Encoder(spec), random.Random(5)
