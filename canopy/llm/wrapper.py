@@ -5,17 +5,26 @@ aligned by simple tree matching and merged into one template tree, in which a no
 many pages it stood, whether its text was the same on all of them, and how much text and link
 text it held. Nodes whose text is constant over pages are template, slots whose text varies are
 content, unless the template shows the slot to be navigation, a form, a notice or the like.
+Where no element is marked as the main part, it is the node that holds nearly all text of the
+host's pages outside links.
+
+What counts as constant: on a host with ``SUPPORT`` pages or more, a text on ``CONSTANT`` of the pages
+that have its place (a text on less than ``CONSTANT - 1 / SPARE`` of them never does); on a host with 2 to
+``SUPPORT - 1`` pages, a text of at most ``SHORT`` characters on all of them, if all pages differ and at most half
+of what they say is constant. One page alone has no constant text.
 
 Scale. A task merges the pages it reads into one template per host, so a host with a third of
-all pages sends one small tree per task; these are merged in two steps, first by slices. Runs of
-equal siblings are one template node, so a template does not grow with the pages. Templates come
-back to the pages by a join on the host.
+all pages sends one small tree per task; these are merged ``FAN`` at a time, in as many rounds as
+that takes. Runs of equal siblings are one template node, and a node counts a number of texts that
+follows from one page, so a template does not grow with the pages. Wrappers, which hold only the
+constant texts, come back to the pages by a join on the host.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,11 +36,19 @@ from pyspark.sql import functions as F
 from canopy.llm.common import map_rows
 from canopy.session import materialize
 
-#: Pages that a node must have stood on before constant text makes it template.
+#: Pages of a host from which nearly constant text is template; on fewer it must be short and on all.
 SUPPORT = 8
+SHORT = 200
 #: Share of the pages with the same text at the same place from which a text counts as constant.
 CONSTANT = 0.9
-SLICES = 16
+#: Texts that a template node counts, as a multiple of those of the page that has most at its place. What is
+#: left out takes at most this fraction of the pages off a count.
+SPARE = 10
+#: Share of the text outside links that the main part holds where none is marked.
+MASS = 0.7
+#: Trees merged by one task, and texts gathered by one before it passes its trees on.
+FAN = 64
+GATHERED = 1_000_000
 
 # Element names of HTML (fixed values of the standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,16 +58,20 @@ INLINE = frozenset(
     " strike strong sub sup time tt u var wbr".split()
 )
 #: Elements that never hold main text.
-ASIDE = frozenset("head nav header footer aside form button input menu dialog figure canvas audio video".split()) | RAW
+ASIDE = frozenset("head nav header footer aside form button input menu dialog canvas audio video".split()) | RAW
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id or role that name something other than main text.
 _SIGNS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|menu|nav\w*|breadcrumbs?|side-?bar|aside|footer|foot|masthead|site-?header|page-?header|comments?|comment\w*|"
-    r"replies|disqus|respond|discussion|reader\w*|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|widget|"
-    r"search|skip|copyright|legal|disclaimer|tags?)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|"
+    r"subscribe|signup|login|menu|nav\w*|breadcrumbs?|side-?bar|footer|masthead|site-?header|page-?header|comment\w*|"
+    r"replies|disqus|respond|share|sharing|related|recommend\w*|pagination|pager|toolbar)(?:$|[\s_-])"
+    r"|(?:^|\s)(?:alert|aside|discussion|readers?|social|widget|search)(?:$|\s)",
     re.I,
 )
+#: Words that may as well name a part of an article: inside the main part only constant text under them is template.
+_HINTS = re.compile(
+    r"(?:^|[\s_-])(?:alert|aside|foot|discussion|reader\w*|social|widget|search|skip|copyright|legal|disclaimer|tags?)(?:$|[\s_-])", re.I
+)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:$|[\s_-])", re.I)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -69,7 +90,7 @@ _LISTS = frozenset("ul ol dl table menu select".split())
 class Node:
     """An element; ``parts`` are its texts and elements in order."""
 
-    __slots__ = ("tag", "label", "parts", "hidden", "main")
+    __slots__ = ("tag", "label", "parts", "hidden", "doubtful", "main")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag = tag
@@ -79,13 +100,16 @@ class Node:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 found.setdefault(name.lower(), a or b or c)
         names = " ".join(found[k] for k in ("class", "id", "role") if found.get(k))
-        self.label = f"{tag}.{names}" if names else tag
         style = found.get("style", "").replace(" ", "").lower()
         self.hidden = (
             tag in ASIDE or bool(names and _SIGNS.search(names)) or "hidden" in found or "display:none" in style
             or found.get("aria-hidden") == "true"
         )
+        self.doubtful = not self.hidden and bool(names and _HINTS.search(names))
         self.main = tag in ("article", "main") or bool(names and _MAIN.search(names)) or "itemprop" in found and found["itemprop"] == "articleBody"
+        # Ids and numbered classes tell pages apart, so only what they say of the element is part of its label.
+        plain = [c for c in (found.get("class") or "").split() if not any(map(str.isdigit, c))]
+        self.label = " ".join([tag + "!" * self.hidden + "?" * self.doubtful + "+" * self.main, *plain])
 
     @property
     def children(self) -> list[Node]:
@@ -176,15 +200,11 @@ def block_children(node: Node) -> list[Node]:
 
 
 # A template node: label (l), pages it stood on (p), nodes it stood for (n), its most usual texts as
-# hashes with the pages that had them (t), the most usual text of the whole subtree and its pages
-# (w, v), characters of text (c) and of link text (a), whether its name hides it (b) or marks main
-# text (m), children (k).
+# hash and length with the pages that had them (t), what a count may lack (o), texts of the page with most (s),
+# the most usual text of the whole subtree and its pages (w, v), characters of text (c) and of link text (a),
+# whether its name hides it (b), might (z) or marks main text (m), children (k).
 Template = dict
 
-#: Texts that a template node counts. A text on nearly all pages stays among them as long as a page
-#: has fewer siblings at this place than that.
-USUAL = 24
-
 
 def _link_chars(node: Node) -> int:
     total = 0
@@ -211,17 +231,18 @@ def template_of(node: Node) -> Template:
         else:
             children.append(made)
     below = zlib.crc32(" ".join([str(zlib.crc32(text.encode())), *(str(k["w"]) for k in children)]).encode())
+    texts = {f"{zlib.crc32(text.encode())}:{len(text)}": 1} if text else {}
     return {
-        "l": node.label, "p": 1, "n": 1, "t": {str(zlib.crc32(text.encode())): 1} if text else {}, "w": below, "v": 1, "c": len(text),
-        "a": _link_chars(node), "b": node.hidden, "m": node.main, "k": children,
+        "l": node.label, "p": 1, "n": 1, "t": texts, "o": 0, "s": len(texts), "w": below, "v": 1, "c": len(text),
+        "a": _link_chars(node), "b": node.hidden, "z": node.doubtful, "m": node.main, "k": children,
     }
 
 
 def _fold(a: Template, b: Template) -> Template:
     """Siblings of one page as one node that stands for both."""
-    both = zlib.crc32(f"{a['w']} {b['w']}".encode())
+    both, texts = zlib.crc32(f"{a['w']} {b['w']}".encode()), a["t"] | b["t"]
     return a | {
-        "n": a["n"] + b["n"], "t": _fewer(a["t"] | b["t"]), "w": both, "v": 1, "c": a["c"] + b["c"], "a": a["a"] + b["a"],
+        "n": a["n"] + b["n"], "t": texts, "s": len(texts), "w": both, "v": 1, "c": a["c"] + b["c"], "a": a["a"] + b["a"],
         "k": _align(a["k"], b["k"], _fold),
     }
 
@@ -262,21 +283,24 @@ def _align(a: list[Template], b: list[Template], join) -> list[Template]:
 
 def merge(a: Template, b: Template) -> Template:
     """Two templates of one host as one."""
-    texts = _fewer({k: a["t"].get(k, 0) + b["t"].get(k, 0) for k in a["t"] | b["t"]})
+    most = max(a["s"], b["s"])
+    texts, lacking = _fewer({k: a["t"].get(k, 0) + b["t"].get(k, 0) for k in a["t"] | b["t"]}, SPARE * most)
     w, v = _usual(a["w"], a["v"], b["w"], b["v"])
     return a | {
-        "p": a["p"] + b["p"], "n": a["n"] + b["n"], "t": texts, "w": w, "v": v, "c": a["c"] + b["c"], "a": a["a"] + b["a"],
+        "p": a["p"] + b["p"], "n": a["n"] + b["n"], "t": texts, "o": a["o"] + b["o"] + lacking, "s": most, "w": w, "v": v, "c": a["c"] + b["c"], "a": a["a"] + b["a"],
         "k": _align(a["k"], b["k"], merge),
     }
 
 
-def _fewer(texts: dict[str, int]) -> dict[str, int]:
-    """The most frequent texts; what the first one left out had is taken off all, so frequent ones stay."""
-    if len(texts) <= USUAL:
-        return texts
-    ranked = sorted(texts.items(), key=lambda x: (-x[1], x[0]))
-    off = ranked[USUAL][1]
-    return {k: n - off for k, n in ranked[:USUAL] if n > off} or dict(ranked[:USUAL])
+def _fewer(texts: dict[str, int], most: int) -> tuple[dict[str, int], int]:
+    """The ``most`` most frequent texts; the count of the first one left out is taken off all, and returned.
+
+    What is taken off in all stays below the texts counted in, over ``most``.
+    """
+    if len(texts) <= most:
+        return texts, 0
+    off = sorted(texts.values(), reverse=True)[most]
+    return {k: n - off for k, n in texts.items() if n > off}, off
 
 
 def _usual(x: int | None, n: int, y: int | None, m: int) -> tuple[int | None, int]:
@@ -300,21 +324,73 @@ def _sums(t: Template) -> tuple[int, int, int]:
     return text, links, nodes
 
 
-def decide(t: Template, whole: Template | None = None, hidden: bool = False) -> Template:
+def _heading(t: Template) -> bool:
+    return t["l"].split()[0].rstrip("!?+") in HEADINGS
+
+
+def _marks_main(t: Template) -> bool:
+    return not t["b"] and (t["m"] and _sums(t)[0] > 0 or any(map(_marks_main, t["k"])))
+
+
+def _plain(t: Template) -> int:
+    """Characters of text outside links, and outside parts that are named as something else."""
+    return 0 if t["b"] else t["c"] - t["a"] + sum(map(_plain, t["k"]))
+
+
+def _main_by_mass(page: Template) -> Template | None:
+    """The innermost single element that holds ``MASS`` of a host's text, headings beside it included."""
+    node = page
+    while node["k"]:
+        best = max(node["k"], key=_plain)
+        beside = any(_heading(k) for k in node["k"] if k is not best and not k["b"])
+        if beside or best["n"] > best["p"] or best["p"] < CONSTANT * page["p"] or _plain(best) < MASS * _plain(page):
+            break
+        node = best
+    inside = page["p"] >= SUPPORT and node["l"].split()[0].rstrip("!?+") not in ("#page", "html", "body")
+    return node if inside and node["k"] else None
+
+
+def _constant(t: Template, pages: int) -> list[tuple[int, int]]:
+    """(hash, length) of the texts that are constant at a place of a host with so many pages."""
+    few = pages < SUPPORT
+    if t["p"] < (pages if few else SUPPORT):
+        return []
+    texts = [(int(h), int(size), n) for (h, size), n in ((k.split(":"), n) for k, n in t["t"].items())]
+    if few:
+        return [(h, size) for h, size, n in texts if n == pages and size <= SHORT]
+    return [(h, size) for h, size, n in texts if n + t["o"] >= CONSTANT * t["p"]]
+
+
+def _varies(t: Template) -> bool:
+    """Whether pages differ in this part; where most are copies, sameness tells nothing."""
+    if t["p"] >= SUPPORT:
+        return t["v"] < 0.5 * t["p"]
+
+    def same(k: Template) -> int:
+        return sum(size for _, size in _constant(k, t["p"])) + sum(map(same, k["k"]))
+
+    return t["p"] > 1 and t["v"] == 1 and 2 * same(t) * t["p"] <= _sums(t)[0]
+
+
+def decide(page: Template) -> Template:
     """The wrapper: what every template node is.
 
-    ``d``: hashes of texts that are template, as they are constant over pages while the text around them is
-    not (``whole`` is the main part or page it lies in; where most pages are copies, sameness tells nothing);
-    ``x``: a list of links; ``b``: named as something else than main text; ``m``: the main part.
+    ``d``: hashes of texts that are template, as they are constant over pages while the main part or page
+    they lie in is not; ``x``: a list of links; ``b``: named as something else than main text; ``z``: perhaps;
+    ``m``: the main part.
     """
+    return _decided(page, None if _marks_main(page) else _main_by_mass(page), page, _varies(page), False)
+
+
+def _decided(t: Template, found: Template | None, whole: Template, varies: bool, hidden: bool) -> Template:
     hidden = hidden or t["b"]
-    main = t["m"] and not hidden and _sums(t)[0] > 0
-    whole = t if whole is None or main else whole
-    varies = whole["v"] < 0.5 * whole["p"]
-    constant = [int(h) for h, n in t["t"].items() if varies and t["p"] >= SUPPORT and n >= CONSTANT * t["p"]]
+    main = t is found or t["m"] and not hidden and _sums(t)[0] > 0
+    if main:
+        whole, varies = t, _varies(t)
+    constant = [h for h, _ in _constant(t, whole["p"])] if varies else []
     return {
-        "l": t["l"], "d": constant, "x": _is_link_list(t), "b": t["b"], "m": main,
-        "k": [decide(k, whole, hidden) for k in t["k"]],
+        "l": t["l"], "d": constant, "x": _is_link_list(t), "b": t["b"], "z": t["z"], "m": main,
+        "k": [_decided(k, found, whole, varies, hidden) for k in t["k"]],
     }
 
 
@@ -354,7 +430,7 @@ def _collect(node: Node, wrapper: Template, inside: bool, marked: bool, blocks:
         else:
             flush()
             below = next(matched)
-            if below["b"] and not _article_header(part, inside) or below["x"] and not inside:
+            if below["b"] and not _article_header(part, inside) or (below["x"] or below["z"]) and not inside:
                 continue
             _collect(part, below, inside, marked, blocks)
     flush()
@@ -370,7 +446,9 @@ def _matched(children: list[Node], nodes: list[Template]) -> list[Template]:
         places = [*range(at, len(nodes)), *range(at)]
         found = next((k for k in places if nodes[k]["l"] == child.label), None)
         if found is None:
-            out.append({"l": child.label, "d": [], "x": False, "b": child.hidden, "m": child.main and not child.hidden, "k": []})
+            out.append({
+                "l": child.label, "d": [], "x": False, "b": child.hidden, "z": child.doubtful, "m": child.main and not child.hidden, "k": [],
+            })
         else:
             out.append(nodes[found])
             at = max(at, found)
@@ -379,7 +457,7 @@ def _matched(children: list[Node], nodes: list[Template]) -> list[Template]:
 
 def _article_header(node: Node, inside: bool) -> bool:
     """A header inside the main part that holds its heading."""
-    return inside and node.tag in ("header", "figure") and any(k.tag in HEADINGS for k in node.children)
+    return inside and node.tag == "header" and any(k.tag in HEADINGS for k in node.children)
 
 
 def host(url: Column) -> Column:
@@ -388,18 +466,20 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, template) as JSON: the merged tree of every host, with the wrapper's decisions."""
+    """(host, template) as JSON: the merged tree of every host."""
 
     def partial(batches: Iterator[dict]) -> Iterator[dict]:
         made: dict[str, Template] = {}
+        gathered = 0
         for batch in batches:
             for h, text in zip(batch["_host"], batch["_page"]):
                 if text:
                     new = template_of(parse(text))
+                    gathered += _nodes(new)
                     made[h] = merge(made[h], new) if h in made else new
-            if len(made) > 20_000:
-                yield _rows(made)
-                made = {}
+                if gathered > GATHERED:
+                    yield _rows(made)
+                    made, gathered = {}, 0
         if made:
             yield _rows(made)
 
@@ -410,26 +490,50 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
         whole = trees[0]
         for t in trees[1:]:
             whole = merge(whole, t)
-        return pa.table({"host": table["host"][:1].cast(pa.string()), "template": pa.array([json.dumps(whole)], pa.string())})
+        return pa.table({
+            "host": table["host"][:1].cast(pa.string()), "part": table["part"][:1].cast(pa.int32()), "template": pa.array([json.dumps(whole)], pa.string()),
+        })
 
-    schema = "host string, template string"
     read = pages.select(host(F.col(url)).alias("_host"), F.col(page).alias("_page"))
-    parts = map_rows(read, schema, partial).withColumn("_slice", F.pmod(F.xxhash64("template"), F.lit(SLICES)))
-    some = parts.groupBy("host", "_slice").applyInArrow(together, schema)
-    return some.groupBy("host").applyInArrow(together, schema)
+    parts = map_rows(read, "host string, template string", partial).withColumn("part", F.spark_partition_id())
+    parts, _ = materialize(parts, "partial-templates")
+    most = parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > 1:
+        most = math.ceil(most / FAN)
+        slices = F.pmod("part", F.lit(most)).alias("_slice")
+        parts = parts.groupBy("host", slices).applyInArrow(together, "host string, part int, template string")
+        if most > 1:
+            parts, _ = materialize(parts, "partial-templates")
+            most = parts.groupBy("host").count().agg(F.max("count")).first()[0]
+    return parts.select("host", "template")
 
 
 def _rows(made: dict[str, Template]) -> dict:
     return {"host": list(made), "template": [json.dumps(t) for t in made.values()]}
 
 
+def _nodes(t: Template) -> int:
+    """Nodes and texts of a template."""
+    return 1 + len(t["t"]) + sum(map(_nodes, t["k"]))
+
+
+def wrappers(learned: DataFrame) -> DataFrame:
+    """(host, template) with the wrapper's decisions in the place of the trees."""
+
+    def task(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            yield {"host": batch["host"], "template": [json.dumps(decide(json.loads(t))) for t in batch["template"]]}
+
+    return map_rows(learned, "host string, template string", task)
+
+
 def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", page: str = "html") -> DataFrame:
     """Columns ``keep`` with ``text`` and ``n_chars`` for every page.
 
     A null or empty page has an empty text. Pages without a host in their address share one
     template. The template of a host is the same whatever rows repeat, but for its counts.
     """
-    learned, _ = materialize(templates(pages, url, page), "templates")
+    learned, _ = materialize(wrappers(templates(pages, url, page)), "templates")
     schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keep) + ", text string, n_chars long"
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
@@ -443,7 +547,7 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url:
                 if h not in known:
                     if len(known) > 2_000:
                         known.clear()
-                    known[h] = decide(json.loads(template))
+                    known[h] = json.loads(template)
                 texts.append(extract(parse(text), known[h]))
             yield {k: batch[k] for k in keep} | {"text": texts, "n_chars": [len(t) for t in texts]}
 
