@@ -32,6 +32,7 @@ class Jumps:
         self.levels, self.rows, self.heavy_rows = [edges], [rows], heavy_rows
         self.ended = rows == 0  # no walk is longer than those of the levels there are
         self.full = False  # the next level would be too large
+        self._single: bool | None = None  # no node has two ways out, or none has two ways in
 
     def crowded(self, level: int, end: str) -> DataFrame | None:
         return heavy_keys(self.levels[level], [end], self.rows[level], self.heavy_rows)
@@ -41,17 +42,45 @@ class Jumps:
         if self.ended or self.full:
             return False
         last = self.levels[-1]
+        if self.single():
+            return self._compose(unique=True)
         into = last.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_in"))
         out = last.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_out"))
         most = into.join(out, "node").agg(F.sum(F.col("_in").cast("double") * F.col("_out"))).first()[0] or 0
         self.ended, self.full = most == 0, most > GROWTH * self.rows[0]
         if self.ended or self.full:
             return False
-        on = len(self.levels) - 1
+        return self._compose(unique=False)
+
+    def single(self) -> bool:
+        """Whether no node has two ways out, or none has two ways in: all levels are so then, and none is
+        larger than the one before."""
+        if self._single is None:
+            self._single = any(
+                (self.levels[0].groupBy(end).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= 1
+                for end in ("src", "dst")
+            )
+        return self._single
+
+    def acyclic(self) -> bool:
+        """Whether all walks end, looked at only where levels cannot grow."""
+        if not self.ended and self.single():
+            # While all walks end, each level is smaller than the one before: a longest walk has parts of
+            # exactly the length that is doubled.
+            while self.grow() and self.rows[-1] < self.rows[-2]:
+                pass
+        return self.ended
+
+    def _compose(self, unique: bool) -> bool:
+        last, on = self.levels[-1], len(self.levels) - 1
         first = last.select("src", F.col("dst").alias("_mid"))
         second = last.select(F.col("src").alias("_mid"), "dst")
         pairs = salted_join(first, second, ["_mid"], left_heavy=_renamed(self.crowded(on, "dst"), "dst"), right_heavy=_renamed(self.crowded(on, "src"), "src"))
-        table, rows = materialize(pairs.select("src", "dst").distinct(), "jumps")
+        pairs = pairs.select("src", "dst")
+        table, rows = materialize(pairs if unique else pairs.distinct(), "jumps")
+        self.ended = rows == 0
+        if self.ended:
+            return False
         self.levels.append(table)
         self.rows.append(rows)
         return True
@@ -119,15 +148,23 @@ def strong_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFra
     settles those; edges that join differently coloured nodes lie on no cycle and go, as do
     edges that no long walk leads to or leads on from. Null ends are no nodes.
     """
+    return _components(edges, heavy_rows)[0]
+
+
+def _components(edges: DataFrame, heavy_rows: int) -> tuple[DataFrame, Jumps | None]:
+    """The components, and the jumps over all edges between different nodes where no walk over them comes back."""
     whole, _ = materialize(edges.select("src", "dst").dropna().distinct(), "edges")
     ids = whole.select(F.col("src").alias("id")).unionByName(whole.select(F.col("dst").alias("id"))).distinct()
     work, n = materialize(whole.where("src <> dst"), "edges")
     settled: list[DataFrame] = []
+    straight = None if n else Jumps(work, n, heavy_rows)
     while n:
         jumps = Jumps(work, n, heavy_rows)
-        labels = _labels(jumps, len(settled))
-        if jumps.ended:
-            break  # all walks end: there is no cycle
+        if not jumps.acyclic():  # without a look at any label, if so
+            labels = _labels(jumps, len(settled))
+        if jumps.ended:  # all walks end: there is no cycle
+            straight = None if settled else jumps
+            break
         settled.append(labels.where("up = down").select("id", F.col("up.centre").alias("_centre"), F.lit(len(settled)).alias("_round")))
         last = jumps.levels[-1]
         left = labels.where("up <> down").select("id", F.struct("up", "down").alias("_colour"))
@@ -140,13 +177,13 @@ def strong_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFra
         )
         work, n = materialize(work.select("src", "dst"), "edges")
     if not settled:
-        return ids.select("id", F.col("id").alias("component"))
+        return ids.select("id", F.col("id").alias("component")), straight
     found = settled[0]
     for more in settled[1:]:
         found = found.unionByName(more)
     least = found.groupBy("_round", "_centre").agg(F.min("id").alias("component"))
     found = found.join(least, ["_round", "_centre"]).select("id", "component")
-    return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), None
 
 
 def reach(edges: DataFrame, roots: DataFrame | None = None, reflexive: bool = True, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -159,29 +196,21 @@ def reach(edges: DataFrame, roots: DataFrame | None = None, reflexive: bool = Tr
     starts = edges.select(F.col("src").alias("root")) if roots is None else roots.toDF("root")
     starts = starts.dropna().distinct()
     starts = starts.select(F.col("root").cast(edges.schema["src"].dataType).alias("root"))
-    member, _ = materialize(strong_components(edges, heavy_rows), "component")
+    member, straight = _components(edges, heavy_rows)
+    if straight is not None:  # every node is its own component
+        pairs, _ = _walk(starts.select("root", F.col("root").alias("node")), straight)
+        if reflexive:
+            return pairs.select("root", "node")
+        loops = edges.where("src = dst").select(F.col("src").alias("root"))
+        itself = starts.join(loops, "root", "left_semi").select("root", F.col("root").alias("node"))
+        return pairs.where("root <> node").select("root", "node").unionByName(itself)
+    member, _ = materialize(member, "component")
     ends = edges
     for end in ("src", "dst"):
         ends = ends.join(member.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")), end)
     between, n = materialize(ends.where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct(), "between")
     placed = starts.join(member.withColumnRenamed("id", "root"), "root", "left").select("root", F.coalesce("component", "root").alias("_from"))
-    jumps = Jumps(between, n, heavy_rows)
-    first, rows = materialize(placed.select(F.col("_from").alias("root"), F.col("_from").alias("node")).distinct(), "reach")
-    state = [first, rows]
-
-    def apply(level: int) -> int:
-        found, before = state
-        step = jumps.levels[level].select(F.col("src").alias("node"), F.col("dst").alias("_next"))
-        crowded = heavy_keys(found, ["node"], before, heavy_rows)
-        hubs = jumps.crowded(level, "src")
-        hubs = None if hubs is None else hubs.withColumnRenamed("src", "node")
-        further = salted_join(found, step, ["node"], left_heavy=crowded, right_heavy=hubs)
-        state[:] = materialize(found.unionByName(further.select("root", F.col("_next").alias("node"))).distinct(), "reach")
-        return state[1] - before
-
-    if n:
-        _until_quiet(jumps, apply)
-    pairs, rows = state
+    pairs, rows = _walk(placed.select(F.col("_from").alias("root"), F.col("_from").alias("node")).distinct(), Jumps(between, n, heavy_rows))
     # Back from components to nodes, on either side.
     inside = member.select(F.col("component").alias("node"), F.col("id").alias("_to"))
     alone = placed.join(member.select(F.col("id").alias("root")), "root", "left_anti")
@@ -195,3 +224,22 @@ def reach(edges: DataFrame, roots: DataFrame | None = None, reflexive: bool = Tr
     cyclic = member.join(larger, "component").select(F.col("id").alias("root")).unionByName(loops).distinct()
     itself = starts.join(cyclic, "root", "left_semi").select("root", F.col("root").alias("node"))
     return whole.where("root <> node").unionByName(itself)
+
+
+def _walk(starts: DataFrame, jumps: Jumps) -> tuple[DataFrame, int]:
+    """All pairs (root, node) that the jumps lead to from the pairs given, and how many."""
+    state = list(materialize(starts, "reach"))
+
+    def apply(level: int) -> int:
+        found, before = state
+        step = jumps.levels[level].select(F.col("src").alias("node"), F.col("dst").alias("_next"))
+        crowded = heavy_keys(found, ["node"], before, jumps.heavy_rows)
+        hubs = jumps.crowded(level, "src")
+        hubs = None if hubs is None else hubs.withColumnRenamed("src", "node")
+        further = salted_join(found, step, ["node"], left_heavy=crowded, right_heavy=hubs)
+        state[:] = materialize(found.unionByName(further.select("root", F.col("_next").alias("node"))).distinct(), "reach")
+        return state[1] - before
+
+    if jumps.rows[0]:
+        _until_quiet(jumps, apply)
+    return state[0], state[1]

@@ -80,3 +80,16 @@ def test_heavy_nodes_and_empty_graphs(spark):
     none = df.limit(0)
     assert r.strong_components(none).collect() == [] and r.reach(none).collect() == []
     assert [tuple(x) for x in r.reach(none, spark.createDataFrame([(4,)], "id long")).collect()] == [(4, 4)]
+
+
+def test_chains_need_no_labels_and_rings_are_told_at_once(spark, monkeypatch):
+    chains = [(10 * c + i, 10 * c + i + 1) for c in range(6) for i in range(7)]
+    monkeypatch.setattr(r, "_labels", lambda *_: pytest.fail("labels of a graph without cycles"))
+    df = spark.createDataFrame(chains, EDGES)
+    assert sorted(map(tuple, r.strong_components(df).collect())) == plain_components(chains)
+    some = spark.createDataFrame([(0,), (13,), (99,)], "id long")
+    assert sorted(map(tuple, r.reach(df, some).collect())) == plain(chains, [0, 13, 99])
+    looped = spark.createDataFrame([*chains, (13, 13)], EDGES)
+    assert sorted(map(tuple, r.reach(looped, some, reflexive=False).collect())) == plain([*chains, (13, 13)], [0, 13, 99], reflexive=False)
+    rings = r.Jumps(spark.createDataFrame([(8 * c + i, 8 * c + (i + 1) % 8) for c in range(3) for i in range(8)], EDGES), 24)
+    assert not rings.acyclic() and len(rings.levels) == 2
