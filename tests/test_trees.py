@@ -206,3 +206,17 @@ def test_html_links_against_brute_force(spark, rows):
         (f"{k}/{n[1]}", "children", n[2], f"{k}/{n[0]}", n[5]) for k, t in pages for n in markup.html_tree(t) if n[1] is not None
     )
     assert sorted(rows(markup.tree_links(trees, "k"))) == want
+
+
+def test_documents_are_dealt_out_by_size(spark, tmp_path):
+    """The number of tasks follows the bytes read, not the number of cores."""
+    from canopy.session import spread_by_size
+
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 256) AS text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    scan = spark.read.parquet(str(tmp_path / "documents"))
+    cores = spark.sparkContext.defaultParallelism
+    bytes_read = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    made = spread_by_size(scan, bytes_read // (3 * cores))
+    assert made.rdd.getNumPartitions() >= 3 * cores and made.count() == 20_000
+    assert spread_by_size(scan).rdd.getNumPartitions() <= cores
