@@ -4,7 +4,8 @@ A tour enters a node, goes through its children in order and leaves it again. Ea
 points to the step before it, and pointers are replaced by the pointers of what they point to
 until all end at the root, adding up on the way how many nodes were entered and left: rounds grow
 with the logarithm of the tree's size, not with its depth, and a node with any number of children
-is no more work than the same nodes elsewhere. With the numbers kept beside the nodes, everything
+is no more work than the same nodes elsewhere. Trees of few levels are numbered level by level
+instead, which looks at every node once. With the numbers kept beside the nodes, everything
 below a node is a range, a report in visit order is a sort, and neither needs a walk.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.operators.numbering import number_rows
@@ -21,6 +22,8 @@ from canopy.session import materialize
 
 #: Numbers per block of a range lookup.
 BLOCK = 1_024
+#: Trees with up to so many levels below their roots are numbered level by level.
+LEVELS = 12
 
 
 def tour(nodes: DataFrame, links: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -36,6 +39,9 @@ def tour(nodes: DataFrame, links: DataFrame, heavy_rows: int = HEAVY_ROWS) -> Da
     kids, n_kids = materialize(kids.select(F.col("id").alias("parent"), F.col("link_id").alias("id"), "_n"), "children")
     if kids.select("id").distinct().count() < n_kids:
         raise ValueError("a node has more than one parent: the links are no forest")
+    numbered = _by_levels(nodes, kids, n_kids, heavy_rows)
+    if numbered is not None:
+        return materialize(numbered, "visit")[0]
     inner, _ = materialize(kids.groupBy(F.col("parent").alias("id")).agg(F.max_by("id", "_n").alias("_last")), "inner")
     is_inner = inner.select("id", F.lit(True).alias("_inner"))
 
@@ -90,6 +96,48 @@ def tour(nodes: DataFrame, links: DataFrame, heavy_rows: int = HEAVY_ROWS) -> Da
     return materialize(numbered, "visit")[0]
 
 
+def _by_levels(nodes: DataFrame, kids: DataFrame, n_kids: int, heavy_rows: int) -> DataFrame | None:
+    """The numbers of a forest of few levels, or None where the tour has to be followed.
+
+    Sizes are summed from the lowest level up, numbers are told from the roots down, and each node is
+    looked at once on either way. Deeper trees, crowded parents, roots given twice and links that hang
+    on no root are left to the tour.
+    """
+    if heavy_keys(kids, ["parent"], n_kids, heavy_rows) is not None:
+        return None
+    top = nodes.select("id").join(kids.select("id"), "id", "left_anti")
+    none = F.lit(None).cast("long")
+    top = top.select(F.col("id").alias("root"), F.col("id").alias("parent"), "id", none.alias("_n"))
+    top, n_top = materialize(top, "level")
+    if top.select("id").distinct().count() < n_top:
+        return None
+    levels, placed = [top], 0
+    while placed < n_kids:
+        if len(levels) > LEVELS:
+            return None
+        above = levels[-1].select("root", F.col("id").alias("parent"))
+        level, found = materialize(kids.join(above, "parent").select("root", "parent", "id", "_n"), "level")
+        if not found:
+            return None
+        levels.append(level)
+        placed += found
+    sized = [levels[-1].withColumn("size", F.lit(1).cast("long"))]
+    for level in reversed(levels[:-1]):
+        inside = sized[0].groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("_inside"))
+        size = (1 + F.coalesce("_inside", F.lit(0))).cast("long").alias("size")
+        sized.insert(0, materialize(level.join(inside, "id", "left").select(*level.columns, size), "sizes")[0])
+    out = [sized[0].select("root", "id", F.lit(1).cast("long").alias("pre"), "size")]
+    earlier = Window.partitionBy("parent").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    for level in sized[1:]:
+        rows = level.withColumn("_before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+        above = out[-1].select(F.col("id").alias("parent"), F.col("pre").alias("_pre"))
+        pre = (F.col("_pre") + 1 + F.col("_before")).alias("pre")
+        out.append(materialize(rows.join(above, "parent").select("root", "id", pre, "size"), "numbers")[0])
+    whole = reduce(DataFrame.unionByName, [rows.withColumn("depth", F.lit(d).cast("long")) for d, rows in enumerate(out)])
+    post = (F.col("pre") + F.col("size") - 1 - F.col("depth")).alias("post")
+    return whole.select("root", "id", "pre", post, "depth", "size")
+
+
 def below(numbers: DataFrame, tops: DataFrame, block: int = BLOCK) -> DataFrame:
     """(top, root, id, pre, depth): every top with itself and all nodes below it, by range.
 

@@ -80,3 +80,13 @@ def test_lone_nodes_and_what_is_no_forest(make):
         t.tour(*make(["a", "b", "c"], [("a", "x", 1, "c"), ("b", "x", 1, "c")]))
     with pytest.raises(RuntimeError, match="cycle"):
         t.tour(*make(["r", "a", "b", "c"], [("r", "x", 1, "c"), ("a", "x", 1, "b"), ("b", "x", 1, "a")]))
+
+
+def test_trees_of_few_levels_are_numbered_without_following_the_tour(make, rows, monkeypatch):
+    written = []
+    monkeypatch.setattr(t, "materialize", lambda df, name="table", keep=t.materialize: written.append(name) or keep(df, name))
+    names = [f"n{i}" for i in range(41)]
+    links = [(f"n{i // 3}", "kids", i, f"n{i}") for i in range(3, 40)] + [("n2", "only", None, "n40")]
+    want = plain(names, links)
+    assert rows(t.tour(*make(names, links))) == sorted(want, key=lambda x: tuple((True, str(v)) for v in x))
+    assert "tour" not in written
