@@ -220,3 +220,39 @@ def test_documents_are_dealt_out_by_size(spark, tmp_path):
     made = spread_by_size(scan, bytes_read // (3 * cores))
     assert made.rdd.getNumPartitions() >= 3 * cores and made.count() == 20_000
     assert spread_by_size(scan).rdd.getNumPartitions() <= cores
+
+
+def test_nodes_and_links_meet_where_the_documents_are_shredded(spark, rows, tmp_path):
+    """Ids are made once, and the result comes from what was joined then."""
+    from canopy.plans.trees import hashed_ids
+
+    texts = [(1, "a b\n\nc", "en", "s"), (2, None, "en", ""), (3, "", None, None), (None, "x y", "en", "s"), (5, "d  e d", "de", "t")]
+    documents = spark.createDataFrame([(*t, 0) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    got = hashed_ids(spark, str(tmp_path))
+    assert got.columns == ["doc", "kind", "n", "children", "different_children"]
+    want = []
+    for i, text, *_ in texts:
+        if i is None:
+            continue
+        lines = [] if text is None else [[w for w in line.split(" ") if w] for line in text.split("\n")]
+        kinds = {"Document": [1 + len(lines)], "Origin": [0], "Line": [len(ws) for ws in lines], "Word": [0 for ws in lines for _ in ws]}
+        want += [(f"D{i}", k, sum(max(1, c) for c in cs), sum(cs), sum(cs)) for k, cs in kinds.items() if cs]
+    assert rows(got) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    documents.unionByName(documents.where("doc_id = 5")).write.parquet(str(tmp_path / "twice" / "documents.parquet"))
+    with pytest.raises(ValueError):
+        hashed_ids(spark, str(tmp_path / "twice"))
+
+
+def test_joined_nodes_keep_links_that_lead_nowhere(spark, rows, shredded):
+    joined = shred.joined(shredded.withColumn("root", F.substring_index(F.coalesce("path", "parent"), "/", 1)), ["root"])
+    nodes, links = shred.nodes(shredded, ids=True).select("id", "kind"), shred.links(shredded, ids=True).select("id", "link_id")
+    want = nodes.join(links.withColumn("_l", F.lit(1)), "id", "left").groupBy("id", "kind").agg(
+        F.lit(1).alias("n_nodes"), F.count("_l").alias("n_links"), F.count("link_id").alias("children"), F.count_distinct("link_id").alias("different")
+    )
+    assert rows(joined.drop("root")) == rows(want)
+    shred.check_ids(joined, joined.count())
+    with pytest.raises(ValueError):
+        shred.check_ids(joined.unionByName(joined.limit(1)), 99)
