@@ -8,7 +8,8 @@ is made, and levels that are too large are left out: the work then goes over the
 are again and again until nothing changes. The result is the same either way.
 
 Cycles are taken out first: nodes that reach each other become one component, found by
-colouring forward and backward from random centres, and the graph of components is walked.
+colouring forward from random centres and walking back from each centre inside its colour, and
+the graph of components is walked.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.operators.numbering import number_rows
 from canopy.operators.skew import HEAVY_ROWS, heavy_keys, salted_join
 from canopy.session import materialize, scratch_path, write_observed
 
@@ -109,44 +111,39 @@ def _until_quiet(jumps: Jumps, apply: Callable[[int], int]) -> None:
             level, rising = 0, False
 
 
-def _labels(jumps: Jumps, salt: int) -> DataFrame:
-    """(id, up, down): the least centre that reaches each node, and the least that it reaches.
-
-    Centres are all nodes, in a random order that differs by ``salt``.
-    """
-    edges = jumps.levels[0]
-    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    own = F.struct(F.xxhash64("id", F.lit(salt)).alias("order"), F.col("id").alias("centre"))
-    state = [materialize(ids.select("id", own.alias("up"), own.alias("down")), "labels")[0]]
+def _labels(jumps: Jumps, numbers: DataFrame) -> DataFrame:
+    """(id, n, up): the least number of a node that reaches each node, its own ``n`` among them."""
+    labels = _ids(jumps.levels[0]).join(numbers.select("id", "n"), "id").select("id", "n", F.col("n").alias("up"))
+    state = [materialize(labels, "labels")[0]]
+    none = F.lit(None).cast("long")
 
     def apply(level: int) -> int:
         labels, step = state[0], jumps.levels[level]
         ups = salted_join(step, labels.select(F.col("id").alias("src"), "up"), ["src"], left_heavy=jumps.crowded(level, "src"))
-        downs = salted_join(step, labels.select(F.col("id").alias("dst"), "down"), ["dst"], left_heavy=jumps.crowded(level, "dst"))
-        none = F.lit(None).cast(labels.schema["up"].dataType)
-        told = (
-            labels.withColumn("_old", F.lit(True))
-            .unionByName(ups.select(F.col("dst").alias("id"), "up", none.alias("down"), F.lit(False).alias("_old")))
-            .unionByName(downs.select(F.col("src").alias("id"), none.alias("up"), "down", F.lit(False).alias("_old")))
+        told = labels.select("id", "n", "up", F.col("up").alias("_before")).unionByName(
+            ups.select(F.col("dst").alias("id"), none.alias("n"), "up", none.alias("_before"))
         )
-        before = F.max(F.when(F.col("_old"), F.struct("up", "down"))).alias("_before")
-        new = told.groupBy("id").agg(F.min("up").alias("up"), F.min("down").alias("down"), before)
+        new = told.groupBy("id").agg(F.max("n").alias("n"), F.min("up").alias("up"), F.max("_before").alias("_before"))
         path = scratch_path(step.sparkSession, "labels")
-        moved = F.sum((F.struct("up", "down") != F.col("_before")).cast("long"))
-        seen = write_observed(new, path, moved=moved)
-        state[0] = step.sparkSession.read.schema(new.schema).parquet(path).select("id", "up", "down")
+        seen = write_observed(new, path, moved=F.sum((F.col("up") != F.col("_before")).cast("long")))
+        state[0] = step.sparkSession.read.schema(new.schema).parquet(path).select("id", "n", "up")
         return seen["moved"] or 0
 
     _until_quiet(jumps, apply)
     return state[0]
 
 
+def _ids(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+
+
 def strong_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(id, component) for every node of edges (src, dst); component is the least node that reaches it and is reached.
 
-    A node whose least centre in either direction is the same one lies on a cycle with it. Each round
+    Nodes are numbered at random, and the least number that reaches a node is its colour. A node with
+    its own number for a colour is a centre; the nodes of its colour from which it is reached lie on a cycle with it. Each round
     settles those; edges that join differently coloured nodes lie on no cycle and go, as do
-    edges that no long walk leads to or leads on from. Null ends are no nodes.
+    edges that no long walk leads to or leads on from. The next round colours the other way. Null ends are no nodes.
     """
     return _components(edges, heavy_rows)[0]
 
@@ -154,35 +151,42 @@ def strong_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFra
 def _components(edges: DataFrame, heavy_rows: int) -> tuple[DataFrame, Jumps | None]:
     """The components, and the jumps over all edges between different nodes where no walk over them comes back."""
     whole, _ = materialize(edges.select("src", "dst").dropna().distinct(), "edges")
-    ids = whole.select(F.col("src").alias("id")).unionByName(whole.select(F.col("dst").alias("id"))).distinct()
+    ids = _ids(whole)
     work, n = materialize(whole.where("src <> dst"), "edges")
     settled: list[DataFrame] = []
+    labels: DataFrame | None = None
     straight = None if n else Jumps(work, n, heavy_rows)
     while n:
         jumps = Jumps(work, n, heavy_rows)
         if not jumps.acyclic():  # without a look at any label, if so
-            labels = _labels(jumps, len(settled))
+            # Any order of the nodes left will do again: which of them come first has not been used.
+            numbers = number_rows(_ids(work), [F.xxhash64("id")], name="n") if labels is None else labels
+            labels = _labels(jumps, numbers)
         if jumps.ended:  # all walks end: there is no cycle
             straight = None if settled else jumps
             break
-        settled.append(labels.where("up = down").select("id", F.col("up.centre").alias("_centre"), F.lit(len(settled)).alias("_round")))
-        last = jumps.levels[-1]
-        left = labels.where("up <> down").select("id", F.struct("up", "down").alias("_colour"))
-        work = (
-            work.join(left.select(F.col("id").alias("src"), "_colour"), "src")
-            .join(left.select(F.col("id").alias("dst"), F.col("_colour").alias("_other")), "dst")
+        last, colours = jumps.levels[-1], labels.select("id", "up")
+        inside = (
+            work.join(colours.toDF("src", "_colour"), "src")
+            .join(colours.toDF("dst", "_other"), "dst")
             .where("_colour = _other")
             .join(last.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             .join(last.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         )
-        work, n = materialize(work.select("src", "dst"), "edges")
+        back, n = materialize(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "edges")
+        centres = labels.where("up = n").select(F.col("id").alias("root"), F.col("id").alias("node"))
+        found, _ = _walk(centres, Jumps(back, n, heavy_rows))
+        settled.append(found)
+        done = found.select("node")
+        left = back.join(done.toDF("src"), "src", "left_anti").join(done.toDF("dst"), "dst", "left_anti")
+        work, n = materialize(left.select("src", "dst"), "edges")
     if not settled:
         return ids.select("id", F.col("id").alias("component")), straight
     found = settled[0]
     for more in settled[1:]:
         found = found.unionByName(more)
-    least = found.groupBy("_round", "_centre").agg(F.min("id").alias("component"))
-    found = found.join(least, ["_round", "_centre"]).select("id", "component")
+    least = found.groupBy("root").agg(F.min("node").alias("component"))
+    found = found.join(least, "root").select(F.col("node").alias("id"), "component")
     return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), None
 
 

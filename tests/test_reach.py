@@ -93,3 +93,29 @@ def test_chains_need_no_labels_and_rings_are_told_at_once(spark, monkeypatch):
     assert sorted(map(tuple, r.reach(looped, some, reflexive=False).collect())) == plain([*chains, (13, 13)], [0, 13, 99], reflexive=False)
     rings = r.Jumps(spark.createDataFrame([(8 * c + i, 8 * c + (i + 1) % 8) for c in range(3) for i in range(8)], EDGES), 24)
     assert not rings.acyclic() and len(rings.levels) == 2
+
+
+def test_labels_are_plain_numbers_and_rings_below_others_settle_at_once(spark, monkeypatch):
+    """A tree of 63 rings, each leading to the one above it."""
+    edges = [(4 * b + i, 4 * b + (i + 1) % 4) for b in range(1, 64) for i in range(4)] + [(4 * b + 1, b // 2 * 4 + 2) for b in range(2, 64)]
+    written, labels = [], []
+    keep, keep_rows = r.write_observed, r.materialize
+    monkeypatch.setattr(r, "write_observed", lambda df, path, **m: written.append(df.schema) or keep(df, path, **m))
+
+    def counted(df, name="table"):
+        table, rows = keep_rows(df, name)
+        if name == "labels":
+            labels.append(rows)
+        return table, rows
+
+    monkeypatch.setattr(r, "materialize", counted)
+    got = dict(map(tuple, r.strong_components(spark.createDataFrame(edges, EDGES)).collect()))
+    assert got == {4 * b + i: 4 * b for b in range(1, 64) for i in range(4)}
+    assert written and all(f.dataType.typeName() == "long" for schema in written for f in schema)
+    assert labels[0] == 252 and sum(labels[1:]) < 252
+
+
+def test_text_ids_have_components_too(spark):
+    some = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "x"), ("y", None)]
+    got = r.strong_components(spark.createDataFrame(some, "src string, dst string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("x", "x")]
