@@ -9,7 +9,7 @@ before.
 
 Scale. The floor is a number of occurrences, whatever the size of the corpus, so the tree grows with
 it: grams (runs of words), their counts and the states are Spark tables, made length by length, and
-nothing of them crosses the driver. Texts are packed into chunks, and a chunk asks by a join once for
+nothing of them crosses the driver. Texts are packed into chunks, and a chunk asks once for
 each of its distinct grams. A gram can be frequent only if the grams without its first and without
 its last word are; a chunk keeps for each length which of its grams are, one byte each, and
 counts and asks for the next length only where both parts are.
@@ -40,6 +40,8 @@ LEAST_GAIN = 12.0
 DISCOUNT = 0.5
 #: Tokens from which a chunk of texts is full.
 CHUNK_TOKENS = 400_000
+#: Training tokens from which the slices, in which chunks learn which of their grams are frequent, are halved.
+SLICE_TOKENS = 8_000_000
 
 #: Stands for the end of a text; no word hashes to it since words go through ``_word_hash``.
 END = 1
@@ -317,18 +319,44 @@ def _asked(chunks: DataFrame, lengths: int, first: int) -> DataFrame:
     return _per_chunk(chunks, "gram long, chunk long, place int", of, lengths)
 
 
-def _marked(chunks: DataFrame, k: int, level: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The chunks with the marks of their grams of ``k`` words."""
+def _marked(chunks: DataFrame, k: int, level: DataFrame, least: tuple[int, int], total: int) -> DataFrame:
+    """The chunks with the marks of their grams of ``k`` words.
+
+    Grams are dealt out by the first bits of their hash. A chunk sends those of a slice as one sorted
+    array and gets their marks back in the same order, so that its marks are those of the slices one after the other.
+    """
     least_context, least_pair = least
-    answers = _asked(chunks, k - 1, k).join(level.where(F.col("n") >= least_pair).select("gram", "n"), "gram")
+    bits = min(32, (total // SLICE_TOKENS).bit_length() + 3)
+
+    def of(chunk: Chunk, number: int, marks: list) -> dict:
+        *_, (_, _, distinct, _) = chunk.grams(marks)
+        of_gram = (distinct >> np.uint64(64 - bits)).astype(np.int64)
+        slices, starts = np.unique(of_gram, return_index=True)
+        ends = np.append(starts[1:], len(distinct))
+        return {"slice": slices, "chunk": np.full(len(slices), number), "grams": [distinct[i:j].tobytes() for i, j in zip(starts, ends)]}
+
+    asked = _per_chunk(chunks, "slice long, chunk long, grams binary", of, k - 1)
+    mark = F.when(F.col("n") >= least_context, CANDIDATE).otherwise(FREQUENT).cast("byte").alias("mark")
+    known = level.where(F.col("n") >= least_pair).select(F.shiftrightunsigned("gram", 64 - bits).alias("_slice"), "gram", mark)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams, values = right["gram"].to_numpy().view(np.uint64), right["mark"].to_numpy().astype(np.uint8)
+        order = np.argsort(grams)
+        grams, values = grams[order], values[order]
+        found = []
+        for own in left["grams"]:
+            at, there = _find(grams, np.frombuffer(own.as_buffer(), np.uint64))
+            marks = np.zeros(len(at), np.uint8)
+            marks[there] = values[at[there]]
+            found.append(marks.tobytes())
+        return pa.table({"chunk": left["chunk"], "slice": left["slice"], "marks": pa.array(found, pa.binary())})
 
     def pack(table: pa.Table) -> pa.Table:
-        place, n = table["place"].to_numpy(), table["n"].to_numpy()
-        marks = np.zeros(place.max() + 1, np.uint8)
-        marks[place] = np.where(n >= least_context, CANDIDATE, FREQUENT)
-        return pa.table({"chunk": table["chunk"][:1], "marks": pa.array([marks.tobytes()], pa.binary())})
+        marks = b"".join(table.sort_by("slice")["marks"].to_pylist())
+        return pa.table({"chunk": table["chunk"][:1], "marks": pa.array([marks], pa.binary())})
 
-    packed = answers.select("chunk", "place", "n").groupBy("chunk").applyInArrow(pack, "chunk long, marks binary")
+    answers = asked.groupBy("slice").cogroup(known.groupBy("_slice")).applyInArrow(answer, "chunk long, slice long, marks binary")
+    packed = answers.groupBy("chunk").applyInArrow(pack, "chunk long, marks binary")
     marks, _ = materialize(packed.withColumnRenamed("marks", f"marks_{k}"), "marks")
     release(chunks.sparkSession)
     return chunks.join(marks, "chunk", "left")
@@ -381,7 +409,7 @@ def fitted(
     spark, levels = chunks.sparkSession, []
     below, old = _written(_words(counted, total, types), "level")
     for k in range(2, depth + 2):
-        chunks = _marked(chunks, k - 1, below, least)
+        chunks = _marked(chunks, k - 1, below, least, total)
         pairs, of_pairs = _written(_counts(chunks, k, least[1]), "pairs")
         release(spark)
         found, contexts = _states(pairs, below, divergence, least_gain)

@@ -152,3 +152,11 @@ def test_rare_contexts_count_however_large_the_corpus_is(spark, documents):
     assert got[out[0]].train_tokens > 100_000
     # All but the first word follow from the word before, and so does the end.
     assert all(got[i].score > 0.4 * got[i].base_score for i in out)
+
+
+def test_slices_do_not_change_scores(spark, documents, monkeypatch):
+    docs = documents(patterned(80))
+    whole = sorted((r.doc_id, round(r.score, 6)) for r in scored(docs).collect())
+    monkeypatch.setattr(suffixtree, "CHUNK_TOKENS", 700)
+    monkeypatch.setattr(suffixtree, "SLICE_TOKENS", 500)
+    assert sorted((r.doc_id, round(r.score, 6)) for r in scored(docs.repartition(5)).collect()) == whole
