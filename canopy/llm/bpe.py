@@ -34,8 +34,8 @@ from canopy.llm.common import map_rows
 WINDOW = 1 << 16
 #: Words of up to this many symbols are encoded at once and remembered; longer ones are streamed.
 SHORT = 256
-#: Remembered words per task.
-REMEMBERED = 300_000
+#: Words that a task remembers before those not met since the last time there were as many are forgotten.
+REMEMBERED = 60_000
 
 
 def byte_alphabet() -> list[str]:
@@ -57,14 +57,12 @@ class Merges:
         alphabet = byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
         self.final = [vocab[c + self.end] for c in alphabet]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.order: dict[tuple[int, int], int] = {}
+        self.out_of = [0] * len(model["merges"])
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
-        self.order = {pair: rank for pair, (rank, _) in self.rank.items()}
-        self.out_of = [0] * len(model["merges"])
-        for rank, out in self.rank.values():
-            self.out_of[rank] = out
+            if self.order.setdefault((vocab[left], vocab[right]), rank) == rank:
+                self.out_of[rank] = vocab[left + right]
         self.length = {i: 1 for i in (*self.inner, *self.final)}
         self.lookahead = self._sufficient_lookahead()
 
@@ -74,9 +72,11 @@ class Merges:
         moved: dict[int, int] = {}  # by the token a merge crossed with: the furthest move so far
         made: dict[int, int] = {}  # last rank at which a token can be made
         longest = 0
-        for (_, _), (rank, out) in self.rank.items():
+        for rank in self.order.values():
+            out = self.out_of[rank]
             made[out] = max(rank, made.get(out, -1))
-        for (a, b), (rank, out) in sorted(self.rank.items(), key=lambda x: x[1][0]):
+        for (a, b), rank in self.order.items():
+            out = self.out_of[rank]
             if max(made.get(a, -1), made.get(b, -1)) > rank or a not in spine or b not in spine:
                 return None
             reach = self.length[a] + max(moved.get(t, 0) for t in spine[b])
@@ -106,23 +106,23 @@ class Merges:
         return ids
 
     def _encode_heap(self, ids: list[int]) -> list[int]:
-        rank, n = self.rank, len(ids)
+        rank, out_of, n = self.order, self.out_of, len(ids)
         token: list[int | None] = list(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(f[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (f := rank.get((ids[i], ids[i + 1])))]
+        heap = [(f, i, ids[i], ids[i + 1]) for i in range(n - 1) if (f := rank.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if j >= n or token[i] != a or token[j] != b:
                 continue
-            token[i], token[j] = rank[a, b][1], None
+            token[i], token[j] = out_of[best], None
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (f := rank.get((token[k], token[after[k]]))):
-                    heapq.heappush(heap, (f[0], k, token[k], token[after[k]]))
+                if k >= 0 and after[k] < n and (f := rank.get((token[k], token[after[k]]))) is not None:
+                    heapq.heappush(heap, (f, k, token[k], token[after[k]]))
         return [t for t in token if t is not None]
 
 
@@ -205,14 +205,16 @@ def _pinned(pattern: str) -> regex.Pattern:
 class Encoder:
     """Text to packed ids (32-bit, little-endian), in pieces of bounded size."""
 
-    def __init__(self, spec: dict, window: int = WINDOW):
-        check_spec(spec)
-        self.merges, self.window = Merges(spec), window
+    def __init__(self, spec: dict | Merges, window: int = WINDOW):
+        if isinstance(spec, dict):
+            check_spec(spec)
+            spec = Merges(spec)
+        self.merges, self.window = spec, window
         self._scan = _pinned(SPLIT)
         self._find = self._scan.findall
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in self.merges.special) + ")")
         self._letter = _pinned(r"[\p{L}]")
-        self._words: dict[str, bytes] = {}
+        self._words = _Remember(self._word)
         self._parts = _Remember(self._split)
         self._bytes_of: np.ndarray | None = None
 
@@ -224,15 +226,10 @@ class Encoder:
             return _packed([t for part in (*parts, stream.finish()) for t in part])
         ids = [self.merges.inner[b] for b in data]
         ids[-1] = self.merges.final[data[-1]]
-        packed = _packed(self.merges.encode_symbols(ids))
-        if len(self._words) >= REMEMBERED:
-            self._words.clear()
-        self._words[word] = packed
-        return packed
+        return _packed(self.merges.encode_symbols(ids))
 
     def _split(self, text: str) -> bytes:
-        known, word = self._words, self._word
-        return b"".join([known.get(w) or word(w) for w in self._find(text)])
+        return b"".join(map(self._words.__getitem__, self._find(text)))
 
     def _plain(self, text: str) -> bytes:
         """A stretch of text that begins and ends at word bounds.
@@ -297,7 +294,7 @@ class Encoder:
             for m in self._scan.finditer(rest) if stream is None else ():
                 if m.end() + 2 > len(rest) and at < stop:
                     break  # it may go on, or turn out to begin a contraction
-                out += np.frombuffer(self._words.get(m[0]) or self._word(m[0]), "<u4").tolist()
+                out += np.frombuffer(self._words[m[0]], "<u4").tolist()
                 done = m.end()
             rest = rest[done:]
             if stream is None and len(rest) > 16 and at < stop:
@@ -321,15 +318,22 @@ class Encoder:
 
 
 class _Remember(dict):
-    """Results of a function, forgotten all at once when there are too many."""
+    """Results of a function for short keys, in two generations: when the younger is full, the older is
+    forgotten and the younger takes its place. What is asked for again is young again."""
 
     def __init__(self, of):
-        self.of = of
+        self.of, self.older = of, {}
 
     def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.of(key)
+        if len(key) > SHORT:
+            return found
         if len(self) >= REMEMBERED:
+            self.older = self.copy()
             self.clear()
-        self[key] = found = self.of(key)
+        self[key] = found
         return found
 
 
@@ -441,11 +445,11 @@ def digests(docs: DataFrame, spec: dict, keep: tuple[str, ...] = ("doc_id",), te
 
 def decode(tokens: DataFrame, spec: dict, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", spaced: bool = False) -> DataFrame:
     """Columns ``keep`` with ``text``, decoded from packed ids; null ids give an empty text."""
-    shipped = SparkSession.active().sparkContext.broadcast(spec)
+    shipped = SparkSession.active().sparkContext.broadcast(Merges(spec))
     schema = ", ".join(f"`{k}` {tokens.schema[k].dataType.simpleString()}" for k in keep)
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
-        merges = Merges(shipped.value)
+        merges = shipped.value
         step = 4 * WINDOW
         for batch in batches:
             texts = []
@@ -477,7 +481,7 @@ def _digests_of(encoder: Encoder, text: str | None) -> tuple:
 
 def _mapped(docs: DataFrame, spec: dict, keep: tuple[str, ...], text: str, result: str, of) -> DataFrame:
     check_spec(spec)
-    shipped = docs.sparkSession.sparkContext.broadcast(spec)
+    shipped = docs.sparkSession.sparkContext.broadcast(Merges(spec))  # made once; tasks hold no second copy of the file
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + ", " + result
     names = [part.split()[0] for part in result.split(", ")]
 

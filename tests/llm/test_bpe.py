@@ -134,6 +134,18 @@ def test_decoder_waits_for_whole_characters(spec):
     assert [p for p in pieces if p] == ["a", "é", "漢", "😀"] and machine.finish() == ""
 
 
+def test_remembered_words_are_few_and_short_and_forgetting_changes_nothing(spec, library, monkeypatch):
+    """In the pipeline, workers that remembered hundreds of thousands of words broke the limit of an executor's memory."""
+    assert bpe.REMEMBERED <= 100_000
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    encoder, rng = bpe.Encoder(bpe.Merges(spec)), random.Random(2)
+    for _ in range(300):
+        words = [rng.choice(("the", "of", f"w{rng.randrange(400)}", "!" * 300 + "x")) for _ in range(20)]
+        assert ids(encoder, " ".join(words)) == library.encode(" ".join(words), add_special_tokens=False).ids
+        for known in (encoder._words, encoder._parts):
+            assert len(known) <= 50 and len(known.older) <= 50 and all(len(w) <= bpe.SHORT for w in known)
+
+
 def test_other_tokenizers_are_refused(spec):
     with pytest.raises(ValueError):
         bpe.check_spec(spec | {"decoder": {"type": "ByteLevel"}})
