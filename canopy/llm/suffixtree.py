@@ -8,18 +8,18 @@ the next shorter state. A text is scored word by word in the longest retained su
 before.
 
 Scale. The floor is a number of occurrences, whatever the size of the corpus, so the tree grows with
-it: grams (runs of words), their counts and the states are Spark tables, made length by length, and
-nothing of them crosses the driver. Texts are packed into chunks, and a chunk asks once for
-each of its distinct grams. A gram can be frequent only if the grams without its first and without
-its last word are; a chunk keeps for each length which of its grams are, one byte each, and
-counts and asks for the next length only where both parts are.
+it, and nothing of it crosses the driver. Texts are packed into chunks. For each length a chunk sends
+its distinct grams (runs of words) with their counts to slices of all hashes, packed as sorted arrays,
+and gets the counts over all chunks back in the same order; then it sends what its occurrences
+contribute to the tests of their contexts, and gets back which contexts are retained and how they back off.
+With these answers it computes every probability itself, so that no gram ever is a row. A gram can be frequent
+only if the grams without its first and without its last word are; only those are sent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import lower_words, map_rows, release
-from canopy.session import delete_path, materialize, scratch_path, write_observed
+from canopy.session import materialize, scratch_path, write_observed
 
 DEPTH = 3
 #: Occurrences in the training text from which a context or a next symbol of a context counts.
@@ -39,7 +39,7 @@ LEAST_GAIN = 12.0
 #: Taken off each counted pair for the symbols not seen often enough.
 DISCOUNT = 0.5
 #: Tokens from which a chunk of texts is full.
-CHUNK_TOKENS = 400_000
+CHUNK_TOKENS = 800_000
 #: Training tokens from which the slices, in which chunks learn which of their grams are frequent, are halved.
 SLICE_TOKENS = 8_000_000
 
@@ -61,14 +61,26 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-#: Marks of a chunk's grams: often enough for a next symbol, and for a context too.
-FREQUENT, CANDIDATE = 1, 2
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: bytes of like size stand together and compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
-def _padded(marks: bytes | None, n: int) -> np.ndarray:
-    """The marks of ``n`` grams; those after the last one that was answered are 0."""
-    found = np.frombuffer(marks or b"", np.uint8)
-    return np.append(found, np.zeros(n - len(found), np.uint8))
+def _of_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
+
+
+def _squeezed(n: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as one byte each, and those that do not fit as eight."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.int64).tobytes()
+
+
+def _counts_of(small: bytes | None, large: bytes | None, n: int) -> np.ndarray:
+    """The counts of ``n`` grams from their squeezed form; none was answered where there was nothing to ask."""
+    found = np.frombuffer(small, np.uint8).astype(np.int64) if small else np.zeros(n, np.int64)
+    found[found == 255] = np.frombuffer(large or b"", np.int64)
+    return found
 
 
 CHUNKS = "chunk long, ids array<long>, held array<boolean>, lengths binary, tokens binary, vocabulary binary"
@@ -76,14 +88,14 @@ CHUNKS = "chunk long, ids array<long>, held array<boolean>, lengths binary, toke
 
 def chunked(docs: DataFrame, is_held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts packed into chunks: per text the id, its fold and its number of tokens; the tokens as
-    positions in the chunk's vocabulary; the vocabulary as word hashes. The last token of a text is
+    positions in the chunk's vocabulary, compressed; the vocabulary as word hashes. The last token of a text is
     its end. Written as a table, so that a chunk is the same in all later steps."""
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         def done() -> dict:
             return {
                 "chunk": [0], "ids": [ids], "held": [held], "lengths": [np.array(lengths, np.int32).tobytes()],
-                "tokens": [np.concatenate(tokens).tobytes()], "vocabulary": [np.array(hashes, np.uint64).tobytes()],
+                "tokens": [pa.compress(_planes(np.concatenate(tokens)), codec="zstd", asbytes=True)], "vocabulary": [np.array(hashes, np.uint64).tobytes()],
             }
 
         number: dict[bytes, int] = {}
@@ -127,43 +139,104 @@ class Chunk:
     def of(cls, held: list[bool], lengths: bytes, tokens: bytes, vocabulary: bytes) -> Chunk:
         n = np.frombuffer(lengths, np.int32).astype(np.int64)
         starts = np.cumsum(n) - n
+        tokens = pa.decompress(tokens, 4 * int(n.sum()), codec="zstd", asbytes=True)
         return cls(
-            np.frombuffer(vocabulary, np.uint64), np.frombuffer(tokens, np.int32), starts,
+            np.frombuffer(vocabulary, np.uint64), _of_planes(tokens, np.int32), starts,
             np.repeat(~np.array(held, bool), n), np.arange(n.sum()) - np.repeat(starts, n),
         )
 
-    def grams(self, marks: list[bytes | None]) -> Iterator[tuple[np.ndarray, ...]]:
-        """For lengths 1, 2, ...: positions at which a gram that may be frequent ends, the hash of the
-        gram at every position, the distinct ones of the open positions and which of them each has.
-
-        ``marks`` has for each length the marks of the distinct grams; one more length is given than it has.
-        """
+    def grams(self, known: Answers, last: int) -> Iterator[Grams]:
+        """The grams of lengths 1 to ``last`` that may be frequent, by the answers to those of shorter ones."""
         words = self.vocabulary[self.tokens]
-        where = np.arange(len(words))
-        for k in range(1, len(marks) + 2):
-            context, usable = self.contexts(k - 1)
-            if k > 1:
-                before = np.append(np.uint8(0), often[:-1])
-                where = np.flatnonzero(usable & (often >= FREQUENT) & (before == CANDIDATE))
-            gram = _mixed(context, words)
-            distinct, at = np.unique(gram[where], return_inverse=True)
-            yield where, gram, distinct, at
-            if k <= len(marks):
-                often = np.zeros(len(words), np.uint8)
-                often[where] = _padded(marks[k - 1], len(distinct))[at]
-
-    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the ``depth`` words before each position, and where there are that many.
-
-        A context extended by a word hashes to the context of the next depth.
-        """
-        words = self.vocabulary[self.tokens]
-        h = np.zeros(len(words), np.uint64)
-        for _ in range(depth):
-            longer = _mixed(h, words)
-            h = np.zeros_like(words)
-            h[1:] = longer[:-1]
-        return h, self.place >= depth
+        shorter = None
+        for k in range(1, last + 1):
+            if k == 1:
+                gram = _mixed(np.zeros(1, np.uint64), self.vocabulary)
+                order = np.argsort(gram)
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                found = Grams(np.arange(len(words)), gram[self.tokens], gram[order], rank[self.tokens], None)
+            else:
+                before = np.append(0, shorter.spread(shorter.n)[:-1])
+                in_context = (before >= known.least_context) & (self.place >= k - 1)
+                where = np.flatnonzero(in_context & (shorter.spread(shorter.n) >= known.least_pair))
+                gram = _mixed(np.append(np.uint64(0), shorter.gram[:-1]), words)
+                found = Grams(where, gram, *np.unique(gram[where], return_inverse=True), np.flatnonzero(in_context))
+            found.n = known.counts(k, len(found.distinct))
+            yield found
+            shorter = found
+
+
+@dataclass
+class Grams:
+    """Grams of one length in a chunk: positions at which one that may be frequent ends, the hash of the gram at
+    every position, the distinct ones of the open positions and which of them each has; the positions that stand
+    after a context one word shorter; how often each distinct one occurs in all training text."""
+
+    where: np.ndarray
+    gram: np.ndarray
+    distinct: np.ndarray
+    at: np.ndarray
+    in_context: np.ndarray | None
+    n: np.ndarray | None = None
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values of the distinct grams at every position, 0 where none is open."""
+        out = np.zeros(len(self.gram), values.dtype)
+        out[self.where] = values[self.at]
+        return out
+
+
+@dataclass
+class Answers:
+    """What a chunk has been told so far: by step, the small and the large part of an answer.
+
+    Step ``n_k`` has the counts of its grams of ``k`` words, ``b_k`` which of those are retained contexts, one byte
+    each, and the backoff of those that are. A context has to occur ``least_context`` times, a gram ``least_pair`` times.
+    """
+
+    told: dict[str, tuple[bytes | None, bytes | None]]
+    least_context: int
+    least_pair: int
+    total: int
+    types: int
+
+    def counts(self, k: int, n: int) -> np.ndarray | None:
+        return _counts_of(*self.told[f"n_{k}"], n) if f"n_{k}" in self.told else None
+
+    def backoff(self, k: int, n: np.ndarray) -> np.ndarray:
+        """The backoff of the grams of ``k`` words, which occur ``n`` times, as contexts; not a number where they are not retained."""
+        small, large = self.told[f"b_{k}"]
+        out = np.full(len(n), np.nan)
+        asked = np.flatnonzero(n >= self.least_context)
+        if small:
+            out[asked[np.frombuffer(small, np.uint8) > 0]] = np.frombuffer(large or b"", np.float64)
+        return out
+
+    def probabilities(self, chunk: Chunk, last: int) -> Iterator[tuple[Grams | None, Grams, np.ndarray]]:
+        """For lengths 1 to ``last``: the grams one word shorter, the grams, and P of every token in its longest
+        retained context of fewer words than the length. The last one needs no answer about contexts of its own."""
+        shorter = None
+        for k, found in enumerate(chunk.grams(self, last), 1):
+            if k == 1:
+                p = root(found.spread(found.n), self.total, self.types)
+            elif f"b_{k - 1}" in self.told:
+                p = self._longer(shorter, found, k, p)
+            yield shorter, found, p
+            shorter = found
+
+    def _longer(self, shorter: Grams, found: Grams, k: int, p: np.ndarray) -> np.ndarray:
+        """P in the contexts of ``k - 1`` words where they are retained."""
+        at = found.in_context
+        context = np.zeros(len(found.gram), np.int64)
+        context[shorter.where] = shorter.at
+        worth = self.backoff(k - 1, shorter.n)[context[at - 1]]
+        kept = ~np.isnan(worth)
+        at, of_context = at[kept], context[at[kept] - 1]
+        n = found.spread(found.n)[at]
+        out = p.copy()
+        out[at] = np.where(n >= self.least_pair, (n - DISCOUNT) / shorter.n[of_context], worth[kept] * p[at])
+        return out
 
 
 @dataclass
@@ -219,31 +292,24 @@ def in_state(level: dict[str, np.ndarray], context: np.ndarray, words: np.ndarra
     return out
 
 
-def _per_chunk(chunks: DataFrame, schema: str, of, lengths: int = 0) -> DataFrame:
-    """What ``of`` gives for each chunk, its number and its marks of the first ``lengths`` lengths."""
-    marks = [f"marks_{k}" for k in range(1, lengths + 1)]
+def _per_chunk(chunks: DataFrame, schema: str, of) -> DataFrame:
+    """What ``of`` gives for each chunk, its number and what it was told in the steps so far."""
+    steps = [c.removeprefix("small_") for c in chunks.columns if c.startswith("small_")]
+    of_steps = [f"{part}_{step}" for step in steps for part in ("small", "large")]
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            parts = zip(*(batch[c] for c in ("held", "lengths", "tokens", "vocabulary")))
-            known = zip(*(batch[c] for c in marks)) if marks else [()] * len(batch["chunk"])
-            for number, part, own in zip(batch["chunk"], parts, known):
-                yield of(Chunk.of(*part), number, list(own))
-
-    return map_rows(chunks.select("chunk", "held", "lengths", "tokens", "vocabulary", *marks), schema, task)
+            for i, number in enumerate(batch["chunk"]):
+                told = {step: (batch[f"small_{step}"][i], batch[f"large_{step}"][i]) for step in steps}
+                yield of(Chunk.of(*(batch[c][i] for c in ("held", "lengths", "tokens", "vocabulary"))), number, told, batch["ids"][i])
 
-
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The table as written, and where, so that it can be deleted as soon as nothing reads it any more."""
-    path = scratch_path(df.sparkSession, name)
-    write_observed(df, path, rows=F.count(F.lit(1)))
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    return map_rows(chunks.select("chunk", "ids", "held", "lengths", "tokens", "vocabulary", *of_steps), schema, task)
 
 
 def word_counts(chunks: DataFrame) -> tuple[DataFrame, int, int]:
     """(word, n) of the training tokens, with their number and the number of different ones."""
 
-    def of(chunk: Chunk, number: int, marks: list) -> dict:
+    def of(chunk: Chunk, number: int, told: dict, ids: list) -> dict:
         n = np.bincount(chunk.tokens[chunk.train], minlength=len(chunk.vocabulary))
         some = n > 0
         return {"word": chunk.vocabulary[some].view(np.int64), "n": n[some]}
@@ -264,164 +330,127 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64).view(np.uint64)
 
 
-def _counts(chunks: DataFrame, k: int, least: int) -> DataFrame:
-    """(gram, context, suffix, n) of the grams of ``k`` words that occur ``least`` times in training text.
+SENT = "slice long, chunk long, keys binary, small binary, large binary, tested binary, sums binary"
+ANSWERED = "chunk long, slice long, small binary, large binary, occurrences long, fresh long"
 
-    ``context`` is the gram without its last word, ``suffix`` that without its first.
-    """
 
-    def of(chunk: Chunk, number: int, marks: list) -> dict:
-        shorter = gram = None
-        for where, longer, distinct, at in chunk.grams(marks):
-            shorter, gram = gram, longer
-        n = np.bincount(at[chunk.train[where]], minlength=len(distinct))
-        some = np.flatnonzero(n)
-        one = np.zeros(len(distinct), np.int64)
-        one[at] = where
-        place = one[some]
-        return {
-            "gram": distinct[some].view(np.int64), "context": shorter[place - 1].view(np.int64),
-            "suffix": shorter[place].view(np.int64), "n": n[some],
-        }
-
-    found = _per_chunk(chunks, "gram long, context long, suffix long, n long", of, k - 1)
-    return found.groupBy("gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n")).where(F.col("n") >= least)
-
-
-def _asked(chunks: DataFrame, lengths: int, first: int) -> DataFrame:
-    """(gram, chunk, place): the grams of each chunk that may be frequent, from length ``first`` on to one
-    more than the marks have. Places are numbered through all lengths."""
-
-    def of(chunk: Chunk, number: int, marks: list) -> dict:
-        found = list(chunk.grams(marks))
-        places, start = [], 0
-        for k, (where, _, distinct, at) in enumerate(found, 1):
-            if k < first:
-                continue
-            needed = np.ones(len(distinct), bool)
-            # Of all words the count is needed. A longer gram has to be known to be frequent, and to be the
-            # longest at its last word, or a context in which the next word may not be counted.
-            if 1 < k <= lengths:
-                needed = _padded(marks[k - 1], len(distinct)) > 0
-            if 1 < k < lengths:
-                next_where, _, next_distinct, next_at = found[k]
-                longer = np.zeros(len(chunk.tokens) + 1, bool)
-                longer[next_where] = _padded(marks[k], len(next_distinct))[next_at] > 0
-                wanted = np.zeros(len(distinct), bool)
-                wanted[at[~longer[where] | ~longer[where + 1]]] = True
-                needed &= wanted
-            places.append(np.flatnonzero(needed) + start)
-            start += len(distinct)
-        every = np.concatenate([distinct for _, _, distinct, _ in found[first - 1 :]])
-        place = np.concatenate(places)
-        return {"gram": every[place].view(np.int64), "chunk": np.full(len(place), number), "place": place.astype(np.int32)}
-
-    return _per_chunk(chunks, "gram long, chunk long, place int", of, lengths)
-
-
-def _marked(chunks: DataFrame, k: int, level: DataFrame, least: tuple[int, int], total: int) -> DataFrame:
-    """The chunks with the marks of their grams of ``k`` words.
-
-    Grams are dealt out by the first bits of their hash. A chunk sends those of a slice as one sorted
-    array and gets their marks back in the same order, so that its marks are those of the slices one after the other.
-    """
-    least_context, least_pair = least
-    bits = min(32, (total // SLICE_TOKENS).bit_length() + 3)
-
-    def of(chunk: Chunk, number: int, marks: list) -> dict:
-        *_, (_, _, distinct, _) = chunk.grams(marks)
-        of_gram = (distinct >> np.uint64(64 - bits)).astype(np.int64)
-        slices, starts = np.unique(of_gram, return_index=True)
-        ends = np.append(starts[1:], len(distinct))
-        return {"slice": slices, "chunk": np.full(len(slices), number), "grams": [distinct[i:j].tobytes() for i, j in zip(starts, ends)]}
-
-    asked = _per_chunk(chunks, "slice long, chunk long, grams binary", of, k - 1)
-    mark = F.when(F.col("n") >= least_context, CANDIDATE).otherwise(FREQUENT).cast("byte").alias("mark")
-    known = level.where(F.col("n") >= least_pair).select(F.shiftrightunsigned("gram", 64 - bits).alias("_slice"), "gram", mark)
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams, values = right["gram"].to_numpy().view(np.uint64), right["mark"].to_numpy().astype(np.uint8)
-        order = np.argsort(grams)
-        grams, values = grams[order], values[order]
-        found = []
-        for own in left["grams"]:
-            at, there = _find(grams, np.frombuffer(own.as_buffer(), np.uint64))
-            marks = np.zeros(len(at), np.uint8)
-            marks[there] = values[at[there]]
-            found.append(marks.tobytes())
-        return pa.table({"chunk": left["chunk"], "slice": left["slice"], "marks": pa.array(found, pa.binary())})
+def _sent(number: int, bits: int, keys: np.ndarray, n: np.ndarray, sums: np.ndarray | None = None) -> dict:
+    """Sorted hashes, as what each is more than the one before, with their counts, and the sums of those that have
+    some, cut into slices of all hashes."""
+    slices, starts = np.unique((keys >> np.uint64(64 - bits)).astype(np.int64), return_index=True)
+    parts = [slice(i, j) for i, j in zip(starts, np.append(starts[1:], len(keys)))]
+    squeezed = [_squeezed(n[part]) for part in parts]
+    tested = np.zeros(0, bool) if sums is None else sums[0] > 0
+    return {
+        "slice": slices, "chunk": np.full(len(slices), number), "keys": [_planes(np.diff(keys[part], prepend=np.uint64(0))) for part in parts],
+        "small": [small for small, _ in squeezed], "large": [large for _, large in squeezed],
+        "tested": [tested[part].tobytes() for part in parts],
+        "sums": [b"" if sums is None else sums[:, part][:, tested[part]].tobytes() for part in parts],
+    }
 
-    def pack(table: pa.Table) -> pa.Table:
-        marks = b"".join(table.sort_by("slice")["marks"].to_pylist())
-        return pa.table({"chunk": table["chunk"][:1], "marks": pa.array([marks], pa.binary())})
 
-    answers = asked.groupBy("slice").cogroup(known.groupBy("_slice")).applyInArrow(answer, "chunk long, slice long, marks binary")
-    packed = answers.groupBy("chunk").applyInArrow(pack, "chunk long, marks binary")
-    marks, _ = materialize(packed.withColumnRenamed("marks", f"marks_{k}"), "marks")
+def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of a slice; which of them each row's have, one after the other; their counts; where rows end."""
+    rows = [np.cumsum(_of_planes(keys, np.uint64), dtype=np.uint64) for keys in table["keys"].to_pylist()]
+    keys, at = np.unique(np.concatenate(rows), return_inverse=True)
+    n = [_counts_of(small, large, len(own)) for small, large, own in zip(table["small"].to_pylist(), table["large"].to_pylist(), rows)]
+    return keys, at, np.concatenate(n), np.cumsum([len(own) for own in rows])[:-1]
+
+
+def _replies(table: pa.Table, small: list[bytes], large: list[bytes], occurrences: int = 0, fresh: int = 0) -> pa.Table:
+    once = [0] * (table.num_rows - 1)
+    binary = pa.binary()
+    return pa.table({
+        "chunk": table["chunk"], "slice": table["slice"], "small": pa.array(small, binary), "large": pa.array(large, binary),
+        "occurrences": pa.array([occurrences, *once], pa.int64()), "fresh": pa.array([fresh, *once], pa.int64()),
+    })
+
+
+def _told(chunks: DataFrame, step: str, sent: DataFrame, answer) -> tuple[DataFrame, int, int]:
+    """The chunks with the answers of a step; the occurrences counted and the hashes that have some."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("slice")
+        whole = {c: pa.array([b"".join(table[c].to_pylist())], pa.binary()) for c in ("small", "large")}
+        sums = {c: pa.array([sum(table[c].to_pylist())], pa.int64()) for c in ("occurrences", "fresh")}
+        return pa.table({"chunk": table["chunk"][:1], **whole, **sums})
+
+    replies = sent.groupBy("slice").applyInArrow(answer, ANSWERED)
+    packed = replies.groupBy("chunk").applyInArrow(pack, "chunk long, small binary, large binary, occurrences long, fresh long")
+    path = scratch_path(chunks.sparkSession, "told")
+    seen = write_observed(packed, path, rows=F.count(F.lit(1)), occurrences=F.sum("occurrences"), fresh=F.sum("fresh"))
+    told = chunks.sparkSession.read.schema(packed.schema).parquet(path)
     release(chunks.sparkSession)
-    return chunks.join(marks, "chunk", "left")
+    told = told.select("chunk", F.col("small").alias(f"small_{step}"), F.col("large").alias(f"large_{step}"))
+    return chunks.join(told, "chunk", "left"), seen["occurrences"] or 0, seen["fresh"] or 0
 
 
-def _words(counted: DataFrame, total: int, types: int) -> DataFrame:
-    """(gram, n, q) of the single words, ``q`` their probability without a context."""
-    number = lambda words: _mixed(np.zeros(len(words), np.uint64), np.array(words, np.int64).view(np.uint64))
+def _with_counts(chunks: DataFrame, k: int, bits: int, least: tuple[int, int]) -> tuple[DataFrame, int, int]:
+    """The chunks, told how often their grams of ``k`` words occur in all training text: 0 for less than the floor, but for single words."""
 
-    def task(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            yield {"gram": number(batch["word"]).view(np.int64), "n": batch["n"]}
+    def of(chunk: Chunk, number: int, told: dict, ids: list) -> dict:
+        *_, found = chunk.grams(Answers(told, *least, 0, 0), k)
+        return _sent(number, bits, found.distinct, np.bincount(found.at[chunk.train[found.where]], minlength=len(found.distinct)))
 
-    grams = map_rows(counted, "gram long, n long", task)
-    return grams.withColumn("q", root(F.col("n"), total, types))
+    def answer(table: pa.Table) -> pa.Table:
+        keys, at, n, ends = _received(table)
+        all_n = np.zeros(len(keys), np.int64)
+        np.add.at(all_n, at, n)
+        told = np.where(all_n >= least[1], all_n, 0) if k > 1 else all_n
+        replies = [_squeezed(own) for own in np.split(told[at], ends)]
+        return _replies(table, *map(list, zip(*replies)), int(all_n.sum()), int(np.count_nonzero(all_n)))
 
+    return _told(chunks, f"n_{k}", _per_chunk(chunks, SENT, of), answer)
 
-def _states(pairs: DataFrame, below: DataFrame, divergence: float, least_gain: float) -> tuple[DataFrame, DataFrame]:
-    """Of the grams of one length: (gram, n, q), and the contexts (gram, b) before their last words that are retained.
 
-    ``q`` is the probability of the last word in the longest retained state, a discounted relative
-    frequency where the context is retained; ``b`` scales the shorter state's probabilities of words
-    that are not counted in the context.
+def _with_contexts(chunks: DataFrame, k: int, bits: int, least: tuple[int, int], total: int, types: int, divergence: float, least_gain: float) -> DataFrame:
+    """The chunks, told which of their grams of ``k`` words are retained as contexts, and how these back off.
+
+    An occurrence of a gram of one more word in training text contributes its part of the gram's probabilities.
     """
-    rows = pairs.join(below.select(F.col("gram").alias("context"), F.col("n").alias("total")), "context").join(
-        below.select(F.col("gram").alias("suffix"), F.col("q").alias("shorter")), "suffix"
-    )
-    rows = rows.withColumn("p", (F.col("n") - DISCOUNT) / F.col("total"))
-    sums = rows.groupBy("context", "total").agg(
-        F.sum("p").alias("own"), F.sum("shorter").alias("others"), F.sum("n").alias("seen"),
-        F.sum(F.col("n") * F.log(F.col("p") / F.col("shorter"))).alias("gain"),
-    )
-    backoff = F.greatest(1 - F.col("own"), F.lit(1e-12)) / F.greatest(1 - F.col("others"), F.lit(1e-12))
-    gain = F.col("gain") + (F.col("total") - F.col("seen")) * F.log(backoff)
-    tested = sums.select(F.col("context").alias("gram"), "total", backoff.alias("b"), gain.alias("gain"))
-    kept = tested.where((F.col("gain") >= divergence * F.col("total")) & (F.col("gain") >= least_gain)).select("gram", "b")
-    contexts, _ = materialize(kept, "contexts")
-    q = F.when(F.col("b").isNotNull(), F.col("p")).otherwise(F.col("shorter")).alias("q")
-    joined = rows.join(contexts.withColumnRenamed("gram", "context"), "context", "left")
-    return joined.select("gram", "n", q), contexts
+
+    def of(chunk: Chunk, number: int, told: dict, ids: list) -> dict:
+        *_, (contexts, found, p) = Answers(told, *least, total, types).probabilities(chunk, k + 1)
+        context = np.zeros(len(found.gram), np.int64)
+        context[contexts.where] = contexts.at
+        asked = contexts.n >= least[0]
+        n = found.n[found.at]
+        some = (n >= least[1]) & chunk.train[found.where]
+        n, at = n[some], found.where[some]
+        of_context, shorter = context[at - 1], p[at]
+        own = (n - DISCOUNT) / contexts.n[of_context]
+        parts = (np.ones(len(n)), own / n, shorter / n, np.log(own / shorter))
+        sums = np.array([np.bincount(of_context, part, len(asked)) for part in parts])
+        return _sent(number, bits, contexts.distinct[asked], contexts.n[asked], sums[:, asked])
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys, at, n, ends = _received(table)
+        all_n = np.zeros(len(keys), np.int64)
+        all_n[at] = n
+        tested = np.frombuffer(b"".join(table["tested"].to_pylist()), bool)
+        sums = np.concatenate([np.frombuffer(own, np.float64).reshape(4, -1) for own in table["sums"].to_pylist()], axis=1)
+        seen, own, others, gain = (np.bincount(at[tested], part, len(keys)) for part in sums)
+        back = np.maximum(1 - own, 1e-12) / np.maximum(1 - others, 1e-12)
+        gain = gain + (all_n - seen) * np.log(back)
+        kept = (seen > 0) & (gain >= divergence * all_n) & (gain >= least_gain)
+        replies = [(kept[i].astype(np.uint8).tobytes(), back[i][kept[i]].tobytes()) for i in np.split(at, ends)]
+        return _replies(table, *map(list, zip(*replies)))
+
+    return _told(chunks, f"b_{k}", _per_chunk(chunks, SENT, of), answer)[0]
 
 
 def fitted(
-    chunks: DataFrame, counted: DataFrame, total: int, types: int, depth: int,
-    context_share: float, symbol_share: float, divergence: float, least_gain: float,
-) -> tuple[DataFrame, list[DataFrame]]:
-    """The marked chunks, and (gram, n, q, b) of the grams of 1 to ``depth + 1`` words; ``b`` is null where
-    the gram is not retained as a context."""
-    least = tuple(max(LEAST, int(np.ceil(share * total))) for share in (context_share, symbol_share))
-    spark, levels = chunks.sparkSession, []
-    below, old = _written(_words(counted, total, types), "level")
-    for k in range(2, depth + 2):
-        chunks = _marked(chunks, k - 1, below, least, total)
-        pairs, of_pairs = _written(_counts(chunks, k, least[1]), "pairs")
-        release(spark)
-        found, contexts = _states(pairs, below, divergence, least_gain)
-        level, of_level = _written(found, "level")
-        del pairs, found
-        delete_path(spark, of_pairs)
-        release(spark)
-        levels.append(_written(below.join(contexts, "gram", "left"), "states")[0])
-        delete_path(spark, old)
-        release(spark)
-        below, old = level, of_level
-    return chunks, [*levels, below.withColumn("b", F.lit(None).cast("double"))]
+    chunks: DataFrame, depth: int, context_share: float, symbol_share: float, divergence: float, least_gain: float
+) -> tuple[DataFrame, tuple[int, int], int, int]:
+    """The chunks, told all about their grams of up to ``depth + 1`` words; the floors; the numbers of training tokens and of different ones."""
+    bits = min(32, (chunks.count() * CHUNK_TOKENS // SLICE_TOKENS).bit_length() + 5)
+    chunks, total, types = _with_counts(chunks, 1, bits, (LEAST, LEAST))
+    least_context, least_pair = (max(LEAST, int(np.ceil(share * total))) for share in (context_share, symbol_share))
+    least = max(least_context, least_pair), least_pair
+    for k in range(1, depth + 1):
+        chunks = _with_counts(chunks, k + 1, bits, least)[0]
+        chunks = _with_contexts(chunks, k, bits, least, total, types, divergence, least_gain)
+    return chunks, least, total, types
 
 
 def fit(
@@ -429,20 +458,42 @@ def fit(
     context_share: float, symbol_share: float, divergence: float, least_gain: float,
 ) -> Tree:
     """The tree in memory; for looking at the tree of a small table, scoring does not use it."""
-    chunks, levels = fitted(chunks, counted, total, types, depth, context_share, symbol_share, divergence, least_gain)
+    chunks, least, total, types = fitted(chunks, depth, context_share, symbol_share, divergence, least_gain)
+
+    def of(chunk: Chunk, number: int, told: dict, ids: list) -> dict:
+        out: dict[str, list] = {c: [] for c in ("k", "gram", "context", "suffix", "q", "b")}
+        known = Answers(told, *least, total, types)
+        for k, (shorter, found, p) in enumerate(known.probabilities(chunk, depth + 1), 1):
+            one = np.zeros(len(found.distinct), np.int64)
+            one[found.at] = found.where
+            some = np.flatnonzero(found.n >= (least[1] if k > 1 else 1))
+            place = one[some]
+            b = known.backoff(k, found.n) if k <= depth else np.full(len(found.distinct), np.nan)
+            none = np.zeros(len(some), np.uint64)
+            own = (
+                np.full(len(some), k), found.distinct[some].view(np.int64), (none if k == 1 else shorter.gram[place - 1]).view(np.int64),
+                (none if k == 1 else shorter.gram[place]).view(np.int64), p[place], b[some],
+            )
+            for column, values in zip(out.values(), own):
+                column.append(values)
+        return {c: np.concatenate(values) for c, values in out.items()}
+
+    rows = _per_chunk(chunks, "k int, gram long, context long, suffix long, q double, b double", of)
+    rows = rows.groupBy("k", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.max("q").alias("q"), F.min("b").alias("b"))
+    rows, _ = materialize(rows.withColumn("b", F.expr("CASE WHEN NOT isnan(b) THEN b END")), "tree")
     tree = Tree(total, types)
-    named = [levels[0], *(level.join(_counts(chunks, k, 1).drop("n"), "gram") for k, level in enumerate(levels[1:], 2))]
-    for d, level in enumerate(levels[:-1], 1):
+    for d in range(1, depth + 1):
+        level = rows.where(F.col("k") == d)
         kept = level.where("b IS NOT NULL")
         found = _numpy(kept, ["gram", "b"])
         order = np.argsort(_unsigned(found["gram"]))
-        own = _numpy(named[d].join(kept.select(F.col("gram").alias("context")), "context"), ["gram", "q"])
+        own = _numpy(rows.where(F.col("k") == d + 1).join(kept.select(F.col("gram").alias("context")), "context"), ["gram", "q"])
         by_pair = np.argsort(_unsigned(own["gram"]))
         tree.depths.append({
             "context": _unsigned(found["gram"])[order], "backoff": found["b"][order],
             "pair": _unsigned(own["gram"])[by_pair], "p": own["q"][by_pair],
         })
-        chain = _numpy(named[d - 1], ["gram", "suffix"] if d > 1 else ["gram"])
+        chain = _numpy(level, ["gram", "suffix"] if d > 1 else ["gram"])
         order = np.argsort(_unsigned(chain["gram"]))
         tree.chains.append({name: _unsigned(chain[c])[order] for name, c in zip(("hash", "shorter"), ("gram", "suffix")) if c in chain})
     return tree
@@ -466,54 +517,18 @@ def scored(
     next symbols to that part of the training positions; by default they do not. A null text is empty and has one token, its end.
     Without training texts every token is unknown and has probability 1.
     """
-    chunks = chunked(docs, is_held_out)
-    counted, total, types = word_counts(chunks)
-    chunks, levels = fitted(chunks, counted, total, types, depth, context_share, symbol_share, divergence, least_gain)
-    # Words bring their count, longer grams their probability; both what they are worth as a context.
-    states = [level.select("gram", (F.col("q") if k else F.col("n").cast("double")).alias("q"), "b") for k, level in enumerate(levels)]
-    answers = _asked(chunks, depth, 1).join(reduce(DataFrame.unionByName, states), "gram")
-
-    def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in SCORES.split(", ")]
-        place = right["place"].to_numpy()
-        value, scale = (right[c].to_numpy(zero_copy_only=False) for c in ("q", "b"))
-        for row in left.to_pylist():
-            chunk = Chunk.of(row["held"], row["lengths"], row["tokens"], row["vocabulary"])
-            counts, p = probabilities(chunk, [row[f"marks_{k}"] for k in range(1, depth + 1)], place, value, scale, total, types)
-            sums = lambda x: np.add.reduceat(x, chunk.starts).tolist()
-            values = (
-                row["ids"], row["held"], sums(np.ones(len(counts), np.int64)), sums((counts > 0).astype(np.int64)),
-                [total] * len(row["ids"]), sums(np.log10(root(counts, total, types))), sums(np.log10(p)),
-            )
-            for column, found in zip(out, values):
-                column.extend(found)
-        names = [part.split()[0] for part in SCORES.split(", ")]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=names)
-
-    answered = answers.select(F.col("chunk").alias("_chunk"), "place", "q", "b").groupBy("_chunk")
-    return chunks.groupBy("chunk").cogroup(answered).applyInArrow(score, SCORES)
-
-
-def probabilities(
-    chunk: Chunk, marks: list[bytes | None], place: np.ndarray, value: np.ndarray, scale: np.ndarray, total: int, types: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """The count of every token, and its P in its longest retained context, from what was answered at the places of the grams."""
-    order = np.argsort(place)
-    place, value, scale = place[order], value[order], scale[order]
-    start, counts, p, before = 0, None, None, None
-    for where, _, distinct, at in chunk.grams(marks):
-        lo, hi = np.searchsorted(place, (start, start + len(distinct)))
-        own, worth = np.full(len(distinct), np.nan), np.full(len(distinct), np.nan)
-        own[place[lo:hi] - start], worth[place[lo:hi] - start] = value[lo:hi], scale[lo:hi]
-        start += len(distinct)
-        found, backoff = np.full(len(chunk.tokens), np.nan), np.full(len(chunk.tokens), np.nan)
-        found[where], backoff[where] = own[at], worth[at]
-        if p is None:
-            counts = np.nan_to_num(found).astype(np.int64)
-            p = root(counts, total, types)
-        else:
-            p = np.where(np.isnan(found), np.where(np.isnan(before), p, before * p), found)
-        # What the gram that ends here is worth as the context of the next token; a text's end is no context.
-        before = np.append(np.nan, backoff[:-1])
-    return counts, p
+    chunks, least, total, types = fitted(chunked(docs, is_held_out), depth, context_share, symbol_share, divergence, least_gain)
+
+    def of(chunk: Chunk, number: int, told: dict, ids: list) -> dict:
+        for k, (_, found, p) in enumerate(Answers(told, *least, total, types).probabilities(chunk, depth + 1), 1):
+            if k == 1:
+                counts = found.spread(found.n)
+        sums = lambda x: np.add.reduceat(x, chunk.starts)
+        n = sums(np.ones(len(counts), np.int64))
+        values = (
+            ids, ~chunk.train[chunk.starts], n, sums((counts > 0).astype(np.int64)), np.full(len(n), total),
+            sums(np.log10(root(counts, total, types))), sums(np.log10(p)),
+        )
+        return dict(zip((part.split()[0] for part in SCORES.split(", ")), values))
+
+    return _per_chunk(chunks, SCORES, of)

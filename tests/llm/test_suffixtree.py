@@ -160,3 +160,27 @@ def test_slices_do_not_change_scores(spark, documents, monkeypatch):
     monkeypatch.setattr(suffixtree, "CHUNK_TOKENS", 700)
     monkeypatch.setattr(suffixtree, "SLICE_TOKENS", 500)
     assert sorted((r.doc_id, round(r.score, 6)) for r in scored(docs.repartition(5)).collect()) == whole
+
+
+def test_no_table_has_a_row_for_a_gram(spark, documents, monkeypatch):
+    """Rows of grams broke the limit of disk: what is written and shuffled has packed arrays, a row for a chunk."""
+    rows, write = [], suffixtree.write_observed
+
+    def watched(df, path, **metrics):
+        seen = write(df, path, **metrics)
+        rows.append(seen["rows"])
+        return seen
+
+    monkeypatch.setattr(suffixtree, "write_observed", watched)
+    monkeypatch.setattr(suffixtree, "CHUNK_TOKENS", 1000)
+    docs = documents(patterned(100)).repartition(2)
+    n = suffixtree.chunked(docs, fold("doc_id") == 1).count()
+    assert scored(docs).count() == 100
+    assert rows and max(rows) <= n
+
+
+def test_counts_of_more_than_a_byte_survive_the_squeezing():
+    n = np.array([0, 1, 254, 255, 256, 7, 2**40, 0])
+    small, large = suffixtree._squeezed(n)
+    assert len(small) == len(n) and suffixtree._counts_of(small, large, len(n)).tolist() == n.tolist()
+    assert suffixtree._counts_of(None, None, 3).tolist() == [0, 0, 0]
