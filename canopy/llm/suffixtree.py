@@ -13,7 +13,8 @@ its distinct grams (runs of words) with their counts to slices of all hashes, pa
 and gets the counts over all chunks back in the same order; then it sends what its occurrences
 contribute to the tests of their contexts, and gets back which contexts are retained and how they back off.
 With these answers it computes every probability itself, so that no gram ever is a row. A gram can be frequent
-only if the grams without its first and without its last word are; only those are sent.
+only if the grams without its first and without its last word are; only those are sent. A gram's part of a test is
+sent by one of the chunks that have it. Chunks and answers are tables in buckets by chunk, so a step shuffles neither.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import lower_words, map_rows, release
-from canopy.session import materialize, scratch_path, write_observed
+from canopy.session import materialize, read_dealt, scratch_path, write_observed
 
 DEPTH = 3
 #: Occurrences in the training text from which a context or a next symbol of a context counts.
@@ -40,6 +41,9 @@ LEAST_GAIN = 12.0
 DISCOUNT = 0.5
 #: Tokens from which a chunk of texts is full.
 CHUNK_TOKENS = 800_000
+#: Bytes of texts from which a bucket of chunks is full, unless that gives more than so many buckets for a task.
+BUCKET_BYTES = 4 << 20
+BUCKETS_PER_TASK = 4
 #: Training tokens from which the slices, in which chunks learn which of their grams are frequent, are halved.
 SLICE_TOKENS = 8_000_000
 
@@ -61,6 +65,25 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted, where the first of each stands, and which of them each value is, as ``np.unique`` has them.
+
+    Sorted are plain numbers, hashes with their places for low bits: several times as fast as sorting places by hash.
+    """
+    low = np.uint64((1 << max(1, len(values)).bit_length()) - 1)
+    order = (values & ~low) | np.arange(len(values), dtype=np.uint64)
+    order.sort()
+    order = (order & low).astype(np.int64)
+    found = values[order]
+    if (found[1:] < found[:-1]).any():  # some differ in the low bits only
+        return np.unique(values, return_index=True, return_inverse=True)
+    new = np.ones(len(values), bool)
+    new[1:] = found[1:] != found[:-1]
+    at = np.empty(len(values), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return found[new], order[new], at
+
+
 def _planes(values: np.ndarray) -> bytes:
     """All first bytes, then all second ones and so on: bytes of like size stand together and compress well."""
     return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
@@ -83,13 +106,23 @@ def _counts_of(small: bytes | None, large: bytes | None, n: int) -> np.ndarray:
     return found
 
 
+def _stored(data: bytes, kind: type = np.uint8) -> bytes:
+    """Compressed planes, after their length."""
+    return len(data).to_bytes(8, "little") + pa.compress(_planes(np.frombuffer(data, kind)), codec="zstd", asbytes=True) if data else b""
+
+
+def _restored(data: bytes | None, kind: type = np.uint8) -> bytes:
+    return _of_planes(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), kind).tobytes() if data else b""
+
+
 CHUNKS = "chunk long, ids array<long>, held array<boolean>, lengths binary, tokens binary, vocabulary binary"
 
 
 def chunked(docs: DataFrame, is_held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts packed into chunks: per text the id, its fold and its number of tokens; the tokens as
     positions in the chunk's vocabulary, compressed; the vocabulary as word hashes. The last token of a text is
-    its end. Written as a table, so that a chunk is the same in all later steps."""
+    its end. Written as a table, so that a chunk is the same in all later steps; in buckets by chunk, as all
+    that is told to chunks later."""
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         def done() -> dict:
@@ -122,7 +155,16 @@ def chunked(docs: DataFrame, is_held_out: Column, doc_id: str = "doc_id", text:
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), is_held_out.alias("held"), F.col(text).cast("binary").alias("_text"))
     packed = map_rows(rows, CHUNKS, task).withColumn("chunk", F.monotonically_increasing_id())
-    return materialize(packed, "chunks")[0]
+    path, buckets = scratch_path(docs.sparkSession, "chunks"), _buckets(rows)
+    write_observed(packed.withColumn("buckets", F.lit(buckets)), path, dealt=("chunk", buckets), rows=F.count(F.lit(1)))
+    return read_dealt(docs.sparkSession, path)
+
+
+def _buckets(rows: DataFrame) -> int:
+    """Buckets for the chunks of these texts: by their size, but one for each task that packs them at least."""
+    tasks = max(1, rows.rdd.getNumPartitions())
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(tasks, min(BUCKETS_PER_TASK * tasks, -(-size // BUCKET_BYTES)))
 
 
 @dataclass
@@ -157,11 +199,12 @@ class Chunk:
                 rank[order] = np.arange(len(order))
                 found = Grams(np.arange(len(words)), gram[self.tokens], gram[order], rank[self.tokens], None)
             else:
-                before = np.append(0, shorter.spread(shorter.n)[:-1])
-                in_context = (before >= known.least_context) & (self.place >= k - 1)
-                where = np.flatnonzero(in_context & (shorter.spread(shorter.n) >= known.least_pair))
+                n = shorter.spread(shorter.n)
+                in_context = (np.append(0, n[:-1]) >= known.least_context) & (self.place >= k - 1)
+                where = np.flatnonzero(in_context & (n >= known.least_pair))
                 gram = _mixed(np.append(np.uint64(0), shorter.gram[:-1]), words)
-                found = Grams(where, gram, *np.unique(gram[where], return_inverse=True), np.flatnonzero(in_context))
+                distinct, _, at = _distinct(gram[where])
+                found = Grams(where, gram, distinct, at, np.flatnonzero(in_context))
             found.n = known.counts(k, len(found.distinct))
             yield found
             shorter = found
@@ -189,7 +232,7 @@ class Grams:
 
 @dataclass
 class Answers:
-    """What a chunk has been told so far: by step, the small and the large part of an answer.
+    """What a chunk has been told so far: by step, the small and the large part of an answer, as they are stored.
 
     Step ``n_k`` has the counts of its grams of ``k`` words, ``b_k`` which of those are retained contexts, one byte
     each, and the backoff of those that are. A context has to occur ``least_context`` times, a gram ``least_pair`` times.
@@ -202,7 +245,10 @@ class Answers:
     types: int
 
     def counts(self, k: int, n: int) -> np.ndarray | None:
-        return _counts_of(*self.told[f"n_{k}"], n) if f"n_{k}" in self.told else None
+        if f"n_{k}" not in self.told:
+            return None
+        small, large = self.told[f"n_{k}"]
+        return _counts_of(_restored(small), _restored(large, np.int64), n)
 
     def backoff(self, k: int, n: np.ndarray) -> np.ndarray:
         """The backoff of the grams of ``k`` words, which occur ``n`` times, as contexts; not a number where they are not retained."""
@@ -210,7 +256,7 @@ class Answers:
         out = np.full(len(n), np.nan)
         asked = np.flatnonzero(n >= self.least_context)
         if small:
-            out[asked[np.frombuffer(small, np.uint8) > 0]] = np.frombuffer(large or b"", np.float64)
+            out[asked[np.frombuffer(_restored(small), np.uint8) > 0]] = np.frombuffer(_restored(large, np.float64), np.float64)
         return out
 
     def probabilities(self, chunk: Chunk, last: int) -> Iterator[tuple[Grams | None, Grams, np.ndarray]]:
@@ -293,14 +339,15 @@ def in_state(level: dict[str, np.ndarray], context: np.ndarray, words: np.ndarra
 
 
 def _per_chunk(chunks: DataFrame, schema: str, of) -> DataFrame:
-    """What ``of`` gives for each chunk, its number and what it was told in the steps so far."""
+    """What ``of`` gives for each chunk, its number and what it was told in the steps so far, with ``first`` of the last one."""
     steps = [c.removeprefix("small_") for c in chunks.columns if c.startswith("small_")]
-    of_steps = [f"{part}_{step}" for step in steps for part in ("small", "large")]
+    of_steps = [f"{part}_{step}" for step in steps for part in ("small", "large")] + [c for c in chunks.columns if c == "first"]
 
     def task(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             for i, number in enumerate(batch["chunk"]):
                 told = {step: (batch[f"small_{step}"][i], batch[f"large_{step}"][i]) for step in steps}
+                told["first"] = batch["first"][i] if "first" in batch else None
                 yield of(Chunk.of(*(batch[c][i] for c in ("held", "lengths", "tokens", "vocabulary"))), number, told, batch["ids"][i])
 
     return map_rows(chunks.select("chunk", "ids", "held", "lengths", "tokens", "vocabulary", *of_steps), schema, task)
@@ -331,125 +378,160 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
 
 
 SENT = "slice long, chunk long, keys binary, small binary, large binary, tested binary, sums binary"
-ANSWERED = "chunk long, slice long, small binary, large binary, occurrences long, fresh long"
+ANSWERED = "chunk long, slice long, small binary, large binary, first binary, occurrences long, fresh long"
+
 
+def _sent(number: int, bits: int, keys: np.ndarray, n: np.ndarray, tested: np.ndarray | None = None, sums: np.ndarray | None = None) -> dict:
+    """Sorted hashes, as what each is more than the one before, with their counts, cut into slices of all hashes.
 
-def _sent(number: int, bits: int, keys: np.ndarray, n: np.ndarray, sums: np.ndarray | None = None) -> dict:
-    """Sorted hashes, as what each is more than the one before, with their counts, and the sums of those that have
-    some, cut into slices of all hashes."""
-    slices, starts = np.unique((keys >> np.uint64(64 - bits)).astype(np.int64), return_index=True)
+    With ``tested``, counts are rows for those hashes only, and so are the sums.
+    """
+    slices = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, slices[1:] != slices[:-1])) if len(keys) else np.zeros(0, np.int64)
     parts = [slice(i, j) for i, j in zip(starts, np.append(starts[1:], len(keys)))]
-    squeezed = [_squeezed(n[part]) for part in parts]
-    tested = np.zeros(0, bool) if sums is None else sums[0] > 0
+    if tested is None:
+        of_parts, marks, more = parts, [b""] * len(parts), [b""] * len(parts)
+    else:
+        before = np.append(0, np.cumsum(tested))
+        of_parts = [slice(before[part.start], before[part.stop]) for part in parts]
+        marks = [np.packbits(tested[part]).tobytes() for part in parts]
+        more = [_planes(sums[:, part].ravel()) for part in of_parts]
+    squeezed = [_squeezed(n[..., part].ravel()) for part in of_parts]
     return {
-        "slice": slices, "chunk": np.full(len(slices), number), "keys": [_planes(np.diff(keys[part], prepend=np.uint64(0))) for part in parts],
-        "small": [small for small, _ in squeezed], "large": [large for _, large in squeezed],
-        "tested": [tested[part].tobytes() for part in parts],
-        "sums": [b"" if sums is None else sums[:, part][:, tested[part]].tobytes() for part in parts],
+        "slice": slices[starts], "chunk": np.full(len(parts), number), "keys": [_planes(np.diff(keys[part], prepend=np.uint64(0))) for part in parts],
+        "small": [small for small, _ in squeezed], "large": [large for _, large in squeezed], "tested": marks, "sums": more,
     }
 
 
 def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct hashes of a slice; which of them each row's have, one after the other; their counts; where rows end."""
+    """The distinct hashes of a slice; where the first of each stands among all rows' hashes, one after the other, and
+    which of them each of those is; where rows end."""
     rows = [np.cumsum(_of_planes(keys, np.uint64), dtype=np.uint64) for keys in table["keys"].to_pylist()]
-    keys, at = np.unique(np.concatenate(rows), return_inverse=True)
-    n = [_counts_of(small, large, len(own)) for small, large, own in zip(table["small"].to_pylist(), table["large"].to_pylist(), rows)]
-    return keys, at, np.concatenate(n), np.cumsum([len(own) for own in rows])[:-1]
+    return *_distinct(np.concatenate(rows)), np.cumsum([len(own) for own in rows])
 
 
-def _replies(table: pa.Table, small: list[bytes], large: list[bytes], occurrences: int = 0, fresh: int = 0) -> pa.Table:
+def _replies(table: pa.Table, small: list[bytes], large: list[bytes], first: list[bytes], occurrences: int = 0, fresh: int = 0) -> pa.Table:
     once = [0] * (table.num_rows - 1)
     binary = pa.binary()
     return pa.table({
-        "chunk": table["chunk"], "slice": table["slice"], "small": pa.array(small, binary), "large": pa.array(large, binary),
+        "chunk": table["chunk"], "slice": table["slice"], "small": pa.array(small, binary), "large": pa.array(large, binary), "first": pa.array(first, binary),
         "occurrences": pa.array([occurrences, *once], pa.int64()), "fresh": pa.array([fresh, *once], pa.int64()),
     })
 
 
-def _told(chunks: DataFrame, step: str, sent: DataFrame, answer) -> tuple[DataFrame, int, int]:
+def _bits(marks: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(marks, np.uint8), count=n).astype(bool)
+
+
+def _told(chunks: DataFrame, step: str, sent: DataFrame, answer, large_kind: type, buckets: int) -> tuple[DataFrame, int, int]:
     """The chunks with the answers of a step; the occurrences counted and the hashes that have some."""
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("slice")
-        whole = {c: pa.array([b"".join(table[c].to_pylist())], pa.binary()) for c in ("small", "large")}
+        small, large, first = (table[c].to_pylist() for c in ("small", "large", "first"))
+        marks = [_bits(own, np.count_nonzero(np.frombuffer(of, np.uint8))) for own, of in zip(first, small) if own]
+        whole = {
+            "small": _stored(b"".join(small)), "large": _stored(b"".join(large), large_kind),
+            "first": np.packbits(np.concatenate(marks)).tobytes() if marks else b"",
+        }
         sums = {c: pa.array([sum(table[c].to_pylist())], pa.int64()) for c in ("occurrences", "fresh")}
-        return pa.table({"chunk": table["chunk"][:1], **whole, **sums})
+        return pa.table({"chunk": table["chunk"][:1], **{c: pa.array([v], pa.binary()) for c, v in whole.items()}, **sums})
 
-    replies = sent.groupBy("slice").applyInArrow(answer, ANSWERED)
-    packed = replies.groupBy("chunk").applyInArrow(pack, "chunk long, small binary, large binary, occurrences long, fresh long")
+    replies = sent.groupBy("slice").applyInArrow(lambda table: answer(table.sort_by("chunk")), ANSWERED)
+    packed = replies.groupBy("chunk").applyInArrow(pack, "chunk long, small binary, large binary, first binary, occurrences long, fresh long")
     path = scratch_path(chunks.sparkSession, "told")
-    seen = write_observed(packed, path, rows=F.count(F.lit(1)), occurrences=F.sum("occurrences"), fresh=F.sum("fresh"))
-    told = chunks.sparkSession.read.schema(packed.schema).parquet(path)
+    seen = write_observed(
+        packed, path, dealt=("chunk", buckets), rows=F.count(F.lit(1)), occurrences=F.sum("occurrences"), fresh=F.sum("fresh")
+    )
+    told = read_dealt(chunks.sparkSession, path)
     release(chunks.sparkSession)
-    told = told.select("chunk", F.col("small").alias(f"small_{step}"), F.col("large").alias(f"large_{step}"))
-    return chunks.join(told, "chunk", "left"), seen["occurrences"] or 0, seen["fresh"] or 0
+    told = told.select("chunk", F.col("small").alias(f"small_{step}"), F.col("large").alias(f"large_{step}"), "first")
+    return chunks.drop("first").join(told.hint("shuffle_hash"), "chunk", "left"), seen["occurrences"] or 0, seen["fresh"] or 0
 
 
-def _with_counts(chunks: DataFrame, k: int, bits: int, least: tuple[int, int]) -> tuple[DataFrame, int, int]:
-    """The chunks, told how often their grams of ``k`` words occur in all training text: 0 for less than the floor, but for single words."""
+def _with_counts(chunks: DataFrame, k: int, bits: int, least: tuple[int, int], buckets: int) -> tuple[DataFrame, int, int]:
+    """The chunks, told how often their grams of ``k`` words occur in all training text: 0 for less than the floor, but
+    for single words; and of which of those that reach it they are the first to have them."""
 
     def of(chunk: Chunk, number: int, told: dict, ids: list) -> dict:
-        *_, found = chunk.grams(Answers(told, *least, 0, 0), k)
+        for found in chunk.grams(Answers(told, *least, 0, 0), k):
+            pass
         return _sent(number, bits, found.distinct, np.bincount(found.at[chunk.train[found.where]], minlength=len(found.distinct)))
 
     def answer(table: pa.Table) -> pa.Table:
-        keys, at, n, ends = _received(table)
-        all_n = np.zeros(len(keys), np.int64)
-        np.add.at(all_n, at, n)
+        keys, first, at, ends = _received(table)
+        lengths = np.diff(ends, prepend=0)
+        n = [_counts_of(small, large, own) for small, large, own in zip(table["small"].to_pylist(), table["large"].to_pylist(), lengths)]
+        all_n = np.bincount(at, np.concatenate(n), len(keys)).astype(np.int64)
         told = np.where(all_n >= least[1], all_n, 0) if k > 1 else all_n
-        replies = [_squeezed(own) for own in np.split(told[at], ends)]
-        return _replies(table, *map(list, zip(*replies)), int(all_n.sum()), int(np.count_nonzero(all_n)))
+        is_first = np.zeros(len(at), bool)
+        is_first[first] = True
+        of_rows = np.split(told[at], ends[:-1])
+        marks = [np.packbits(own[n > 0]).tobytes() for own, n in zip(np.split(is_first, ends[:-1]), of_rows)]
+        return _replies(table, *map(list, zip(*map(_squeezed, of_rows))), marks, int(all_n.sum()), int(np.count_nonzero(all_n)))
 
-    return _told(chunks, f"n_{k}", _per_chunk(chunks, SENT, of), answer)
+    return _told(chunks, f"n_{k}", _per_chunk(chunks, SENT, of), answer, np.int64, buckets)
 
 
-def _with_contexts(chunks: DataFrame, k: int, bits: int, least: tuple[int, int], total: int, types: int, divergence: float, least_gain: float) -> DataFrame:
+def _with_contexts(
+    chunks: DataFrame, k: int, bits: int, least: tuple[int, int], total: int, types: int, divergence: float, least_gain: float, buckets: int
+) -> DataFrame:
     """The chunks, told which of their grams of ``k`` words are retained as contexts, and how these back off.
 
-    An occurrence of a gram of one more word in training text contributes its part of the gram's probabilities.
+    The first chunk that has a gram of one more word contributes the gram's probabilities for all of its occurrences.
     """
 
     def of(chunk: Chunk, number: int, told: dict, ids: list) -> dict:
-        *_, (contexts, found, p) = Answers(told, *least, total, types).probabilities(chunk, k + 1)
+        for contexts, found, p in Answers(told, *least, total, types).probabilities(chunk, k + 1):  # noqa: B007
+            pass
         context = np.zeros(len(found.gram), np.int64)
         context[contexts.where] = contexts.at
         asked = contexts.n >= least[0]
-        n = found.n[found.at]
-        some = (n >= least[1]) & chunk.train[found.where]
-        n, at = n[some], found.where[some]
+        some = np.flatnonzero(found.n >= least[1])
+        some = some[_bits(told["first"], len(some))] if told["first"] else some[:0]
+        one = np.zeros(len(found.distinct), np.int64)
+        one[found.at] = found.where
+        n, at = found.n[some], one[some]
         of_context, shorter = context[at - 1], p[at]
         own = (n - DISCOUNT) / contexts.n[of_context]
-        parts = (np.ones(len(n)), own / n, shorter / n, np.log(own / shorter))
-        sums = np.array([np.bincount(of_context, part, len(asked)) for part in parts])
-        return _sent(number, bits, contexts.distinct[asked], contexts.n[asked], sums[:, asked])
+        summed = [np.bincount(of_context, part, len(asked))[asked] for part in (n, np.ones(len(n)), shorter, n * np.log(own / shorter))]
+        tested = summed[0] > 0
+        seen, symbols, *sums = (part[tested] for part in summed)
+        counts = np.array([contexts.n[asked][tested], seen, symbols], np.int64)
+        return _sent(number, bits, contexts.distinct[asked], counts, tested, np.array(sums))
 
     def answer(table: pa.Table) -> pa.Table:
-        keys, at, n, ends = _received(table)
+        keys, _, at, ends = _received(table)
+        tested = [_bits(marks, own) for marks, own in zip(table["tested"].to_pylist(), np.diff(ends, prepend=0))]
+        squeezed = zip(table["small"].to_pylist(), table["large"].to_pylist(), tested)
+        counts = np.concatenate([_counts_of(small, large, 3 * own.sum()).reshape(3, -1) for small, large, own in squeezed], axis=1)
+        sums = np.concatenate([_of_planes(own, np.float64).reshape(2, -1) for own in table["sums"].to_pylist()], axis=1)
+        at_tested = at[np.concatenate(tested)]
         all_n = np.zeros(len(keys), np.int64)
-        all_n[at] = n
-        tested = np.frombuffer(b"".join(table["tested"].to_pylist()), bool)
-        sums = np.concatenate([np.frombuffer(own, np.float64).reshape(4, -1) for own in table["sums"].to_pylist()], axis=1)
-        seen, own, others, gain = (np.bincount(at[tested], part, len(keys)) for part in sums)
+        all_n[at_tested] = counts[0]
+        seen, symbols, others, gain = (np.bincount(at_tested, part, len(keys)) for part in (*counts[1:], *sums))
+        own = (seen - DISCOUNT * symbols) / np.maximum(all_n, 1)
         back = np.maximum(1 - own, 1e-12) / np.maximum(1 - others, 1e-12)
         gain = gain + (all_n - seen) * np.log(back)
         kept = (seen > 0) & (gain >= divergence * all_n) & (gain >= least_gain)
-        replies = [(kept[i].astype(np.uint8).tobytes(), back[i][kept[i]].tobytes()) for i in np.split(at, ends)]
-        return _replies(table, *map(list, zip(*replies)))
+        replies = [(kept[i].astype(np.uint8).tobytes(), back[i][kept[i]].tobytes()) for i in np.split(at, ends[:-1])]
+        return _replies(table, *map(list, zip(*replies)), [b""] * table.num_rows)
 
-    return _told(chunks, f"b_{k}", _per_chunk(chunks, SENT, of), answer)[0]
+    return _told(chunks, f"b_{k}", _per_chunk(chunks, SENT, of), answer, np.float64, buckets)[0]
 
 
 def fitted(
     chunks: DataFrame, depth: int, context_share: float, symbol_share: float, divergence: float, least_gain: float
 ) -> tuple[DataFrame, tuple[int, int], int, int]:
     """The chunks, told all about their grams of up to ``depth + 1`` words; the floors; the numbers of training tokens and of different ones."""
-    bits = min(32, (chunks.count() * CHUNK_TOKENS // SLICE_TOKENS).bit_length() + 5)
-    chunks, total, types = _with_counts(chunks, 1, bits, (LEAST, LEAST))
+    n, buckets = chunks.agg(F.count(F.lit(1)), F.coalesce(F.max("buckets"), F.lit(1))).first()
+    bits = min(32, (n * CHUNK_TOKENS // SLICE_TOKENS).bit_length() + 3)
+    chunks, total, types = _with_counts(chunks, 1, bits, (LEAST, LEAST), buckets)
     least_context, least_pair = (max(LEAST, int(np.ceil(share * total))) for share in (context_share, symbol_share))
     least = max(least_context, least_pair), least_pair
     for k in range(1, depth + 1):
-        chunks = _with_counts(chunks, k + 1, bits, least)[0]
-        chunks = _with_contexts(chunks, k, bits, least, total, types, divergence, least_gain)
+        chunks = _with_counts(chunks, k + 1, bits, least, buckets)[0]
+        chunks = _with_contexts(chunks, k, bits, least, total, types, divergence, least_gain, buckets)
     return chunks, least, total, types
 
 

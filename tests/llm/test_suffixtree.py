@@ -184,3 +184,39 @@ def test_counts_of_more_than_a_byte_survive_the_squeezing():
     small, large = suffixtree._squeezed(n)
     assert len(small) == len(n) and suffixtree._counts_of(small, large, len(n)).tolist() == n.tolist()
     assert suffixtree._counts_of(None, None, 3).tolist() == [0, 0, 0]
+
+
+def test_answers_join_chunks_without_moving_them(spark, documents, monkeypatch):
+    """Chunks and all answers were shuffled again at every step, which broke the limit of disk."""
+    monkeypatch.setattr(suffixtree, "CHUNK_TOKENS", 500)
+    docs = documents(patterned(80)).repartition(3)
+    chunks, *_ = suffixtree.fitted(suffixtree.chunked(docs, fold("doc_id") == 1), 2, 0.0, 0.0, suffixtree.DIVERGENCE, suffixtree.LEAST_GAIN)
+    assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_chunk_sends_what_a_gram_contributes(spark, documents, monkeypatch):
+    """Every chunk that had a gram sent its part of the sums, so common text was sent over and over."""
+    sent_by, told = [], suffixtree._told
+
+    def watched(chunks, step, sent, *more):
+        if step.startswith("b_"):
+            for r in sent.select("keys", "tested").collect():
+                keys = np.cumsum(suffixtree._of_planes(r.keys, np.uint64), dtype=np.uint64)
+                sent_by.extend((step, int(key)) for key in keys[suffixtree._bits(r.tested, len(keys))])
+        return told(chunks, step, sent, *more)
+
+    monkeypatch.setattr(suffixtree, "_told", watched)
+    monkeypatch.setattr(suffixtree, "CHUNK_TOKENS", 100)
+    text = patterned(1)[0][1]
+    docs = documents([(i, text, "en", "s") for i in range(40)]).repartition(2)
+    assert scored(docs).count() == 40
+    assert {step for step, _ in sent_by} == {"b_1", "b_2", "b_3"} and len(sent_by) == len(set(sent_by))
+
+
+def test_distinct_hashes_equal_those_of_numpy():
+    rng = np.random.default_rng(5)
+    plain = rng.integers(0, 2**64, 500, np.uint64)
+    alike = np.uint64(7 << 40) + rng.integers(0, 4, 100, np.uint64)  # in the low bits only
+    for values in (rng.choice(plain, 3000), np.concatenate([plain, alike, alike[::-1]]), plain[:1], plain[:0]):
+        want = np.unique(values, return_index=True, return_inverse=True)
+        assert all((a == b).all() for a, b in zip(suffixtree._distinct(values), want))
