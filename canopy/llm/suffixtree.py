@@ -51,6 +51,14 @@ SLICE_TOKENS = 8_000_000
 END = 1
 
 
+class _Numbering(dict):
+    """Words numbered from 1 as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
 def _word_hash(word: bytes) -> int:
     found = xxhash.xxh64_intdigest(word)
     return found if found > END else found + 2
@@ -60,9 +68,11 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of a context extended by a word."""
     with np.errstate(over="ignore"):
         x = a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(0x2545F4914F6CDD1D)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,18 +138,14 @@ def chunked(docs: DataFrame, is_held_out: Column, doc_id: str = "doc_id", text:
         def done() -> dict:
             return {
                 "chunk": [0], "ids": [ids], "held": [held], "lengths": [np.array(lengths, np.int32).tobytes()],
-                "tokens": [pa.compress(_planes(np.concatenate(tokens)), codec="zstd", asbytes=True)], "vocabulary": [np.array(hashes, np.uint64).tobytes()],
+                "tokens": [pa.compress(_planes(np.concatenate(tokens)), codec="zstd", asbytes=True)], "vocabulary": [np.array([END, *map(_word_hash, number)], np.uint64).tobytes()],
             }
 
-        number: dict[bytes, int] = {}
-        ids, held, lengths, tokens, hashes, size = [], [], [], [], [END], 0
+        number = _Numbering()
+        ids, held, lengths, tokens, size = [], [], [], [], 0
         for batch in batches:
             for i, h, t in zip(batch["id"], batch["held"], batch["_text"]):
                 found = lower_words(t)
-                fresh = set(found).difference(number)
-                for w in fresh:
-                    number[w] = len(hashes)
-                    hashes.append(_word_hash(w))
                 at = np.fromiter(map(number.__getitem__, found), np.int32, len(found))
                 tokens.append(np.append(at, np.int32(0)))
                 ids.append(i)
@@ -148,8 +154,8 @@ def chunked(docs: DataFrame, is_held_out: Column, doc_id: str = "doc_id", text:
                 size += len(found) + 1
                 if size >= CHUNK_TOKENS:
                     yield done()
-                    number = {}
-                    ids, held, lengths, tokens, hashes, size = [], [], [], [], [END], 0
+                    number = _Numbering()
+                    ids, held, lengths, tokens, size = [], [], [], [], 0
         if ids:
             yield done()
 
@@ -194,10 +200,8 @@ class Chunk:
         for k in range(1, last + 1):
             if k == 1:
                 gram = _mixed(np.zeros(1, np.uint64), self.vocabulary)
-                order = np.argsort(gram)
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                found = Grams(np.arange(len(words)), gram[self.tokens], gram[order], rank[self.tokens], None)
+                distinct, _, rank = _distinct(gram)
+                found = Grams(np.arange(len(words)), gram[self.tokens], distinct, rank[self.tokens], None)
             else:
                 n = shorter.spread(shorter.n)
                 in_context = (np.append(0, n[:-1]) >= known.least_context) & (self.place >= k - 1)
@@ -225,6 +229,8 @@ class Grams:
 
     def spread(self, values: np.ndarray) -> np.ndarray:
         """Values of the distinct grams at every position, 0 where none is open."""
+        if len(self.where) == len(self.gram):
+            return values[self.at]
         out = np.zeros(len(self.gram), values.dtype)
         out[self.where] = values[self.at]
         return out
