@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from canopy.operators import closure as walks
 from canopy.operators.closure import ancestor, closure, node_depth, subtree
+from canopy.session import write_observed
 
 
 def edges(spark, pairs):
@@ -43,6 +45,18 @@ def test_random_graph_with_hubs(spark, rows, seed):
     assert sorted(rows(closure(edges(spark, pairs), heavy_rows=5))) == want  # salted paths included
 
 
+def test_known_pairs_of_roots_at_rest_are_not_looked_at(spark, rows, monkeypatch):
+    """One chain goes on long after all others have ended: their pairs leave the later rounds."""
+    pairs = [(i, i + 1) for i in range(5)] + [(5, 2)] + [(100 + i, 200 + i) for i in range(50)]
+    want = sorted((r, n, d) for r in {a for a, _ in pairs} for n, d in reach(pairs, r).items())
+    for few in (0, walks._FEW):
+        monkeypatch.setattr(walks, "_FEW", few)
+        plans = []
+        monkeypatch.setattr(walks, "write_observed", lambda df, *a, keep=write_observed, **m: plans.append(df) or keep(df, *a, **m))
+        assert sorted(rows(closure(edges(spark, pairs)))) == want
+        assert any("LeftSemi" in p._jdf.queryExecution().optimizedPlan().toString() for p in plans) == bool(few)
+
+
 def test_long_chain_takes_several_steps_at_once(spark, rows):
     pairs = [(i, i + 1) for i in range(30)] + [(30, 7), (3, 40), (40, 41), (41, 20)]
     got = rows(closure(edges(spark, pairs), spark.createDataFrame([(0,), (5,), (99,)], "n long")))
